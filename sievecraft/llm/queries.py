@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, sharding, token_counts
+from . import decontamination, line_dedup, packing, sharding, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,11 +26,30 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontamination.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return decontamination.leak_digest(leaks)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op5_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op5_token_counts, op7_line_dedup, op10_decontamination)}
+
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_FOLD = "translate(trim(x, {ws}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".replace("{ws}", _WS)
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_line_dedup": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT r, i, lines[i] AS x FROM (SELECT r, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+        k AS (SELECT r, i, x, {_FOLD} AS k FROM l),
+        f AS (SELECT k FROM k WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT r) >= 10),
+        m AS (SELECT k.*, f.k IS NOT NULL AS gone FROM k LEFT JOIN f ON k.k = f.k)
+        SELECT d.doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m JOIN d USING (r) GROUP BY d.r, d.doc_id
+    """,
+}
