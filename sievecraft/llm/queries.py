@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, packing, sharding, token_counts
+from . import decontamination, line_dedup, packing, sharding, substring_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,12 +31,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda kept: F.sha2(kept, 256)
+    return substring_dedup.dedup_substrings(_read(spark, sf_dir, "documents"), kept_as=digest).withColumnRenamed("kept", "kept_sha256")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontamination.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return decontamination.leak_digest(leaks)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op5_token_counts, op7_line_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op5_token_counts, op7_line_dedup, op9_substring_dedup, op10_decontamination)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _FOLD = "translate(trim(x, {ws}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".replace("{ws}", _WS)
