@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, packing, sharding, substring_dedup, token_counts
+from . import decontamination, exact_topk, line_dedup, packing, sharding, substring_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = lambda kept: F.sha2(kept, 256)
     return substring_dedup.dedup_substrings(_read(spark, sf_dir, "documents"), kept_as=digest).withColumnRenamed("kept", "kept_sha256")
@@ -41,12 +45,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leak_digest(leaks)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op5_token_counts, op7_line_dedup, op9_substring_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op5_token_counts, op7_line_dedup, op8_exact_topk, op9_substring_dedup, op10_decontamination)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _FOLD = "translate(trim(x, {ws}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".replace("{ws}", _WS)
 
 ORACLES: dict[str, str] = {
+    "op8_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+            FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+    """,
     "op7_line_dedup": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         l AS (SELECT r, i, lines[i] AS x FROM (SELECT r, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
