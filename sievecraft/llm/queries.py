@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_topk, jaccard_join, line_dedup, packing, sharding, substring_dedup, token_counts
+from . import decontamination, exact_topk, jaccard_join, line_dedup, packing, quality, sharding, substring_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,18 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_read(spark, sf_dir, "documents").select("doc_id"), shards)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _read(spark, sf_dir, "documents"), lambda i: F.crc32(i.cast("string")) % 3 == 1
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels"), allowed=lambda i: ~held_out(i))
+    return toxicity.score_documents(docs, model).withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _read(spark, sf_dir, "documents"), lambda i: F.crc32(i.cast("string")) % 4 == 2
+    model = quality.train(docs, _read(spark, sf_dir, "labels"), allowed=lambda i: ~held_out(i))
+    return quality.score_documents(docs, model).withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -49,7 +61,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leak_digest(leaks)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op5_token_counts, op6_jaccard_join, op7_line_dedup, op8_exact_topk, op9_substring_dedup, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_sharding, op3_toxicity, op4_quality, op5_token_counts, op6_jaccard_join, op7_line_dedup, op8_exact_topk, op9_substring_dedup, op10_decontamination)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _FOLD = "translate(trim(x, {ws}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".replace("{ws}", _WS)
