@@ -341,3 +341,18 @@ def _clean_by_join(docs: DataFrame, index: LineIndex, text_col: str, schema: str
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int = SHARDS, text_col: str = "text") -> DataFrame:
     """docs' columns with n_lines, n_dropped and kept: lines found in min_docs documents or more are dropped everywhere."""
     return clean_documents(docs, index_lines(docs, min_docs, min_chars, shards, text_col), text_col)
+
+
+def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int = SHARDS, text_col: str = "text") -> DataFrame:
+    """docs (its own columns) with frequent lines taken out of the texts.
+
+    A document that loses lines and of which only blanks are left goes; one that loses none
+    stays as it is, null and empty texts too. A column named n_lines, n_dropped or kept is
+    kept as it was.
+    """
+    index = index_lines(docs, min_docs, min_chars, shards, text_col)
+    own = ("n_lines", "n_dropped", "kept")
+    safe = docs.select(*[F.col(f"`{c}`").alias(f"__{c}" if c in own else c) for c in docs.columns])
+    cleaned = clean_documents(safe, index, text_col).where("n_dropped = 0 OR trim(BOTH ' \\t\\n' FROM kept) <> ''")
+    text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col(f"`{text_col}`"))
+    return cleaned.select(*[(text if c == text_col else F.col(f"`__{c}`" if c in own else f"`{c}`")).alias(c) for c in docs.columns])
