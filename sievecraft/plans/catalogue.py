@@ -1,4 +1,9 @@
-"""The registered queries of the reference's operators, with their SQL."""
+"""The registered queries of this engine's operators, with their SQL."""
+
+from . import relational, vectors
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+for module in (relational, vectors):
+    QUERIES |= module.registry.queries
+    ORACLES |= module.registry.oracles
