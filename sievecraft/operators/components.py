@@ -18,6 +18,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step on edges (a, b) with a > b, distinct."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("u", "m").alias("m"))
+    # written out, so that both sides of the join are plain exchanges, which Spark can split at a hub
+    least = materialize(least, "least")
     joined = both.join(least, both["a"] == least["u"])
     if large:  # u's larger neighbours come to hang on the least of u and its neighbours
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

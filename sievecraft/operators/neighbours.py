@@ -30,7 +30,7 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tiled(df: DataFrame, tile: int, block: str | None, both_ways: bool) -> DataFrame:
+def _tiled(df: DataFrame, tile: int, block: str | None) -> DataFrame:
     """Rows placed on every pair (ti, tj) of tiles of their block that has their own tile; ti <= tj."""
     rows = df.withColumn("__block", F.col(block) if block else F.lit(0))
     sizes = rows.groupBy("__block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
@@ -38,16 +38,16 @@ def _tiled(df: DataFrame, tile: int, block: str | None, both_ways: bool) -> Data
     return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("ti", F.least("tile", "other")).withColumn("tj", F.greatest("tile", "other"))
 
 
-def knn(df: DataFrame, k: int = 12, tile: int = TILE, digits: int = 9, block: str | None = None) -> DataFrame:
-    """df: id, v. i, j, d, rank: each row's k nearest others by (distance rounded to `digits`, id)."""
-    rows = df.select("id", doubles("v").alias("v"), *([block] if block else []))
+def knn(df: DataFrame, k: int = 12, tile: int = TILE, digits: int = 9, block: str | None = None, of: str | None = None) -> DataFrame:
+    """df: id, v. i, j, d, rank: each row's k nearest others by (distance rounded to `digits`, id). of: a boolean column that the others must have set."""
+    rows = df.select("id", doubles("v").alias("v"), (F.col(of) if of else F.lit(True)).alias("of"), *([block] if block else []))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         _, ti, tj = key
-        x, ids, tiles = _stack(pdf.v), pdf.id.to_numpy(), pdf.tile.to_numpy()
+        x, ids, tiles, eligible = _stack(pdf.v), pdf.id.to_numpy(), pdf.tile.to_numpy(), pdf["of"].fillna(False).to_numpy(bool)
         out = []
         for mine, theirs in {(ti, tj), (tj, ti)}:
-            a, b = np.flatnonzero(tiles == mine), np.flatnonzero(tiles == theirs)
+            a, b = np.flatnonzero(tiles == mine), np.flatnonzero((tiles == theirs) & eligible)
             if not len(a) or not len(b):
                 continue
             d = np.round(np.sqrt(_squared(x[a], x[b])), digits)
@@ -58,7 +58,7 @@ def knn(df: DataFrame, k: int = 12, tile: int = TILE, digits: int = 9, block: st
             out.append(pd.DataFrame({"i": np.repeat(ids[a], ok.sum(1)), "j": ids[b][order[ok]], "d": near[ok]}))
         return pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "d": []})
 
-    found = _tiled(rows, tile, block, True).select("__block", "ti", "tj", "tile", "id", "v").groupBy("__block", "ti", "tj").applyInPandas(run, "i long, j long, d double")
+    found = _tiled(rows, tile, block).select("__block", "ti", "tj", "tile", "id", "v", "of").groupBy("__block", "ti", "tj").applyInPandas(run, "i long, j long, d double")
     found = found.distinct() if block else found
     rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -94,7 +94,7 @@ def near_links(df: DataFrame, most: float, blocks: str | None = None, tile: int
             d, i, j = d[keep], i[keep], j[keep]
         return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "d": d})
 
-    tiled = _tiled(rows, tile, "__b" if block else None, False).select("__block", "ti", "tj", "tile", "id", "v", *(["p"] if params else []))
+    tiled = _tiled(rows, tile, "__b" if block else None).select("__block", "ti", "tj", "tile", "id", "v", *(["p"] if params else []))
     links = tiled.groupBy("__block", "ti", "tj").applyInPandas(run, "a long, b long, d double")
     return links.dropDuplicates(["a", "b"]) if block else links
 

@@ -1,9 +1,9 @@
 """The registered queries of this engine's operators, with their SQL."""
 
-from . import relational, vectors
+from . import models, relational, vectors
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (relational, vectors):
+for module in (relational, vectors, models):
     QUERIES |= module.registry.queries
     ORACLES |= module.registry.oracles
