@@ -1,50 +1,13 @@
-"""What the operators of this package share: shared-folder tables and small text helpers."""
+"""What the operators of this package share."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset, as in tests) a new temporary one."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sievecraft-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sievecraft/{label}-{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
-    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+from ..functions.storage import materialize, release, shared_dir
 
-
-def release() -> None:
-    """Delete the tables that materialize() wrote in this process."""
-    while _written:
-        spark, path = _written.pop()
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-atexit.register(release)
+__all__ = ["id_and_text", "materialize", "release", "shared_dir", "text_or_empty"]
 
 
 def text_or_empty(text_col: str) -> Column:
@@ -54,9 +17,3 @@ def text_or_empty(text_col: str) -> Column:
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id long, text string), null text as empty; whatever else docs holds is not read."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).cast("string").alias("text"))
-
-
-def bounded_bytes(n: int, limit: int, what: str) -> int:
-    if n > limit:
-        raise ValueError(f"{what}: {n} bytes, over the broadcast limit of {limit}")
-    return n

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
-from .components import connected_components
+from ..operators.components import connected_components
 
 GRAM = 5
 THRESHOLD = 0.8
