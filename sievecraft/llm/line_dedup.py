@@ -132,6 +132,7 @@ class LineIndex:
     filters: DataFrame
     min_docs: int
     min_chars: int
+    shards: int
 
 
 def _document_keys(min_chars: int):
@@ -177,7 +178,7 @@ def index_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     shard = F.pmod(F.col("k1"), F.lit(shards)).cast("int")
     refs = materialize(_counts(docs, text_col, min_chars).select("k1", "k2", shard.alias("shard"), F.col("n").alias("refs")), "line-refs")
     filters = refs.where(F.col("refs") >= min_docs).select("shard", "k1", "k2").groupBy("shard").applyInPandas(_build, _FILTERS)
-    return LineIndex(refs, materialize(filters, "line-filters"), min_docs, min_chars)
+    return LineIndex(refs, materialize(filters, "line-filters"), min_docs, min_chars, shards)
 
 
 def _revise(key, changes, old):
@@ -197,7 +198,7 @@ def _revise(key, changes, old):
 
 def update_lines(index: LineIndex, docs: DataFrame, sign: int, text_col: str = "text") -> LineIndex:
     """index with the lines of docs counted in (sign 1) or out (sign -1). docs to delete must be among those indexed; earlier index stays valid."""
-    shards = F.pmod(F.col("k1"), F.lit(_shards_of(index))).cast("int")
+    shards = F.pmod(F.col("k1"), F.lit(index.shards)).cast("int")
     delta = _counts(docs, text_col, index.min_chars).select("k1", "k2", shards.alias("shard"), F.lit(0).cast("long").alias("refs"), (F.col("n") * sign).alias("delta"))
     both = index.refs.withColumn("delta", F.lit(0).cast("long")).unionByName(delta).groupBy("k1", "k2", "shard").agg(F.sum("refs").alias("old"), (F.sum("refs") + F.sum("delta")).alias("refs"))
     both = materialize(both, "line-changes")
@@ -216,12 +217,7 @@ def update_lines(index: LineIndex, docs: DataFrame, sign: int, text_col: str = "
         if "OverflowError" not in str(e):
             raise
         filters = materialize(full.select("shard", "k1", "k2").groupBy("shard").applyInPandas(_build, _FILTERS), "line-filters")
-    return LineIndex(refs, filters, index.min_docs, index.min_chars)
-
-
-def _shards_of(index: LineIndex) -> int:
-    row = index.refs.agg(F.max("shard").alias("m")).first()
-    return SHARDS if row.m is None else max(SHARDS, row.m + 1)
+    return LineIndex(refs, filters, index.min_docs, index.min_chars, index.shards)
 
 
 def _probe_all(tables: dict[int, np.ndarray], shards: int, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
@@ -280,7 +276,7 @@ def clean_documents(docs: DataFrame, index: LineIndex, text_col: str = "text", b
     at, names, min_chars = docs.columns.index(text_col), docs.columns, index.min_chars
     size = index.filters.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0)).alias("n")).first().n
     if size <= broadcast_bytes:
-        shards = _shards_of(index)
+        shards = index.shards
         tables = spark.sparkContext.broadcast({r.shard: CuckooFilter.from_bytes(r["filter"]).table for r in index.filters.collect()})
 
         def wrong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
