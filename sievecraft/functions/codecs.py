@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 PACKED = 128
 UNPACKED = 155
@@ -168,12 +169,12 @@ def unpack7(data: bytes) -> bytes:
     return bytes(out)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def pack7_udf(data: pd.Series) -> pd.Series:
     return data.map(pack7)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def unpack7_udf(data: pd.Series) -> pd.Series:
     return data.map(unpack7)
 

@@ -23,9 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again."""
+FILE_BYTES = 64 << 20
+
+
+def files_for(rows: int, row_bytes: int) -> int:
+    """How many files hold so many rows at a good size."""
+    return max(1, -(-rows * row_bytes // FILE_BYTES))
+
+
+def materialize(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again. files: deal the rows to so many files, where a task each would make many small ones."""
     spark = df.sparkSession
+    if files:
+        df = df.repartition(files)
     path = f"{shared_dir(spark)}/sievecraft/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
