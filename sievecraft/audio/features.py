@@ -32,8 +32,9 @@ def operator_table() -> Column:
     return F.array(*[F.array(*[F.lit(op in routes.carriers(a)) for op in range(6, 0, -1)]) for a in range(32)])
 
 
-def structural(params: Column) -> dict[str, Column]:
-    """The structural features of 155 parameters."""
+def structural(df: DataFrame, params_col: str = "params", into: str = "structural") -> DataFrame:
+    """df with a struct of the structural features of 155 parameters. What several features need is a column of its own on the way, computed once."""
+    params = F.col(params_col)
     p = lambda i: F.element_at(params, i + 1)
     algorithm = p(134).bitwiseAND(31)
     heard = F.element_at(operator_table(), algorithm + 1)
@@ -41,14 +42,14 @@ def structural(params: Column) -> dict[str, Column]:
     ops = F.transform(
         F.sequence(F.lit(0), F.lit(5)),
         lambda k: F.struct(
-            field(k, 16).alias("level"), F.element_at(heard, k + 1).alias("heard"), field(k, 17).alias("mode"), field(k, 20).cast("double").alias("detune"), field(k, 0).alias("attack"), field(k, 7).alias("end"), field(k, 6).alias("sustain"),
+            field(k, 16).alias("level"), F.element_at(F.col("__heard"), k + 1).alias("heard"), field(k, 17).alias("mode"), field(k, 20).cast("double").alias("detune"), field(k, 0).alias("attack"), field(k, 7).alias("end"), field(k, 6).alias("sustain"),
             (F.when(field(k, 18) == 0, F.lit(0.5)).otherwise(field(k, 18).cast("double")) * (1 + field(k, 19) / F.lit(100.0))).alias("ratio"), field(k, 14).bitwiseAND(3).alias("am"),
             (field(k, 9) + field(k, 10)).alias("scaling"), field(k, 15).alias("vel"), field(k, 13).alias("rs"), field(k, 14).alias("ams"),
         ),
     )
-    active = F.filter(ops, lambda o: o["level"] > 0)
-    tuned = F.filter(active, lambda o: o["mode"] != 1)
-    loud, mods = F.filter(active, lambda o: o["heard"]), F.filter(active, lambda o: ~o["heard"])
+    out = df.withColumn("__heard", heard).withColumn("__ops", ops).withColumn("__active", F.filter("__ops", lambda o: o["level"] > 0))
+    out = out.withColumn("__tuned", F.filter("__active", lambda o: o["mode"] != 1)).withColumn("__loud", F.filter("__active", lambda o: o["heard"])).withColumn("__mods", F.filter("__active", lambda o: ~o["heard"]))
+    heard, ops, active, tuned, loud, mods = (F.col(f"__{c}") for c in ("heard", "ops", "active", "tuned", "loud", "mods"))
     total = lambda xs, f: F.aggregate(F.transform(xs, lambda o: f(o).cast("double")), F.lit(0.0), lambda a, x: a + x)
     mean = lambda xs, f: F.when(F.size(xs) > 0, total(xs, f) / F.size(xs)).otherwise(F.lit(0.0))
 
@@ -62,7 +63,7 @@ def structural(params: Column) -> dict[str, Column]:
     sens = F.element_at(F.array(*[F.lit(x / 255.0) for x in synth.PITCH_SENS]), p(143).bitwiseAND(7) + 1)
     # fixed values: amplitude sensitivity as a share of the strongest
     amp = F.element_at(F.array(*[F.lit(x / 16777216.0) for x in (0, 4342338, 7171437, 16777216)]), most(active) + 1)
-    return {
+    made = {
         "carriers": F.size(F.filter(heard, lambda h: h)),
         "feedback": p(135).bitwiseAND(7),
         "activeOps": F.size(active),
@@ -92,6 +93,7 @@ def structural(params: Column) -> dict[str, Column]:
         "ampModModulators": most(mods),
         "pitchEg": F.abs(p(130) - 50) + F.abs(p(131) - 50) + F.abs(p(132) - 50) + F.abs(p(133) - 50),
     }
+    return out.withColumn(into, F.struct(*[c.alias(n) for n, c in made.items()])).drop("__heard", "__ops", "__active", "__tuned", "__loud", "__mods")
 
 
 def fundamental_semitones(params: Column) -> Column:
@@ -229,6 +231,6 @@ def extract(df: DataFrame, batch: int = 256, rate: int = 22050) -> DataFrame:
                 acoustic = np.nan_to_num(np.array([[m[name] for name in ACOUSTIC] for m in made]), nan=0.0, posinf=0.0, neginf=0.0)
                 yield pd.DataFrame({"id": part.id.to_numpy(), "acoustic": list(acoustic), "silent": [m["silent"] > 0 for m in made]})
 
-    structure = structural(F.col("params"))
-    both = df.select("id", "params").mapInPandas(run, "id long, acoustic array<double>, silent boolean").join(df.select("id", F.array(*[structure[n].cast("double") for n in STRUCTURAL]).alias("structural")), "id")
+    structure = structural(df.select("id", "params")).select("id", F.array(*[F.col(f"structural.{n}").cast("double") for n in STRUCTURAL]).alias("structural"))
+    both = df.select("id", "params").mapInPandas(run, "id long, acoustic array<double>, silent boolean").join(structure, "id")
     return both.select("id", F.lit(VERSION).alias("version"), F.concat("acoustic", "structural").alias("vector"), "silent")

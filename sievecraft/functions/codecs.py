@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from .expr import let
+
 PACKED = 128
 UNPACKED = 155
 SLUG_LENGTH = 12
@@ -56,8 +58,7 @@ def decode_link(link: Column, size: int = PACKED) -> Column:
 
 def byte_array(data: Column) -> Column:
     """The bytes of a binary column as integers."""
-    h = F.hex(data)
-    return F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: F.conv(F.substring(h, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))
+    return let(F.hex(data), lambda h: F.transform(F.sequence(F.lit(1), (F.length(h) / 2).cast("int")), lambda i: F.conv(F.substring(h, 2 * i - 1, F.lit(2)), 16, 10).cast("int")))
 
 
 def from_byte_array(values: Column) -> Column:
@@ -118,9 +119,8 @@ LAYOUT = _layout()
 
 def unpack(packed: Column) -> Column:
     """128 packed bytes -> 155 parameters, as an array of integers."""
-    b = byte_array(packed)
     at, shift, mask = (F.array(*[F.lit(x[i]) for x in LAYOUT]) for i in range(3))
-    raw = F.transform(at, lambda i: F.element_at(b, i + 1))
+    raw = let(byte_array(packed), lambda b: F.transform(at, lambda i: F.element_at(b, i + 1)))
     powers = F.transform(shift, lambda s: F.pow(F.lit(2), s).cast("int"))
     shifted = F.zip_with(raw, powers, lambda v, p: F.floor(v / p).cast("int"))
     return F.zip_with(shifted, mask, lambda v, m: v.bitwiseAND(m))
@@ -128,10 +128,14 @@ def unpack(packed: Column) -> Column:
 
 def pack(values: Column) -> Column:
     """155 parameters -> 128 packed bytes; bits outside a parameter's field are cut off."""
-    parts: dict[int, list[Column]] = {}
-    for i, (at, shift, mask) in enumerate(LAYOUT):
-        parts.setdefault(at, []).append(F.element_at(values, i + 1).bitwiseAND(F.lit(mask)) * (1 << shift))
-    return from_byte_array(F.array(*[sum(parts[k][1:], parts[k][0]) for k in range(PACKED)]))
+
+    def packed(v: Column) -> Column:
+        parts: dict[int, list[Column]] = {}
+        for i, (at, shift, mask) in enumerate(LAYOUT):
+            parts.setdefault(at, []).append(F.element_at(v, i + 1).bitwiseAND(F.lit(mask)) * (1 << shift))
+        return F.array(*[sum(parts[k][1:], parts[k][0]) for k in range(PACKED)])
+
+    return from_byte_array(let(values, packed))
 
 
 def unpack_bytes(packed: bytes) -> bytes:

@@ -73,3 +73,8 @@ def doubles(c: Column | str) -> Column:
 def round_half_up(x: Column) -> Column:
     """Nearest integer, halves upwards (also below zero)."""
     return F.floor(x + F.lit(0.5))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once per row however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

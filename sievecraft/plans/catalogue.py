@@ -1,9 +1,9 @@
 """The registered queries of this engine's operators, with their SQL."""
 
-from . import models, relational, streams, vectors
+from . import models, records, relational, streams, vectors
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (relational, vectors, models, streams):
+for module in (relational, vectors, models, streams, records):
     QUERIES |= module.registry.queries
     ORACLES |= module.registry.oracles
