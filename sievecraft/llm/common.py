@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import materialize, release, shared_dir
+from ..functions.storage import files_for, materialize, release, shared_dir
 
-__all__ = ["id_and_text", "materialize", "release", "shared_dir", "text_or_empty"]
+__all__ = ["files_for", "id_and_text", "materialize", "release", "shared_dir", "text_or_empty"]
 
 
 def text_or_empty(text_col: str) -> Column:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import files_for, materialize, text_or_empty
 from ..operators.components import connected_components
 
 GRAM = 5
@@ -203,30 +203,35 @@ def similar_texts(docs: DataFrame, threshold: float = THRESHOLD, tolerance: floa
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.md5(text_or_empty(text_col))).alias("key"), text_or_empty(text_col).alias("text"))
     signed = materialize(texts.mapInArrow(_sign, "doc_id long, key binary, sig binary"), "signed")
-    classes = materialize(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.min("sig").alias("sig")), "classes")
+    n = signed.count()
+    classes = materialize(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.min("sig").alias("sig")), "classes", files_for(n, 4 * HASHES + 64))
 
     buckets = classes.where("sig IS NOT NULL").select("key", "sig").mapInArrow(_bands, "bucket long, key binary")
     heads = buckets.groupBy("bucket").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "head")
+    # written out, so that both sides of the join are plain exchanges, which Spark can split where a key is common
+    heads = materialize(heads, "heads", files_for(n, 4 * BANDS))
     hung = buckets.join(heads, "bucket").where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"))
-    groups = connected_components(hung)
+    groups = connected_components(hung, files=files_for(n, 64))
 
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
     members = groups.join(sizes, "component").select(F.col("node").alias("key"), "component", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
     members = members.join(classes.select("key", "rep", "sig"), "key")
-    members = members.join(texts, "key").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "component", "tiles", "tile", "sig", "text")
+    # joined on both, so that many copies of a text are dealt by their ids
+    members = members.withColumnRenamed("key", "own_key").join(texts, (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "component", "tiles", "tile", "sig", "text")
     # a member meets each tile of its group once
     placed = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "component", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "key", "tile", "sig", "text"
     )
     linked = placed.groupBy("component", "ti", "tj").applyInPandas(_tile(threshold, tolerance), "key binary, links long, head binary")
-    linked = materialize(linked, "linked")
+    linked = materialize(linked, "linked", files_for(n, 64))
 
-    final = connected_components(linked.select(F.col("key").alias("a"), F.col("head").alias("b")))
+    final = connected_components(linked.select(F.col("key").alias("a"), F.col("head").alias("b")), files=files_for(n, 64))
     links = linked.groupBy("key").agg(F.sum("links").alias("n_links"))
     ids = final.join(classes.select("key", "rep"), F.col("node") == F.col("key")).select("node", "component", "rep")
     named = ids.join(ids.groupBy("component").agg(F.min("rep").alias("class_id")), "component").select(F.col("node").alias("key"), "class_id")
     about = classes.select("key", "rep", "n_copies").join(links, "key", "left").join(named, "key", "left")
     about = about.select("key", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
+    about = materialize(about, "about", files_for(n, 64))
     return signed.select("doc_id", "key").join(about, "key").select("doc_id", "class_id", "n_links", "n_copies", *(["key"] if with_key else []))
 
 
@@ -234,7 +239,7 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     """docs' columns, one document of each class of similar_texts(): the one whose id is the class id; where that row is repeated, or its id null, one of equal rows."""
     found = similar_texts(docs, threshold, id_col=id_col, text_col=text_col, with_key=True)
     kept = found.where(F.col("class_id").eqNullSafe(F.col("doc_id"))).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
-    kept = materialize(kept, "kept")
+    kept = materialize(kept, "kept", files_for(docs.count(), 32))
     key = F.unhex(F.md5(text_or_empty(text_col)))
     out = docs.join(kept, (F.col("__key") == key) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")), "left_semi")
     if kept.where("__n > 1").limit(1).count():  # rows of the same id and text
