@@ -178,7 +178,7 @@ def index_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     shard = F.pmod(F.col("k1"), F.lit(shards)).cast("int")
     refs = materialize(_counts(docs, text_col, min_chars).select("k1", "k2", shard.alias("shard"), F.col("n").alias("refs")), "line-refs")
     filters = refs.where(F.col("refs") >= min_docs).select("shard", "k1", "k2").groupBy("shard").applyInPandas(_build, _FILTERS)
-    return LineIndex(refs, materialize(filters, "line-filters"), min_docs, min_chars, shards)
+    return LineIndex(refs, materialize(filters, "line-filters", 1 + shards // 64), min_docs, min_chars, shards)
 
 
 def _revise(key, changes, old):
@@ -212,7 +212,7 @@ def update_lines(index: LineIndex, docs: DataFrame, sign: int, text_col: str = "
 
     touched = steps.groupBy("shard").cogroup(index.filters.groupBy("shard")).applyInPandas(revise, _FILTERS)
     try:
-        filters = materialize(touched, "line-filters")
+        filters = materialize(touched, "line-filters", 1 + index.shards // 64)
     except Exception as e:  # a filter that became too full is built anew
         if "OverflowError" not in str(e):
             raise
