@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import files_for, materialize, text_or_empty
 
 WINDOW = 35
 GRAM = 8
@@ -201,22 +201,28 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id
     have a window; null or repeated doc_ids are treated row by row; an empty table gives no
     rows; other columns are ignored.
     """
-    kept_as = kept_as or (lambda c: c)
+    wide, kept_as = kept_as is None, kept_as or (lambda c: c)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.md5(text_or_empty(text_col))).alias("key"), text_or_empty(text_col).alias("text"))
     copies = texts.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"))
 
     # 1: which minimizers the reference has at another place
     anchors = materialize(texts.select("key", "text").mapInArrow(_anchors(window, gram), "minimizer long, key binary, twice boolean"), "anchors")
+    n_docs, n_anchors = docs.count(), anchors.count()
     own = F.xxhash64("key")
     repeated = anchors.groupBy("minimizer").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.max("twice").alias("twice")).where("lo <> hi OR twice").select("minimizer")
+    # written out, so that both sides of the join are plain exchanges, which Spark can split where a key is common
+    repeated = materialize(repeated, "repeated-minimizers", files_for(n_anchors, 8))
     marked = anchors.select("minimizer", "key").join(repeated, "minimizer", "left_semi").groupBy("key").agg(F.collect_set("minimizer").alias("marks"))
     # one row for each text that has such; equal rows (doc_id and text) may stay, and do no harm
-    chosen = texts.join(marked.join(copies, "key"), "key").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "text", "marks")
+    wanted = marked.join(copies, "key").select(F.col("key").alias("own_key"), "rep", "marks")
+    # joined on both, so that many copies of a text are dealt by their ids
+    chosen = texts.join(wanted, (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "text", "marks")
     chosen = materialize(chosen, "marked-texts")
 
     # 2: which windows the reference has at another place
     places = chosen.mapInArrow(_windows(window, gram), "h1 long, h2 int, key binary, places long").select("h1", "h2", F.xxhash64("key").alias("own"), "places")
     indexed = places.groupBy("h1", "h2").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.max("places").alias("most")).where("lo <> hi OR most > 1").select("h1", "h2")
+    indexed = materialize(indexed, "repeated-windows", files_for(n_anchors, 16))
     found = places.select("h1", "h2", "own").join(indexed, ["h1", "h2"], "left_semi").groupBy("own").agg(F.collect_set(F.struct("h1", "h2")).alias("blocks"))
 
     # 3: the parse
@@ -224,7 +230,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id
     parsed = parsed.select("key", F.col("n_removed").alias("parsed_removed"), kept_as(F.col("kept")).alias("parsed_kept")).dropDuplicates(["key"])
 
     plain = texts.select("doc_id", "key", "text").mapInArrow(_plain, "doc_id long, key binary, n_words long, kept string").select("doc_id", "key", "n_words", kept_as(F.col("kept")).alias("kept"))
-    out = plain.join(copies.select("key", "copies").join(parsed, "key", "left"), "key", "left")
+    outcome = materialize(copies.select("key", "copies").join(parsed, "key", "left"), "outcome", None if wide else files_for(n_docs, 128))
+    out = plain.join(outcome, "key", "left")
     gone = (F.col("copies") > 1) & (F.col("n_words") >= window)
     return out.select(
         "doc_id",
