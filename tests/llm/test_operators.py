@@ -430,6 +430,16 @@ def test_rolling_hashes_depend_on_content_only():
         assert substring_dedup._sliding_min(x, w).tolist() == [x[i : i + w].min() for i in range(50 - w + 1)]
 
 
+def test_pairs_that_share_a_number():
+    h1, h2 = np.array([5, 5, 7, 5, 9]), np.array([1, 2, 3, 1, 3], np.int32)
+    for k in (3, 5):
+        a, b, n = substring_dedup._distinct(h1[:k], h2[:k])
+        assert dict(zip(zip(a.tolist(), b.tolist()), n.tolist())) == collections.Counter(zip(h1[:k].tolist(), h2[:k].tolist()))
+    assert substring_dedup._among(h1, h2, np.array([9, 5]), np.array([3, 2], np.int32)).tolist() == [False, True, False, False, True]
+    assert substring_dedup._among(h1, h2, np.array([5, 5]), np.array([1, 2], np.int32)).tolist() == [True, True, False, True, False]
+    assert not substring_dedup._among(h1, h2, h1[:0], h2[:0]).any()
+
+
 def test_parse_factors():
     assert substring_dedup.parse([b"w"] * 10, np.array([0, 1, 1, 0, 0, 1], bool), 5) == [(1, 7), (5, 10)]
 
