@@ -97,6 +97,27 @@ class Windows:
                 self.h2 = (_rolling(_mixed(h), window, _MIX) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _distinct(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and how often each occurs. Sorted by the first number alone, unless two pairs share it."""
+    a, at, back, n = np.unique(h1, return_index=True, return_inverse=True, return_counts=True)
+    if (h2[at][back] == h2).all():
+        return a, h2[at], n
+    pairs, n = np.unique(np.rec.fromarrays([h1, h2], names="a,b"), return_counts=True)
+    return pairs.a, pairs.b, n
+
+
+def _among(h1: np.ndarray, h2: np.ndarray, found1: np.ndarray, found2: np.ndarray) -> np.ndarray:
+    """Which pairs are among the found ones."""
+    order = np.argsort(found1, kind="stable")
+    f1, f2 = found1[order], found2[order]
+    if not len(f1):
+        return np.zeros(len(h1), bool)
+    if (f1[1:] == f1[:-1]).any():  # pairs that share the first number
+        return np.isin(np.rec.fromarrays([h1, h2], names="a,b"), np.rec.fromarrays([f1, f2], names="a,b"))
+    at = np.minimum(np.searchsorted(f1, h1), len(f1) - 1)
+    return (f1[at] == h1) & (f2[at] == h2)
+
+
 def _anchors(window: int, gram: int):
     """Per text: its distinct minimizers, with whether another place of the same text has the gram."""
 
@@ -133,8 +154,8 @@ def _windows(window: int, gram: int):
                     w = Windows(words_of(part.column(1)[i].as_py()), window, gram)
                     marks = part.column(2)[i].values.to_numpy(zero_copy_only=False)
                     at = np.flatnonzero(np.isin(w.minimizer, marks))
-                    pairs, n = np.unique(np.rec.fromarrays([w.h1[at], w.h2[at]], names="a,b"), return_counts=True)
-                    h1.append(pairs.a), h2.append(pairs.b), places.append(n), rows.append(np.full(len(n), i))
+                    a, c, n = _distinct(w.h1[at], w.h2[at])
+                    h1.append(a), h2.append(c), places.append(n), rows.append(np.full(len(n), i))
                 if rows and len(at := np.concatenate(rows)):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(h1)), pa.array(np.concatenate(h2)), part.column(0).take(pa.array(at)), pa.array(np.concatenate(places).astype(np.int64))], names=["h1", "h2", "key", "places"]
@@ -167,10 +188,8 @@ def _parse_all(window: int, gram: int):
                     w = Windows(words, window, gram)
                     blocks = part.column(2)[i].values
                     a, c = (blocks.field(j).to_numpy(zero_copy_only=False) for j in (0, 1))
-                    found = np.unique(np.rec.fromarrays([a, c], names="a,b"))
-                    mine = np.rec.fromarrays([w.h1, w.h2], names="a,b")
                     gone = np.zeros(len(words), bool)
-                    for lo, hi in parse(words, np.isin(mine, found), window):
+                    for lo, hi in parse(words, _among(w.h1, w.h2, a, c), window):
                         gone[lo:hi] = True
                     n_words.append(len(words))
                     n_removed.append(int(gone.sum()))
