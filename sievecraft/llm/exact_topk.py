@@ -116,10 +116,20 @@ def _exact_scores(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
 _FOUND = "query_id long, vec_id long, score long"
 
 
+_NONE = -(2**63)
+
+
+def _in_blocks(q: pd.DataFrame, size: int):
+    """Start, ids and vectors of blocks of queries."""
+    for k in range(0, len(q), size):
+        part = q.iloc[k : k + size]
+        yield k, part.vec_id.to_numpy(), _matrix(part.v)
+
+
 def _search_block(tree: BallTree, q_ids: np.ndarray, q: np.ndarray, kth: np.ndarray | None, k: int) -> pd.DataFrame:
     top = np.abs(q).max(initial=0).astype(float) * np.abs(tree.vectors).max(initial=0) * q.shape[1]
     exact_float = top < 2**52
-    rows = [(qid, i, s) for n, (qid, x) in enumerate(zip(q_ids.tolist(), q)) for s, i in tree.search(qid, x, k, None if kth is None or kth[n] == -(2**63) else int(kth[n]), exact_float)]
+    rows = [(qid, i, s) for n, (qid, x) in enumerate(zip(q_ids.tolist(), q)) for s, i in tree.search(qid, x, k, None if kth is None or kth[n] == _NONE else int(kth[n]), exact_float)]
     return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"], dtype="int64")
 
 
@@ -151,28 +161,31 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = K, shard_rows: in
     asked = queries.select("vec_id", "v", dim, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
     asked = materialize(asked, "search-queries")
 
-    def round_(pairs: DataFrame, with_kth: bool) -> DataFrame:
-        """pairs: shard, block. Every shard's rows meet its blocks' queries; both sides are dealt by shard."""
-        wanted = asked.join(F.broadcast(pairs), "block") if not with_kth else asked.join(kth, asked["vec_id"] == kth["query_id"], "left").drop("query_id").join(F.broadcast(pairs), "block")
+    home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
 
-        def run(key, own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+    def run(own_kth: bool):
+        def task(key, own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
             out = []
             for d, part in own.groupby("dim"):
                 q = other[other.dim == d]
                 if len(q):
                     tree = BallTree(part.vec_id.to_numpy(), _matrix(part.v))
-                    bound = q.kth.fillna(-(2**63)).astype("int64").to_numpy() if with_kth else None
-                    out.append(_search_block(tree, q.vec_id.to_numpy(), _matrix(q.v), bound, k))
+                    bound = q.kth.fillna(_NONE).astype("int64").to_numpy() if own_kth else None
+                    out += [_search_block(tree, ids, v, None if bound is None else bound[k : k + query_block], k_best) for k, ids, v in _in_blocks(q, query_block)]
             return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
-        return rows.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInPandas(run, _FOUND)
-
-    # one row for each shard and block, never for rows
-    grid = spark.range(shards).select(F.col("id").cast("int").alias("shard")).join(spark.range(blocks).select(F.col("id").cast("int").alias("block")), F.pmod(F.col("block"), F.lit(shards)) == F.col("shard"))
-    pilot = materialize(round_(grid, False), "search-pilot")
-    kth = pilot.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select("query_id", "kth")
-    others = spark.range(blocks).select(F.col("id").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).where(F.pmod(F.col("block"), F.lit(shards)) != F.col("shard"))
-    found = pilot.unionByName(round_(others, True)) if shards > 1 else pilot
+        return task
+
+    k_best = k
+    # first round: every block of queries in one shard
+    pilot = rows.groupBy("shard").cogroup(asked.withColumn("shard", home).groupBy("shard")).applyInPandas(run(False), _FOUND)
+    pilot = materialize(pilot, "search-pilot")
+    found = pilot
+    if shards > 1:  # second round: in all others, from the scores that the first round found
+        kth = pilot.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select("query_id", "kth")
+        bounded = asked.join(kth, asked["vec_id"] == kth["query_id"], "left").drop("query_id")
+        wanted = bounded.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != home)
+        found = pilot.unionByName(rows.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInPandas(run(True), _FOUND))
     # Spark limits each task's rows of a query to k before it deals them
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
