@@ -43,7 +43,9 @@ def shape(word: str) -> str:
 
 
 def _word(word: str) -> tuple[int, int]:
-    found = _words[word] = (xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass")), xxhash.xxh3_64_intdigest(shape(word[:64]).encode("utf-8", "surrogatepass")))
+    found = (xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass")), xxhash.xxh3_64_intdigest(shape(word).encode("utf-8", "surrogatepass")))
+    if len(word) <= 256:
+        _words[word] = found
     return found
 
 

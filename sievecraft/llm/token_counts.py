@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,11 +118,30 @@ class Counter:
         # fixed value: the published pattern that byte-level pre-tokenizers have built in
         self.pattern = regex.compile(pattern or r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.known: dict[str, int] = {}
+        self.byte_of = {c: b for b, c in char.items()}
+        self.vocabulary, self.library = vocabulary, None
+        self.plain: set[str] = set()
+
+    def all_known(self, text: str) -> bool:
+        """Whether Python's Unicode tables know all characters. Other tables may know those it does not, so such texts are split by the library itself."""
+        new = set(text) - self.plain
+        if new:
+            self.plain.update(c for c in new if unicodedata.category(c) != "Cn")
+        return new <= self.plain
+
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens of a text without added tokens."""
+        if text.isascii() or self.all_known(text):
+            return self.pattern.findall(self.normal(text))
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.vocabulary)
+        normal = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+        return [bytes(self.byte_of[c] for c in piece).decode("utf-8", "surrogatepass") for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def normal(self, text: str) -> str:
         if "NFC" in self.steps and not text.isascii():
-            import unicodedata
-
             text = unicodedata.normalize("NFC", text)
         # The Replace step only turns white space into blanks, which the pattern drops either way.
         if "Lowercase" in self.steps:
@@ -132,9 +152,9 @@ class Counter:
     def pieces(self, text: str) -> tuple[list[str], int]:
         """The pre-tokens of a text, and how many added tokens it has."""
         if self.added is None or not any(a in text for a in self.first_chars):
-            return self.pattern.findall(self.normal(text)), 0
+            return self.split(text), 0
         parts = self.added.split(text)
-        return [w for x in parts[::2] for w in self.pattern.findall(self.normal(x))], len(parts) // 2
+        return [w for x in parts[::2] for w in self.split(x)], len(parts) // 2
 
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text; pre-tokens not met before are merged together."""

@@ -38,7 +38,7 @@ def words_of(text: str) -> set[bytes]:
 
 def places_of(word: bytes, places: int = PLACES) -> list[int]:
     """Places of a word: of itself, its n-grams, and (apart) those at its start."""
-    h, marked = xxhash.xxh3_64_intdigest, b"<" + word[:64] + b">"
+    h, marked = xxhash.xxh3_64_intdigest, b"<" + word + b">"
     out = {h(b"=" + word) % places}
     for n in GRAMS:
         out.update(h(marked[i : i + n]) % places for i in range(len(marked) - n + 1))
@@ -55,7 +55,8 @@ class Model:
         v = float(self.weights[places_of(word, len(self.weights))].sum())
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        self.known[word] = v
+        if len(word) <= 256:
+            self.known[word] = v
         return v
 
     def margin(self, text: str) -> float:
