@@ -1,19 +1,19 @@
 """Substring dedup: relative Lempel-Ziv factors against an index of the corpus in hash-dealt blocks.
 
-A factor is a stretch of a document that the indexed reference also holds elsewhere; only
-factors of at least `window` words matter. The reference index is dealt by content, so that
-a document need not be parsed against every block: a window of words can occur elsewhere
-only if its minimizer (the least hash of its 8-word grams) does, and that picks the block.
+A factor says that a stretch of a document can be copied from a place of the reference, which
+is the corpus itself; only factors of at least `window` words matter. The index is dealt by
+content, so that a document need not be parsed against every block: a window of words can
+occur elsewhere only if its minimizer (the least hash of its 8-word grams) does, and that
+picks the block.
 
 1. Every document reports its distinct minimizers. Blocks of the reference, dealt by
    minimizer, tell which of them other texts (or other places of a text) have too.
-2. Texts with such minimizers report the windows that hang on them; blocks dealt by window
-   hash keep those that occur at two places or more.
-3. Each document is parsed greedily, from left to right, against the repeated windows that
-   its blocks returned: a factor starts at an indexed window and grows while the next word
-   completes another indexed window. A new factor may start before the last one ended (the
-   windows that straddle a factor's end are tried as well), so no window is missed.
-   Words of factors go.
+2. Texts with such minimizers report the windows that hang on them. Blocks dealt by window
+   hash keep those that occur at two places or more, with the first and the last place.
+3. Each document is parsed greedily, from left to right: a factor starts at a window that its
+   blocks place elsewhere, and grows word by word as long as the next window's place follows
+   on. Where it ends, the next factor may start at a window that straddles the end, so no
+   window is missed. Words of factors go.
 
 All exchanges carry sums or minima that are combined before they are dealt, or joins whose
 large side can be split, so a passage that a third of the corpus shares meets in no task.
@@ -97,25 +97,26 @@ class Windows:
                 self.h2 = (_rolling(_mixed(h), window, _MIX) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _distinct(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs and how often each occurs. Sorted by the first number alone, unless two pairs share it."""
+def _distinct(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, where each is first, and how often it occurs. Sorted by the first number alone, unless two pairs share it."""
     a, at, back, n = np.unique(h1, return_index=True, return_inverse=True, return_counts=True)
     if (h2[at][back] == h2).all():
-        return a, h2[at], n
-    pairs, n = np.unique(np.rec.fromarrays([h1, h2], names="a,b"), return_counts=True)
-    return pairs.a, pairs.b, n
+        return a, h2[at], at, n
+    pairs, at, n = np.unique(np.rec.fromarrays([h1, h2], names="a,b"), return_index=True, return_counts=True)
+    return pairs.a, pairs.b, at, n
 
 
-def _among(h1: np.ndarray, h2: np.ndarray, found1: np.ndarray, found2: np.ndarray) -> np.ndarray:
-    """Which pairs are among the found ones."""
-    order = np.argsort(found1, kind="stable")
+def _lookup(h1: np.ndarray, h2: np.ndarray, found1: np.ndarray, found2: np.ndarray) -> np.ndarray:
+    """Where each pair is among the found ones, or -1."""
+    if not len(found1):
+        return np.full(len(h1), -1)
+    order = np.lexsort((found2, found1))
     f1, f2 = found1[order], found2[order]
-    if not len(f1):
-        return np.zeros(len(h1), bool)
-    if (f1[1:] == f1[:-1]).any():  # pairs that share the first number
-        return np.isin(np.rec.fromarrays([h1, h2], names="a,b"), np.rec.fromarrays([f1, f2], names="a,b"))
     at = np.minimum(np.searchsorted(f1, h1), len(f1) - 1)
-    return (f1[at] == h1) & (f2[at] == h2)
+    if (f1[1:] == f1[:-1]).any():  # pairs that share the first number
+        place = {(x, y): i for i, (x, y) in enumerate(zip(f1.tolist(), f2.tolist()))}
+        at = np.array([place.get(p, 0) for p in zip(h1.tolist(), h2.tolist())], np.int64)
+    return np.where((f1[at] == h1) & (f2[at] == h2), order[at], -1)
 
 
 def _anchors(window: int, gram: int):
@@ -143,38 +144,54 @@ def _anchors(window: int, gram: int):
 
 
 def _windows(window: int, gram: int):
-    """Per text: its distinct windows on repeated minimizers, with whether the text has them at two places."""
+    """Per text: its distinct windows on repeated minimizers, with the first place and the number of places in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
-                rows, h1, h2, places = [], [], [], []
+                rows, h1, h2, first, places = [], [], [], [], []
                 for i in range(part.num_rows):
                     w = Windows(words_of(part.column(1)[i].as_py()), window, gram)
                     marks = part.column(2)[i].values.to_numpy(zero_copy_only=False)
                     at = np.flatnonzero(np.isin(w.minimizer, marks))
-                    a, c, n = _distinct(w.h1[at], w.h2[at])
-                    h1.append(a), h2.append(c), places.append(n), rows.append(np.full(len(n), i))
+                    a, c, p, n = _distinct(w.h1[at], w.h2[at])
+                    h1.append(a), h2.append(c), first.append(at[p]), places.append(n), rows.append(np.full(len(n), i))
                 if rows and len(at := np.concatenate(rows)):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(h1)), pa.array(np.concatenate(h2)), part.column(0).take(pa.array(at)), pa.array(np.concatenate(places).astype(np.int64))], names=["h1", "h2", "key", "places"]
+                        [pa.array(np.concatenate(h1)), pa.array(np.concatenate(h2)), part.column(0).take(pa.array(at)), pa.array(np.concatenate(first).astype(np.int64)), pa.array(np.concatenate(places).astype(np.int64))],
+                        names=["h1", "h2", "key", "first", "places"],
                     )
 
     return run
 
 
-def parse(words: list[bytes], indexed: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Greedy factors (start, end) of a document. indexed: for each window whether the reference holds it elsewhere.
+#: A place of the reference is a number: a text's hash without its last 24 bits, and there the word at which a window starts.
+_START_BITS = 24
+_STARTS = (1 << _START_BITS) - 1
+
+
+def elsewhere(own: int, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Of a window's first and last place in the reference, the first that is not the window at `at` of the text `own` itself."""
+    mine = (own & ~_STARTS) | np.minimum(at, _STARTS)
+    return np.where(low == mine, high, low)
+
 
-    A factor grows while the next window is indexed; after its end, windows that straddle
-    the end have been tried already, so the parse goes on at the next indexed window.
+def parse(at: np.ndarray, place: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """Greedy factors (start, length, place) of a document, in words.
+
+    at: its windows that the reference holds elsewhere, ascending; place: where. A factor
+    grows while the next window is held at the place that follows; the windows that straddle
+    its end are looked at next, and may start another factor before that end.
     """
-    at = np.flatnonzero(indexed)
     if not len(at):
         return []
-    cut = np.flatnonzero(np.diff(at) > 1) + 1
-    return [(int(run[0]), int(run[-1]) + window) for run in np.split(at, cut)]
+    cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(place) != 1)) + 1
+    starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]])
+    return [(int(at[a]), int(at[b - 1] - at[a]) + window, int(place[a])) for a, b in zip(starts, ends)]
+
+
+_PARSED = "key binary, n_words long, n_removed long, kept string, factors array<struct<start:int,length:int,place:bigint>>"
 
 
 def _parse_all(window: int, gram: int):
@@ -182,19 +199,25 @@ def _parse_all(window: int, gram: int):
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
-                n_words, n_removed, kept = [], [], []
+                n_words, n_removed, kept, factors = [], [], [], []
                 for i in range(part.num_rows):
                     words = words_of(part.column(1)[i].as_py())
                     w = Windows(words, window, gram)
                     blocks = part.column(2)[i].values
-                    a, c = (blocks.field(j).to_numpy(zero_copy_only=False) for j in (0, 1))
+                    h1, h2, low, high = (blocks.field(j).to_numpy(zero_copy_only=False) for j in range(4))
+                    found = _lookup(w.h1, w.h2, h1, h2)
+                    at = np.flatnonzero(found >= 0)
+                    own = part.column(3)[i].as_py()
+                    factors.append(parse(at, elsewhere(own, at, low[found[at]], high[found[at]]), window))
                     gone = np.zeros(len(words), bool)
-                    for lo, hi in parse(words, _among(w.h1, w.h2, a, c), window):
-                        gone[lo:hi] = True
+                    for start, length, _ in factors[-1]:
+                        gone[start : start + length] = True
                     n_words.append(len(words))
                     n_removed.append(int(gone.sum()))
                     kept.append(b" ".join(x for x, g in zip(words, gone) if not g).decode("utf-8", "surrogatepass"))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["key", "n_words", "n_removed", "kept"])
+                shown = [[{"start": a, "length": n, "place": p} for a, n, p in f] for f in factors]
+                kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("place", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(shown, kind)], names=["key", "n_words", "n_removed", "kept", "factors"])
 
     return run
 
@@ -209,24 +232,14 @@ def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "key", "n_words", "kept"])
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", kept_as=None) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words left, joined by one space); one row per document.
-
-    Removed is each word of a stretch of `window` words that also starts anywhere else, in
-    the same document or another one; all places lose it. kept_as: an expression over kept
-    (such as a digest) that is returned in its stead, and spares the last exchange the texts.
-    Defined cases: null or empty text has no words and is kept as the empty text; a text of
-    fewer words than the window loses none; documents of equal text lose all words, if they
-    have a window; null or repeated doc_ids are treated row by row; an empty table gives no
-    rows; other columns are ignored.
-    """
-    wide, kept_as = kept_as is None, kept_as or (lambda c: c)
+def _located(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of docs: texts (doc_id, key, text), copies (key, copies, rep), and parsed texts (key, n_words, n_removed, kept, factors) of those with factors."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.md5(text_or_empty(text_col))).alias("key"), text_or_empty(text_col).alias("text"))
     copies = texts.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"))
 
     # 1: which minimizers the reference has at another place
     anchors = materialize(texts.select("key", "text").mapInArrow(_anchors(window, gram), "minimizer long, key binary, twice boolean"), "anchors")
-    n_docs, n_anchors = docs.count(), anchors.count()
+    n_anchors = anchors.count()
     own = F.xxhash64("key")
     repeated = anchors.groupBy("minimizer").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.max("twice").alias("twice")).where("lo <> hi OR twice").select("minimizer")
     # written out, so that both sides of the join are plain exchanges, which Spark can split where a key is common
@@ -238,18 +251,41 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id
     chosen = texts.join(wanted, (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "text", "marks")
     chosen = materialize(chosen, "marked-texts")
 
-    # 2: which windows the reference has at another place
-    places = chosen.mapInArrow(_windows(window, gram), "h1 long, h2 int, key binary, places long").select("h1", "h2", F.xxhash64("key").alias("own"), "places")
-    indexed = places.groupBy("h1", "h2").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.max("places").alias("most")).where("lo <> hi OR most > 1").select("h1", "h2")
-    indexed = materialize(indexed, "repeated-windows", files_for(n_anchors, 16))
-    found = places.select("h1", "h2", "own").join(indexed, ["h1", "h2"], "left_semi").groupBy("own").agg(F.collect_set(F.struct("h1", "h2")).alias("blocks"))
+    # 2: which windows the reference has at another place, and the first and last place
+    places = chosen.mapInArrow(_windows(window, gram), "h1 long, h2 int, key binary, first long, places long").select("h1", "h2", own.alias("own"), "first", "places")
+    place = F.col("own").bitwiseAND(F.lit(~_STARTS)).bitwiseOR(F.least("first", F.lit(_STARTS)))
+    sums = places.groupBy("h1", "h2").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.max("places").alias("most"), F.min(place).alias("low"), F.max(place).alias("high"))
+    indexed = materialize(sums.where("lo <> hi OR most > 1").select("h1", "h2", "low", "high"), "repeated-windows", files_for(n_anchors, 32))
+    found = places.select("h1", "h2", "own").join(indexed, ["h1", "h2"]).groupBy("own").agg(F.collect_set(F.struct("h1", "h2", "low", "high")).alias("blocks"))
 
     # 3: the parse
-    parsed = chosen.withColumn("own", F.xxhash64("key")).join(found, "own").select("key", "text", "blocks").mapInArrow(_parse_all(window, gram), "key binary, n_words long, n_removed long, kept string")
-    parsed = parsed.select("key", F.col("n_removed").alias("parsed_removed"), kept_as(F.col("kept")).alias("parsed_kept")).dropDuplicates(["key"])
+    located = chosen.withColumn("own", own).join(found, "own").select("key", "text", "blocks", "own")
+    return texts, copies, located.mapInArrow(_parse_all(window, gram), _PARSED).dropDuplicates(["key"])
+
+
+def factorize(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key (md5 of the text), factors: (start, length, place) of each document with factors; cases as in dedup_substrings(), but copies of a text show the factors they share with other texts only."""
+    texts, _, parsed = _located(docs, window, gram, id_col, text_col)
+    return texts.select("doc_id", "key").join(materialize(parsed.select("key", "factors"), "factors"), "key")
+
+
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", kept_as=None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words left, joined by one space); one row per document.
+
+    Removed is each word of a stretch of `window` words that also starts anywhere else, in
+    the same document or another one; all places lose it. kept_as: an expression over kept
+    (such as a digest) that is returned in its stead, and spares the last exchange the texts.
+    Defined cases: null or empty text has no words and is kept as the empty text; a text of
+    fewer words than the window loses none; documents of equal text lose all words, if they
+    have a window; null or repeated doc_ids are treated row by row; an empty table gives no
+    rows; other columns are ignored.
+    """
+    wide, kept_as = kept_as is None, kept_as or (lambda c: c)
+    texts, copies, parsed = _located(docs, window, gram, id_col, text_col)
+    parsed = parsed.select("key", F.col("n_removed").alias("parsed_removed"), kept_as(F.col("kept")).alias("parsed_kept"))
 
     plain = texts.select("doc_id", "key", "text").mapInArrow(_plain, "doc_id long, key binary, n_words long, kept string").select("doc_id", "key", "n_words", kept_as(F.col("kept")).alias("kept"))
-    outcome = materialize(copies.select("key", "copies").join(parsed, "key", "left"), "outcome", None if wide else files_for(n_docs, 128))
+    outcome = materialize(copies.select("key", "copies").join(parsed, "key", "left"), "outcome", None if wide else files_for(docs.count(), 128))
     out = plain.join(outcome, "key", "left")
     gone = (F.col("copies") > 1) & (F.col("n_words") >= window)
     return out.select(

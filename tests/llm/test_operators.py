@@ -433,15 +433,34 @@ def test_rolling_hashes_depend_on_content_only():
 def test_pairs_that_share_a_number():
     h1, h2 = np.array([5, 5, 7, 5, 9]), np.array([1, 2, 3, 1, 3], np.int32)
     for k in (3, 5):
-        a, b, n = substring_dedup._distinct(h1[:k], h2[:k])
-        assert dict(zip(zip(a.tolist(), b.tolist()), n.tolist())) == collections.Counter(zip(h1[:k].tolist(), h2[:k].tolist()))
-    assert substring_dedup._among(h1, h2, np.array([9, 5]), np.array([3, 2], np.int32)).tolist() == [False, True, False, False, True]
-    assert substring_dedup._among(h1, h2, np.array([5, 5]), np.array([1, 2], np.int32)).tolist() == [True, True, False, True, False]
-    assert not substring_dedup._among(h1, h2, h1[:0], h2[:0]).any()
+        a, b, at, n = substring_dedup._distinct(h1[:k], h2[:k])
+        pairs = list(zip(a.tolist(), b.tolist()))
+        assert dict(zip(pairs, n.tolist())) == collections.Counter(zip(h1[:k].tolist(), h2[:k].tolist())) and [(h1[i], h2[i]) for i in at] == pairs
+    assert substring_dedup._lookup(h1, h2, np.array([9, 5]), np.array([3, 2], np.int32)).tolist() == [-1, 1, -1, -1, 0]
+    assert substring_dedup._lookup(h1, h2, np.array([5, 5]), np.array([2, 1], np.int32)).tolist() == [1, 0, -1, 1, -1]
+    assert (substring_dedup._lookup(h1, h2, h1[:0], h2[:0]) == -1).all()
 
 
 def test_parse_factors():
-    assert substring_dedup.parse([b"w"] * 10, np.array([0, 1, 1, 0, 0, 1], bool), 5) == [(1, 7), (5, 10)]
+    at, place = np.array([1, 2, 3, 6, 7]), np.array([100, 101, 50, 60, 61])
+    assert substring_dedup.parse(at, place, 5) == [(1, 6, 100), (3, 5, 50), (6, 6, 60)]
+    assert substring_dedup.parse(at[:0], place[:0], 5) == []
+    own = 77 << 24
+    assert substring_dedup.elsewhere(own, np.array([4, 4]), np.array([own | 4, 9]), np.array([own | 8, own | 4])).tolist() == [own | 8, 9]
+
+
+def test_factors_are_copies_of_their_places(spark):
+    df, rows = odd_documents(spark)
+    got = substring_dedup.factorize(df, 12, 5).collect()
+    texts = {r.key: substring_dedup.words_of(t) for r, t in ((r, dict((hashlib.md5((t or "").encode()).digest(), t or "") for _, t in rows)[bytes(r.key)]) for r in got)}
+    owner = {h.h & ~substring_dedup._STARTS: substring_dedup.words_of(h.t) for h in df.select(F.xxhash64(F.unhex(F.md5(F.coalesce("text", F.lit(""))))).alias("h"), F.coalesce("text", F.lit("")).alias("t")).collect()}
+    assert got
+    for r in got:
+        own = texts[r.key]
+        for f in r.factors:
+            source, start = owner[f.place & ~substring_dedup._STARTS], f.place & substring_dedup._STARTS
+            assert f.length >= 12 and own[f.start : f.start + f.length] == source[start : start + f.length]
+            assert source is not own or start != f.start
 
 
 # --- 10 decontamination -----------------------------------------------------------------------
