@@ -103,7 +103,7 @@ def allocate(candidates: DataFrame, total: int = TOTAL, floors: dict[str, int] =
 def bank_split(ordered: DataFrame, banks: int = 4, position: str = "position") -> DataFrame:
     """bank (from 0) of each position (from 0): ceil(n / banks) to a bank."""
     n = ordered.agg(F.ceil(F.count(F.lit(1)) / banks).alias("per"))
-    return ordered.crossJoin(F.broadcast(n)).withColumn("bank", F.floor(F.col(position) / F.greatest("per", F.lit(1))).cast("int")).drop("per")  # n is one row
+    return ordered.withColumn("per", n.scalar()).withColumn("bank", F.floor(F.col(position) / F.greatest("per", F.lit(1))).cast("int")).drop("per")
 
 
 def candidate_union(families: DataFrame, pins: DataFrame) -> DataFrame:

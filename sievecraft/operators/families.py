@@ -114,7 +114,7 @@ def family_has_rating(levels: DataFrame, ratings: DataFrame) -> DataFrame:
 def by_distance(center: DataFrame, members: DataFrame) -> DataFrame:
     """members (id, v) with their distance to the one row of center (v), nearest first."""
     d = F.sqrt(F.aggregate(F.zip_with("v", "__c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    return members.crossJoin(F.broadcast(center.limit(1).select(F.col("v").alias("__c")))).select("id", d.alias("d")).orderBy(F.round("d", 9), "id")  # one row
+    return members.withColumn("__c", center.limit(1).select("v").scalar()).select("id", d.alias("d")).orderBy(F.round("d", 9), "id")
 
 
 def first_by(df: DataFrame, partition: str, *order) -> DataFrame:

@@ -33,9 +33,8 @@ def order_statistics(df: DataFrame, column: str, shares: tuple[float, float] = (
 
 def normalise(df: DataFrame, column: str, bounds: DataFrame, into: str, flip: bool = False) -> DataFrame:
     """Adds (column - lo) / (hi - lo), or 1 minus that; values outside the bounds are not clipped."""
-    t = (F.col(column) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
-    one = bounds.select(F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
-    return df.crossJoin(F.broadcast(one)).withColumn(into, 1 - t if flip else t).drop("__lo", "__hi")  # bounds are one row
+    t = (F.col(column) - F.col("__b.lo")) / (F.col("__b.hi") - F.col("__b.lo"))
+    return df.withColumn("__b", bounds.select(F.struct("lo", "hi")).scalar()).withColumn(into, 1 - t if flip else t).drop("__b")
 
 
 def radius(value: Column, lo: Column, hi: Column, smallest: float = 2.0, largest: float = 12.0) -> Column:

@@ -42,7 +42,7 @@ def knn(df: DataFrame, k: int = 12, tile: int = TILE, digits: int = 9, block: st
     """df: id, v. i, j, d, rank: each row's k nearest others by (distance rounded to `digits`, id). of: a boolean column that the others must have set."""
     rows = df.select("id", doubles("v").alias("v"), (F.col(of) if of else F.lit(True)).alias("of"), *([block] if block else []))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, ti, tj = key
         x, ids, tiles, eligible = _stack(pdf.v), pdf.id.to_numpy(), pdf.tile.to_numpy(), pdf["of"].fillna(False).to_numpy(bool)
         out = []
@@ -77,7 +77,7 @@ def near_links(df: DataFrame, most: float, blocks: str | None = None, tile: int
     w0, w1 = weights
     span = None if ranges is None else np.array(ranges, float)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, ti, tj = key
         x, ids, tiles = _stack(pdf.v), pdf.id.to_numpy(), pdf.tile.to_numpy()
         a, b = np.flatnonzero(tiles == ti), np.flatnonzero(tiles == tj)

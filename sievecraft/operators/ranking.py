@@ -40,7 +40,7 @@ def rank_sources(entries: DataFrame, items: DataFrame, level: str = "file", prio
         (F.sum(best) / F.count(best)).alias("expected"),
     )
     w = F.lit(float(prior_weight))
-    return sums.crossJoin(F.broadcast(overall)).select(  # overall is one row
+    return sums.withColumn("mean", overall.scalar()).select(
         "key",
         "items",
         "rated",

@@ -187,7 +187,7 @@ def layout(points: DataFrame, links: DataFrame, **options) -> DataFrame:
     both = points.select(F.lit(0).alias("g"), "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     edges = links.select(F.lit(0).alias("g"), "a", "b", "w")
 
-    def go(key, p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+    def go(key: tuple, p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("id").reset_index(drop=True)
         e = e.sort_values(["a", "b"])
         at = pd.Series(p.index, index=p.id)

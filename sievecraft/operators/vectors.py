@@ -107,7 +107,7 @@ def covariance(df: DataFrame, dim: int, vector: str = "v") -> DataFrame:
     """i, j, cov (population), for i <= j, from 0."""
     m = moments(df, dim, vector)
     n = m.where("i = 0 AND j = 0").select(F.col("s").alias("n"))
-    mean = m.where("i = 0 AND j > 0").crossJoin(F.broadcast(n)).select(F.col("j").alias("at"), (F.col("s") / F.col("n")).alias("mean"), "n")
+    mean = m.where("i = 0 AND j > 0").withColumn("n", n.scalar()).select(F.col("j").alias("at"), (F.col("s") / F.col("n")).alias("mean"), "n")
     pairs = m.where("i > 0 AND i <= j")
     a, b = mean.select(F.col("at").alias("i"), F.col("mean").alias("mi"), "n"), mean.select(F.col("at").alias("j"), F.col("mean").alias("mj"))
     return pairs.join(F.broadcast(a), "i").join(F.broadcast(b), "j").select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), (F.col("s") / F.col("n") - F.col("mi") * F.col("mj")).alias("cov"))

@@ -41,7 +41,7 @@ def fold_gram(spark: SparkSession, sf: str) -> DataFrame:
 def category_offsets_shrunk(spark: SparkSession, sf: str) -> DataFrame:
     rows = _rated(spark, sf)
     mean = rows.agg(F.avg("rating").alias("m"))
-    out = taste.shrunken_offsets(rows.crossJoin(F.broadcast(mean)), "category", F.col("rating") - F.col("m"))  # mean is one row
+    out = taste.shrunken_offsets(rows.withColumn("m", mean.scalar()), "category", F.col("rating") - F.col("m"))
     return out.select("category", "n", F.round("mean", 9).alias("mean"), F.round("offset", 9).alias("offset"))
 
 

@@ -286,7 +286,8 @@ def _positions(spark: SparkSession, sf: str) -> DataFrame:
 def size_quantise(spark: SparkSession, sf: str) -> DataFrame:
     part = read(spark, sf, "part").select("p_partkey", "p_retailprice")
     bounds = layout.order_statistics(part, "p_retailprice")
-    return part.crossJoin(F.broadcast(bounds)).select("p_partkey", layout.radius(F.col("p_retailprice"), F.col("lo"), F.col("hi")).alias("radius"))  # bounds are one row
+    held = part.withColumn("b", bounds.select(F.struct("lo", "hi")).scalar())
+    return held.select("p_partkey", layout.radius(F.col("p_retailprice"), F.col("b.lo"), F.col("b.hi")).alias("radius"))
 
 
 @query("SELECT count(*) AS rows, count(DISTINCT l_quantity) AS levels, bool_and(l_quantity = floor(l_quantity)) AND count(DISTINCT l_quantity) <= 64 AND count(*) >= 4 * count(DISTINCT l_quantity) AS is_lattice FROM lineitem")

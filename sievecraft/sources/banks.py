@@ -166,7 +166,7 @@ def to_banks(records: DataFrame, placeholder: bytes, order: str = "position") ->
     """records: packed and a position from 0 without gaps. bank, content: files of 32, the last filled with the placeholder."""
     dealt = records.select((F.floor(F.col(order) / SLOTS)).cast("int").alias("bank"), (F.col(order) % SLOTS).cast("int").alias("slot"), "packed")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         slots = dict(zip(pdf.slot, pdf.packed))
         return pd.DataFrame({"bank": [key[0]], "content": [build_bank([bytes(slots.get(s, placeholder)) for s in range(SLOTS)])]})
 
