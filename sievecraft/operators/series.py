@@ -40,13 +40,13 @@ def runs(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
 
 def tumbling(events: DataFrame, length: str, at: str = "ts", *keys: str) -> DataFrame:
     """start, keys, n, total of windows of `length`."""
-    return events.groupBy(F.window(F.col(at).cast("timestamp"), length).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), *keys, "n", "total")
+    return events.groupBy(F.window(at, length).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), *keys, "n", "total")
 
 
 def sliding(events: DataFrame, length: str, every: str, at: str = "ts", *keys: str) -> DataFrame:
-    return events.groupBy(F.window(F.col(at).cast("timestamp"), length, every).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
+    return events.groupBy(F.window(at, length, every).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
 
 
 def sessions(events: DataFrame, gap: str, key: str, at: str = "ts") -> DataFrame:
     """key, start, end (last event plus gap), n of sessions that a silence of `gap` ends."""
-    return events.groupBy(F.session_window(F.col(at).cast("timestamp"), gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return events.groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")

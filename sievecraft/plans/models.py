@@ -292,6 +292,8 @@ def interpolate_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return blend.interpolate(near, "label")
 
 
+_TIME = "yyyy-MM-dd HH:mm:ss"
+
 # --- series ----------------------------------------------------------------------------------
 
 @query("""SELECT event_id, round(avg(value) OVER w, 6) AS trend, round(value - avg(value) OVER w, 6) AS residual FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""")
@@ -324,24 +326,24 @@ def runs_inversions(spark: SparkSession, sf: str) -> DataFrame:
     return series.runs(read(spark, sf, "events"), "user_id", "event_id", "event_type")
 
 
-@query("SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
     t = series.tumbling(read(spark, sf, "events"), "1 hour", "ts", "event_type")
-    return t.select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+    return t.select(F.date_format("start", _TIME).alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @query("""WITH e AS (SELECT CAST(floor(epoch(ts) / 1800) AS BIGINT) * 1800 AS s FROM events), w AS (SELECT s AS start FROM e UNION ALL SELECT s - 1800 FROM e)
-    SELECT start, count(*) AS n FROM w GROUP BY 1""")
+    SELECT strftime(make_timestamp(start * 1000000), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM w GROUP BY 1""")
 def sliding_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return series.sliding(read(spark, sf, "events"), "1 hour", "30 minutes").select(F.unix_timestamp("start").alias("start"), "n")
+    return series.sliding(read(spark, sf, "events"), "1 hour", "30 minutes").select(F.date_format("start", _TIME).alias("start"), "n")
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS cut FROM events),
     s AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM g)
-    SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL 2 HOUR) AS stop, count(*) AS n FROM s GROUP BY user_id, nth""")
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS stop, count(*) AS n FROM s GROUP BY user_id, nth""")
 def session_counts(spark: SparkSession, sf: str) -> DataFrame:
     s = series.sessions(read(spark, sf, "events"), "2 hours", "user_id")
-    return s.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("stop"), "n")
+    return s.select("user_id", F.date_format("start", f"{_TIME}.SSSSSS").alias("start"), F.date_format("end", f"{_TIME}.SSSSSS").alias("stop"), "n")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

@@ -107,9 +107,9 @@ def usable_features(spark: SparkSession, sf: str) -> DataFrame:
     return tables.usable_features(f).select(F.col("voice_id").alias("doc_id"))
 
 
-@query("""SELECT event_id, epoch(make_timestamp(1980 + (event_id % 40), 1 + event_id % 12, 1 + event_id % 28, event_id % 24, event_id % 60, CAST((event_id % 30) * 2 AS DOUBLE)))::BIGINT AS at FROM events""")
+@query("""SELECT event_id, strftime(make_timestamp(1980 + (event_id % 40), 1 + event_id % 12, 1 + event_id % 28, event_id % 24, event_id % 60, CAST((event_id % 30) * 2 AS DOUBLE)), '%Y-%m-%d %H:%M:%S') AS at FROM events""")
 def dos_dates(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("event_id")
     date = (e % 40) * 512 + (1 + e % 12) * 32 + 1 + e % 28
     time = (e % 24) * 2048 + (e % 60) * 32 + e % 30
-    return read(spark, sf, "events").select("event_id", F.unix_timestamp(codecs.dos_timestamp(date.cast("int"), time.cast("int"))).alias("at"))
+    return read(spark, sf, "events").select("event_id", F.date_format(codecs.dos_timestamp(date.cast("int"), time.cast("int")), "yyyy-MM-dd HH:mm:ss").alias("at"))

@@ -135,10 +135,10 @@ _STOP = "['THE', 'AND', 'FOR', 'PART']"
 _TOKENS = f"list_filter(string_split_regex(upper(replace({{c}}, 'ß', 'ss')), '[^A-Z]+'), lambda w: length(w) BETWEEN 3 AND 12 AND NOT list_contains({_STOP}, w))"
 
 
-@query(f"SELECT item_id, list_aggregate(list_distinct(t), 'count') AS n_tokens, list_sort(list_distinct(t)) AS tokens FROM (SELECT item_id, {_TOKENS.format(c='text')} AS t FROM benchmark)")
+@query(f"SELECT item_id, list_aggregate(list_distinct(t), 'count') AS n_tokens, array_to_string(list_sort(list_distinct(t)), ' ') AS tokens FROM (SELECT item_id, {_TOKENS.format(c='text')} AS t FROM benchmark)")
 def name_tokens(spark: SparkSession, sf: str) -> DataFrame:
     t = read(spark, sf, "benchmark").select("item_id", search.name_tokens(F.col("text"), ["THE", "AND", "FOR", "PART"]).alias("t"))
-    return t.select("item_id", F.size("t").cast("long").alias("n_tokens"), F.array_sort("t").alias("tokens"))
+    return t.select("item_id", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
 
 
 @query(f"SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({_TOKENS.format(c='text')})) AS token FROM documents) GROUP BY token")
@@ -240,11 +240,11 @@ def dedupe_members(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH g AS (SELECT text, min(doc_id) AS rep FROM documents GROUP BY text)
-    SELECT rep, list_sort(list(DISTINCT source)) AS sources, count(*) AS copies FROM documents JOIN g USING (text) GROUP BY rep""")
+    SELECT rep, array_to_string(list_sort(list(DISTINCT source)), ' ') AS sources, count(*) AS copies FROM documents JOIN g USING (text) GROUP BY rep""")
 def dedupe_alias_sources(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("k"))
     g = docs.groupBy("k").agg(F.min("doc_id").alias("rep"), F.array_sort(F.collect_set("source")).alias("sources"), F.count(F.lit(1)).alias("copies"))
-    return g.select("rep", "sources", "copies")
+    return g.select("rep", F.array_join("sources", " ").alias("sources"), "copies")
 
 
 @query("""
@@ -262,12 +262,12 @@ def upsert_merge_flags(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("sources", shown)
 
 
-@query("""SELECT l_returnflag || l_linestatus AS name, CAST(l_suppkey AS VARCHAR) AS file, list_sort(list(CAST(l_linenumber AS INTEGER))) AS slots, min(l_shipdate) AS since
+@query("""SELECT l_returnflag || l_linestatus AS name, CAST(l_suppkey AS VARCHAR) AS file, array_to_string(list_sort(list(CAST(l_linenumber AS INTEGER))), ' ') AS slots, strftime(min(l_shipdate), '%Y-%m-%d') AS since
     FROM lineitem GROUP BY 1, 2""")
 def provenance_slots(spark: SparkSession, sf: str) -> DataFrame:
     line = read(spark, sf, "lineitem")
     s = line.select(F.concat("l_returnflag", "l_linestatus").alias("name"), F.col("l_suppkey").cast("string").alias("file"), F.col("l_linenumber").cast("int").alias("slot"), F.col("l_shipdate").alias("at"))
-    return dedupe.provenance(s)
+    return dedupe.provenance(s).select("name", "file", F.array_join(F.col("slots").cast("array<string>"), " ").alias("slots"), F.date_format("since", "yyyy-MM-dd").alias("since"))
 
 
 @query("SELECT CASE WHEN n_chars < 200 THEN 'short' WHEN contains(text, '|') THEN 'table' ELSE 'taken' END AS reason, count(*) AS n FROM documents GROUP BY 1")

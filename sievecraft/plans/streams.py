@@ -42,7 +42,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     """Windows that the watermark has closed."""
     out = _drain(spark, stateful.windowed_counts(_events(spark, sf), key="event_type"), "append")
-    return out.select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @query()
