@@ -156,21 +156,44 @@ def checksum_bytes(data: bytes) -> int:
 # --- seven-bit frames ------------------------------------------------------------------------
 
 def pack7(data: bytes) -> bytes:
-    """Groups of seven bytes, each led by a byte of their top bits (the first byte's lowest)."""
-    out = bytearray()
-    for i in range(0, len(data), 7):
-        group = data[i : i + 7]
-        out.append(sum((b >> 7) << k for k, b in enumerate(group)))
-        out += bytes(b & 127 for b in group)
-    return bytes(out)
+    """Bytes as one little-endian number, cut into seven-bit digits."""
+    n = int.from_bytes(data, "little")
+    return bytes(n >> k & 127 for k in range(0, 8 * len(data), 7))
 
 
-def unpack7(data: bytes) -> bytes:
-    out = bytearray()
-    for i in range(0, len(data), 8):
-        top, group = data[i], data[i + 1 : i + 8]
-        out += bytes(b | (top >> k & 1) << 7 for k, b in enumerate(group))
-    return bytes(out)
+def unpack7(digits: bytes) -> bytes:
+    """The inverse; digits' bits that do not fill a byte are padding."""
+    n = sum((d & 127) << 7 * k for k, d in enumerate(digits))
+    size = 7 * len(digits) // 8
+    return (n & ((1 << 8 * size) - 1)).to_bytes(size, "little")
+
+
+# fixed values: what a device's frames begin with, its read command, and the length of a reply's header
+FRAME, READ, READ_VOICE, REPLY_HEADER = b"\x00\x59", 0x23, 5, 14
+
+
+def frame(command: int, payload: bytes) -> bytes:
+    """A device frame: start, command, three bytes of length, payload, inverted sum of the payload."""
+    return FRAME + bytes([command]) + len(payload).to_bytes(3, "little") + payload + bytes([sum(payload) & 255 ^ 255])
+
+
+def read_request() -> bytes:
+    """The message that asks a device for its current record."""
+    return b"\xf0" + pack7(frame(READ, bytes([READ_VOICE, 0, 0, 0, 0, UNPACKED, 0, 0]))) + b"\xf7"
+
+
+def read_reply(message: bytes, size: int = UNPACKED) -> bytes | None:
+    """The record in a device's reply, or None for any other message."""
+    body = message[1:] if message[:1] == b"\xf0" else message
+    data = unpack7(body[:-1] if body[-1:] == b"\xf7" else body)
+    if len(data) < REPLY_HEADER + size + 1 or not data.startswith(FRAME):
+        return None
+    return data[REPLY_HEADER : REPLY_HEADER + size]
+
+
+def content_hash(values: Column) -> Column:
+    """A short name for a record's content, in base 36."""
+    return F.lower(F.conv(F.hex(F.xxhash64(values)), 16, 36))
 
 
 @F.pandas_udf(BinaryType())

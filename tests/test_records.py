@@ -114,6 +114,17 @@ def test_seven_bit_frames_and_bend(spark):
     assert [r.b for r in df.select(codecs.pitch_bend(F.col("l"), F.col("h")).alias("b")).collect()] == [-1.0, 0.0, 1.0]
 
 
+def test_frames_and_hashes(spark):
+    reply = codecs.frame(codecs.READ, bytes([codecs.READ_VOICE, 0, 0, 0, 0, 155, 0, 0]) + record(1))
+    assert codecs.read_reply(b"\xf0" + codecs.pack7(reply) + b"\xf7") == record(1) == codecs.read_reply(codecs.pack7(reply))
+    assert codecs.read_reply(b"\xf0\x01\xf7") is None and codecs.read_reply(codecs.pack7(b"\x01" + reply)) is None
+    assert codecs.read_request()[0] == 0xF0 and max(codecs.read_request()[1:-1]) < 128
+    assert codecs.pack7(b"\xff") == bytes([127, 1]) and codecs.pack7(b"\x00\x01") == bytes([0, 2, 0])
+    df = spark.createDataFrame([([1, 2],), ([1, 2],), ([2, 1],)], "v array<int>")
+    h = [r.h for r in df.select(codecs.content_hash(F.col("v")).alias("h")).collect()]
+    assert h[0] == h[1] != h[2] and h[0].isalnum()
+
+
 def test_stored_tables_and_settings(spark, tmp_path):
     t = tables.Table(spark, str(tmp_path / "r"), "id long, v string")
     assert t.count() == 0
@@ -189,6 +200,15 @@ def test_silence_release_and_batches():
     assert synth.wav(y[0])[:4] == b"RIFF"
 
 
+def test_phrase_plays_notes_one_after_the_other_and_steals():
+    one = np.stack([sine()])
+    y = synth.render_phrase(one, [(0.0, 69, 100, 0.2), (0.5, 81, 100, 0.2)], [(0.0, 0.0), (1.0, 1.0)], tail=0.1)
+    assert pitch(y[0, 3000:8000]) == pytest.approx(440, rel=2e-3) and pitch(y[0, 25000:30000]) == pytest.approx(880, rel=2e-3)
+    chord = [(0.01 * k, 60, 100, 1.0) for k in range(9)]
+    alone = np.abs(synth.render_phrase(one, chord[:1], tail=0.0)).max()
+    assert np.abs(synth.render_phrase(one, chord, tail=0.0)[:, 20000:40000]).max() <= 8 * alone + 1e-6
+
+
 def test_routes():
     assert routes.carriers(31) == [1, 2, 3, 4, 5, 6] and routes.carriers(0) == [1, 3] and routes.depth(0)[6] == 3
     for a in range(32):
