@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codecs
+from ..functions.storage import materialize
 
 # fixed values: message frame, manufacturer, and the header of a bank and of a single record
 START, END, MAKER = 0xF0, 0xF7, 0x43
@@ -176,6 +177,7 @@ def to_banks(records: DataFrame, placeholder: bytes, order: str = "position") ->
 def number(records: DataFrame, *order: str) -> DataFrame:
     """records with a position from 0 in the given order; ranges of the order are numbered apart, so no task holds all rows."""
     ranged = records.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    ranged = materialize(ranged, "numbered")  # sorted ranges may fall otherwise when they are made again
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first"))
     starts = sizes.select("__part", "first", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("start"))  # one row per partition
     return ranged.join(F.broadcast(starts), "__part").withColumn("position", F.col("start") + F.col("__at") - F.col("first")).drop("__part", "__at", "first", "start")
