@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import files_for, materialize, text_or_empty
+from .common import files_for, materialize, text_or_empty, tidy
 from ..operators.components import connected_components
 
 GRAM = 5
@@ -97,6 +97,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array([signature(g).astype("<u4").tobytes() if len(g) else None for g in sets], pa.binary())], names=["doc_id", "key", "sig"]
             )
+    tidy()
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

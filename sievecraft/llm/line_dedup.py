@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, text_or_empty, tidy
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -153,6 +153,7 @@ def _document_keys(min_chars: int):
                     yield flush()
         if seen:
             yield flush()
+        tidy()
 
     return run
 
@@ -240,7 +241,7 @@ def _hashes(lines: list[str], min_chars: int) -> tuple[np.ndarray, np.ndarray, n
 _CLEAN = "n_lines long, n_dropped long, kept string"
 
 
-def _cleaner(hit, min_chars: int, at: int, names: list[str]):
+def _cleaner(hit, min_chars: int, at: int, names: list[str], done=tidy):
     """Adds n_lines, n_dropped and kept; hit(k1, k2) tells which lines go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,6 +259,7 @@ def _cleaner(hit, min_chars: int, at: int, names: list[str]):
                     n_dropped.append(int(gone.sum()))
                     kept.append("\n".join(x for x, g in zip(lines, gone) if not g) if n_dropped[-1] else "\n".join(lines))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_lines", "n_dropped", "kept"])
+        done()
 
     return run
 
@@ -329,7 +331,7 @@ def _clean_by_join(docs: DataFrame, index: LineIndex, text_col: str, schema: str
                 gone = {(g["k1"], g["k2"]) for g in b.column(n)[i].as_py() or ()}
                 part = pa.RecordBatch.from_arrays([c.slice(i, 1) for c in b.columns[:n]], names=names)
                 hit = lambda k1, k2: np.fromiter((p in gone for p in zip(k1.tolist(), k2.tolist())), bool, len(k1))
-                yield from _cleaner(hit, min_chars, at, names)(iter([part]))
+                yield from _cleaner(hit, min_chars, at, names, lambda: None)(iter([part]))
 
     return joined.mapInArrow(run, f"{schema}, {_CLEAN}")
 

@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, tidy
 
 PLACES = 1 << 18
 #: Bound of the fit: labelled rows used at most, those with the least hashes of their ids.
 SAMPLE_ROWS = 8000
 THRESHOLD = 0.7
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -220,6 +220,7 @@ def with_score(docs: DataFrame, model, text_col: str = "text", score_col: str =
         for b in batches:
             scores = [model.value.score(t.as_py() or "") for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, score_col])
+        tidy(_words)
 
     return docs.mapInArrow(run, f"{schema}, `{score_col}` double")
 
