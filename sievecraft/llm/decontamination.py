@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize
+from .common import id_and_text, materialize, tidy
 
 WINDOW = 10
 #: Words of items in one automaton. Larger benchmarks take several, each broadcast by itself for a pass of its own.
@@ -159,6 +159,7 @@ def _scan(automaton, names):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string())), pa.array(n_words, pa.int64())], names=["doc_id", "text", "hit", "items", "n_words"]
                 )
+        tidy()
 
     return run
 
@@ -236,6 +237,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                 texts.append(_cut(text, spans) if spans and keep[-1] else text)
             columns = [pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+        tidy()
 
     return docs.mapInArrow(run, schema)
 

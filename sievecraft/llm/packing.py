@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize
+from .common import id_and_text, materialize, tidy
 
 WINDOW = 2048
 END_ID = 1
@@ -57,6 +57,8 @@ def _encoder(vocabulary: str):
             return np.concatenate(ids) if ids else np.empty(0, np.uint32)
 
         _encoders[vocabulary] = encode
+        del spec, ranks
+        tidy()
     return _encoders[vocabulary]
 
 
@@ -76,6 +78,7 @@ def _tokenize(vocabulary: str, end_id: int | None):
                     [part.column(0), pa.array([pid] * len(n), pa.int32()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "pid", "part_start", "doc_tokens", "ids"],
                 )
+        tidy()
 
     return run
 
