@@ -9,10 +9,17 @@ offset, and pass 2 cuts documents at multiples of the window without moving any
 from __future__ import annotations
 
 import itertools
+import json
+import os
+import re
+import sys
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,42 +29,72 @@ from .common import id_and_text, materialize, tidy
 WINDOW = 2048
 END_ID = 1
 
-_encoders: dict[str, object] = {}
+#: Distinct pre-tokens whose ids a Python worker remembers; only a cache.
+REMEMBERED = 300_000
 
+_encoders: dict[str, "Encoder"] = {}
 
-def _encoder(vocabulary: str):
-    """text -> uint32 ids of a byte-level BPE vocabulary (.json of the tokenizers library).
+# fixed values: Unicode's white space, and the published pattern that byte-level pre-tokenizers have built in
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
+_PATTERN = rf"{_SUFFIXES}| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
+_ASCII_PATTERN = rf"{_SUFFIXES}| ?[A-Za-z]+| ?[0-9]+| ?[^{_BLANK}A-Za-z0-9]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 
-    The merges of the .json are replayed as ranks by a faster engine; the ids are the same
-    (tests compare them). Added tokens inside a text get their own id, as by default.
+
+class Encoder:
+    """Text -> ids of a byte-level BPE vocabulary (.json), as little-endian uint32, made by the tokenizers library.
+
+    A byte-level vocabulary merges within pre-tokens only, so the library is asked once for
+    each distinct pre-token, and a text's ids are those of its pre-tokens, end to end. Texts
+    with added tokens, or with characters that Python's Unicode tables do not know (the
+    library's may), are given to the library whole; so is everything where the vocabulary
+    has steps besides the built-in pattern.
     """
-    if vocabulary not in _encoders:
-        import json
-        import re
 
-        import tiktoken
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
 
+        self.library = Tokenizer.from_file(vocabulary)
         with open(vocabulary, encoding="utf-8") as f:
             spec = json.load(f)
-        # The printable stand-ins that byte-level vocabularies use for bytes: a byte that prints stands for itself.
-        prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in prints]
-        byte_of = {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(rest)}
-        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
-        # fixed value: the pre-tokenizer's published pattern
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        engine = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        parts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-
-        def encode(text: str) -> np.ndarray:
-            if parts is None or not any(a in text for a in added):
-                return engine.encode_to_numpy(text, disallowed_special=())
-            ids = [np.array([added[x]], np.uint32) if x in added else engine.encode_to_numpy(x, disallowed_special=()) for x in parts.split(text) if x]
-            return np.concatenate(ids) if ids else np.empty(0, np.uint32)
-
-        _encoders[vocabulary] = encode
-        del spec, ranks
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        split = spec["pre_tokenizer"] or {}
+        self.by_pieces = not spec["normalizer"] and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec["model"].get("dropout")
+        self.ascii, self.any = re.compile(_ASCII_PATTERN), regex.compile(_PATTERN)
+        self.known: dict[str, bytes] = {}
+        self.plain: set[str] = set()
+
+    def _library_ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() if sys.byteorder == "little" else np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, text: str) -> list[str] | None:
+        """The text's pre-tokens, or None if the library must see it whole."""
+        if not self.by_pieces or any(a in text for a in self.added):
+            return None
+        if text.isascii():
+            return self.ascii.findall(text)
+        new = set(text) - self.plain
+        self.plain.update(c for c in new if unicodedata.category(c) not in ("Cn", "Cs"))
+        return self.any.findall(text) if new <= self.plain else None
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, split = self.known, [self._pieces(t) for t in texts]
+        new = list({w for words in split if words for w in words if w not in known})
+        known.update(zip(new, self._library_ids(new)))
+        get = known.__getitem__
+        out = [b"".join(map(get, words)) if words is not None else self._library_ids([t])[0] for t, words in zip(texts, split)]
+        for w in new:  # long ones would fill the memory
+            if len(w) > 256:
+                del known[w]
+        return out
+
+
+def encoder(vocabulary: str) -> Encoder:
+    if vocabulary not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        _encoders[vocabulary] = Encoder(vocabulary)
         tidy()
     return _encoders[vocabulary]
 
@@ -66,11 +103,11 @@ def _tokenize(vocabulary: str, end_id: int | None):
     tail = np.array([] if end_id is None else [end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pid, at = _encoder(vocabulary), TaskContext.get().partitionId(), 0
+        own, pid, at = encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                ids = [encode(t.as_py()).astype("<u4").tobytes() + tail for t in part.column(1)]
+                ids = [x + tail for x in own.encode(part.column(1).to_pylist())]
                 n = [len(x) // 4 for x in ids]
                 starts = list(itertools.accumulate(n, initial=at))
                 at = starts.pop()
@@ -102,8 +139,10 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int | N
     sequence_id, offset (of the piece in its sequence), and with_ids: ids (little-endian
     uint32). Sequences are full but for the last one, which a reader pads.
     Defined cases: null text is empty text; an empty text yields its end id alone (nothing
-    where end_id is None); null or repeated doc_ids are packed row by row; an empty table
-    gives no rows; other columns are ignored, whatever their names.
+    where end_id is None); a very long text is tokenized whole and cut into as many pieces
+    as it fills windows, whatever it consists of; null or repeated doc_ids and repeated rows
+    are packed row by row; an empty table gives no rows; other columns are ignored, whatever
+    their names.
     """
     w = F.lit(window).cast("long")
     tokens = token_table(docs, vocabulary, end_id, id_col, text_col).where("doc_tokens > 0")

@@ -60,6 +60,32 @@ def test_packing_empty_table_and_no_end_id(spark):
     assert packing.pack(one, BYTES).select("length", "doc_tokens").first() == (1, 1)
 
 
+LONG_TEXTS = [" " * 1_100_000, " " * 3_000_000 + "a", "\n" * 2_000_000 + "b", "a" * 1_000_000, "\u00e9" * 300_000, " \n" * 700_000 + "x", "x y " * 200_000]
+
+
+def test_packing_of_very_long_texts(spark):
+    tok = Tokenizer.from_file(BYTES)
+    docs = spark.createDataFrame(list(enumerate(LONG_TEXTS)), "doc_id long, text string")
+    made = collections.defaultdict(list)
+    for r in packing.pack(docs, BYTES).sort("doc_id", "start").collect():
+        assert len(made[r.doc_id]) == r.start and r.length <= packing.WINDOW
+        made[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert made == {i: tok.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(LONG_TEXTS)}
+
+
+def test_encoder_gives_the_library_s_ids_for_every_character():
+    import random
+
+    own, rng = packing.encoder(BYTES), random.Random(1)
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    odd = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2003\u200b\u2028\u3000\ufeff'sStrvldm019aZ."
+    texts = [x.join(chars[k : k + 50]) for x in ("a", " 1 ") for k in range(0, len(chars), 50)]
+    texts += ["".join(rng.choice(odd if rng.random() < 0.7 else chars) for _ in range(rng.randint(1, 30))) for _ in range(2000)]
+    texts += ["a<|endoftext|>b", "<|endoftext|>"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in own.library.encode_batch(texts, add_special_tokens=False)]
+    assert own.encode(texts) == want
+
+
 # --- 2 sharding -------------------------------------------------------------------------------
 
 def brute_table(shards, size):
