@@ -3,10 +3,15 @@
 A batch's pre-tokens lie end to end in one array of symbols. In each round every pre-token
 finds its lowest-ranked adjacent pair and merges that pair's occurrences, all pre-tokens at
 the same time; those without a mergeable pair leave. The symbols that survive are counted.
+
+A pre-token of many symbols would keep the rounds going for thousands of ranks. Such ones
+are merged by the same rule, all occurrences of the lowest rank at once, but a round touches
+only the places where that rank stands and their neighbours, which a queue by rank tells.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
@@ -23,6 +28,9 @@ LIMIT = 2048
 #: Distinct pre-tokens whose counts a Python worker remembers; only a cache.
 REMEMBERED = 400_000
 
+#: Symbols from which a pre-token gets a queue of its own; the result is the same.
+LONG = 256
+
 _counters: dict[str, "Counter"] = {}
 
 
@@ -53,7 +61,9 @@ class Merger:
     def count(self, pieces: list[list[int]]) -> np.ndarray:
         """Surviving symbols of each sequence of symbol ids."""
         out = np.array([len(p) for p in pieces], np.int64)
-        live = np.flatnonzero(out > 1)
+        for i in np.flatnonzero(out >= LONG).tolist():
+            out[i] = self.count_long(np.array(pieces[i], np.int64))
+        live = np.array([i for i, p in enumerate(pieces) if 1 < len(p) < LONG], np.int64)
         if not len(live) or not len(self.keys):
             return out
         none = np.iinfo(np.int64).max
@@ -93,6 +103,57 @@ class Merger:
         return out
 
 
+    def count_long(self, sym: np.ndarray) -> int:
+        """Surviving symbols of one long sequence: its lowest-ranked pairs are merged rank by rank, from a queue of the places of each rank."""
+        none, n = np.iinfo(np.int64).max, len(sym)
+        rank = np.append(self.ranks(sym[:-1], sym[1:]), none)  # of the pair that starts at a place
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # the living neighbours
+        places: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            at = at[rank[at] < none]
+            if not len(at):
+                return
+            at = at[np.argsort(rank[at], kind="stable")]
+            own = rank[at]
+            for part in np.split(at, np.flatnonzero(np.diff(own)) + 1):
+                r = int(rank[part[0]])
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(waiting, r)
+                places[r].append(part)
+
+        note(np.arange(n))
+        left = n
+        while waiting:
+            r = heapq.heappop(waiting)
+            p = np.unique(np.concatenate(places.pop(r)))
+            p = p[rank[p] == r]  # others have merged since they were noted
+            if not len(p):
+                continue
+            if self.all_at_once:  # of overlapping occurrences, every other from the left
+                run = np.concatenate([[True], after[p[:-1]] != p[1:]])
+                first = np.maximum.accumulate(np.where(run, np.arange(len(p)), 0))
+                p, rest = p[(np.arange(len(p)) - first) % 2 == 0], p[:0]
+            else:
+                p, rest = p[:1], p[1:]
+            q = after[p]
+            sym[p], rank[q] = self.by_rank_made[r], none
+            end = after[q]
+            after[p] = end
+            inner = end < n
+            before[end[inner]] = p[inner]
+            left -= len(p)
+            pair = np.full(len(p), none)
+            pair[inner] = self.ranks(sym[p[inner]], sym[end[inner]])
+            rank[p] = pair
+            ahead = before[p][before[p] >= 0]
+            rank[ahead] = self.ranks(sym[ahead], sym[after[ahead]])
+            note(np.unique(np.concatenate([p, ahead, rest])))
+        return left
+
+
 class Counter:
     """Counts tokens as the tokenizers library would for a vocabulary file of it: BPE over regex pre-tokens and byte symbols."""
 
@@ -168,7 +229,11 @@ class Counter:
             inner, final = self.inner, self.final
             symbols = [[inner[b] for b in raw[:-1]] + [final[raw[-1]]] for raw in (w.encode() for w in part)]
             known.update(zip(part, self.merger.count(symbols).tolist()))
-        return [sum(map(known.__getitem__, words)) + extra for words, extra in split]
+        out = [sum(map(known.__getitem__, words)) + extra for words, extra in split]
+        for w in new:  # long ones would fill the memory
+            if len(w) > LONG:
+                del known[w]
+        return out
 
 
 def counter(vocabulary: str) -> Counter:
@@ -180,8 +245,9 @@ def counter(vocabulary: str) -> Counter:
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of every whole text; no shuffle.
 
-    Defined cases: null text is empty text, which has no tokens; null or repeated doc_ids
-    are counted row by row; an empty table gives no rows; other columns are ignored.
+    Defined cases: null text is empty text, which has no tokens; a very long text, or one of
+    a single very long word, is counted whole; null or repeated doc_ids and repeated rows are
+    counted row by row; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -232,10 +232,28 @@ def test_merging_long_runs_and_whole_texts(spark, small):
     assert own.counts(texts) == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_merging_very_long_words(spark):
+    import random
+    import time
+
+    rng = random.Random(4)
+    tok, own = Tokenizer.from_file(WORDS), token_counts.counter(WORDS)
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200_000))
+    texts = [letters[:50_000], letters, "ab" * 40_000, "aab" * 5000 + "a", " " * 1_100_000, "\n" * 300_000 + "b", "é" * 20_000, "\u4e2d" * 20_000, "9" * 30_000, "!?" * 30_000]
+    texts += ["".join(rng.choices("ab", k=rng.randint(2, 900))) for _ in range(200)]
+    texts += ["".join(rng.choices("etaoin", k=rng.randint(200, 400))) for _ in range(200)]
+    began = time.perf_counter()
+    assert own.counts(texts[:1]) == [len(tok.encode(texts[0], add_special_tokens=False).ids)]
+    assert time.perf_counter() - began < 5  # about a second, on an idle machine
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, WORDS).collect()}
+    assert got == {i: len(e.ids) for i, e in enumerate(tok.encode_batch(texts, add_special_tokens=False))}
+
+
 def test_merging_one_pair_at_a_time_agrees():
     own = token_counts.counter(WORDS)
     m = own.merger
-    pieces = [[own.inner[b] for b in w[:-1]] + [own.final[w[-1]]] for w in (b"aaaaaaa", b"banana", b"mississippi", b"x")]
+    pieces = [[own.inner[b] for b in w[:-1]] + [own.final[w[-1]]] for w in (b"aaaaaaa", b"banana", b"mississippi", b"x", b"aab" * 200, b"banana" * 90)]
     fast = m.count(pieces)
     m.all_at_once = False
     try:
