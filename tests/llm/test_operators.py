@@ -474,37 +474,72 @@ def test_rolling_hashes_depend_on_content_only():
         assert substring_dedup._sliding_min(x, w).tolist() == [x[i : i + w].min() for i in range(50 - w + 1)]
 
 
-def test_pairs_that_share_a_number():
-    h1, h2 = np.array([5, 5, 7, 5, 9]), np.array([1, 2, 3, 1, 3], np.int32)
-    for k in (3, 5):
-        a, b, at, n = substring_dedup._distinct(h1[:k], h2[:k])
-        pairs = list(zip(a.tolist(), b.tolist()))
-        assert dict(zip(pairs, n.tolist())) == collections.Counter(zip(h1[:k].tolist(), h2[:k].tolist())) and [(h1[i], h2[i]) for i in at] == pairs
-    assert substring_dedup._lookup(h1, h2, np.array([9, 5]), np.array([3, 2], np.int32)).tolist() == [-1, 1, -1, -1, 0]
-    assert substring_dedup._lookup(h1, h2, np.array([5, 5]), np.array([2, 1], np.int32)).tolist() == [1, 0, -1, 1, -1]
-    assert (substring_dedup._lookup(h1, h2, h1[:0], h2[:0]) == -1).all()
-
-
-def test_parse_factors():
-    at, place = np.array([1, 2, 3, 6, 7]), np.array([100, 101, 50, 60, 61])
-    assert substring_dedup.parse(at, place, 5) == [(1, 6, 100), (3, 5, 50), (6, 6, 60)]
-    assert substring_dedup.parse(at[:0], place[:0], 5) == []
-    own = 77 << 24
-    assert substring_dedup.elsewhere(own, np.array([4, 4]), np.array([own | 4, 9]), np.array([own | 8, own | 4])).tolist() == [own | 8, 9]
-
-
-def test_factors_are_copies_of_their_places(spark):
+def test_block_finds_longest_matches_and_greedy_factors():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(30):
+        texts = sorted({" ".join(rng.choices("abc", k=rng.randint(4, 14))) for _ in range(12)})
+        block, split = substring_dedup.Block(texts), [t.split(" ") for t in texts]
+
+        def common(p, i, q, j):
+            n = 0
+            while i + n < len(split[p]) and j + n < len(split[q]) and split[p][i + n] == split[q][j + n]:
+                n += 1
+            return n
+
+        repeated = np.array([rng.random() < 0.1 for _ in texts])
+        factors = list(zip(*(x.tolist() for x in block.factors(repeated, 4))))
+        for p, words_ in enumerate(split):
+            best = [max(common(p, i, q, j) for q in range(len(texts)) for j in range(len(split[q])) if (p, i) != (q, j)) for i in range(len(words_))]
+            assert block.length[block.starts[p] : block.starts[p] + len(words_)].tolist() == best
+            own = [f for f in factors if f[0] == p]
+            if repeated[p]:
+                assert own == [(p, 0, len(words_), p, 0)]
+                continue
+            assert all(n == best[i] == common(p, i, q, j) >= 4 and (p, i) != (q, j) for _, i, n, q, j in own)
+            want = [any(best[i] >= 4 and i <= k < i + best[i] for i in range(len(words_))) for k in range(len(words_))]
+            at, n = (np.array([f[k] for f in own], np.int64) for k in (1, 2))
+            assert substring_dedup.covered(len(words_), at, n).tolist() == want
+            for k in np.flatnonzero(want).tolist():  # the factors decide: a word stays if those that hold it are shorter or lost
+                holds = (at <= k) & (k < at + n)
+                assert not substring_dedup.covered(len(words_), at[~holds], n[~holds])[k]
+                assert not substring_dedup.covered(len(words_), at, np.where(holds, k - at, n))[k]
+
+
+@pytest.mark.parametrize("block_pieces", [1, 7, 20_000])
+def test_substring_dedup_in_many_blocks(spark, block_pieces):
+    """Minimizers with more pieces than a block may hold are dealt window by window."""
+    df, rows = odd_documents(spark)
+    got = substring_dedup.dedup_substrings(df, 12, 5, block_pieces=block_pieces)
+    assert sorted_rows(got, "doc_id", "n_words", "n_removed", "kept") == brute_windows(rows, 12)
+
+
+def test_substring_dedup_of_long_and_periodic_texts(spark):
+    import random
+
+    rng = random.Random(8)
+    long = words(rng, 40_000)
+    texts = [long, "one two three " * 20_000, "a " * 30_000, words(rng, 50) + " " + " ".join(long.split()[777:900]), "x" * 500_000, " " * 500_000]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted_rows(substring_dedup.dedup_substrings(df), "doc_id", "n_words", "n_removed", "kept") == brute_windows(rows, 35)
+
+
+@pytest.mark.parametrize("block_pieces", [3, 20_000])
+def test_factors_are_copies_of_their_places(spark, block_pieces):
     df, rows = odd_documents(spark)
-    got = substring_dedup.factorize(df, 12, 5).collect()
-    texts = {r.key: substring_dedup.words_of(t) for r, t in ((r, dict((hashlib.md5((t or "").encode()).digest(), t or "") for _, t in rows)[bytes(r.key)]) for r in got)}
-    owner = {h.h & ~substring_dedup._STARTS: substring_dedup.words_of(h.t) for h in df.select(F.xxhash64(F.unhex(F.md5(F.coalesce("text", F.lit(""))))).alias("h"), F.coalesce("text", F.lit("")).alias("t")).collect()}
-    assert got
+    texts = {hashlib.md5((t or "").encode()).digest(): substring_dedup.words_of(t or "") for _, t in rows}
+    copies = collections.Counter(hashlib.md5((t or "").encode()).digest() for _, t in rows)
+    got = substring_dedup.factorize(df, 12, 5, block_pieces=block_pieces).collect()
+    gone = collections.defaultdict(set)
     for r in got:
-        own = texts[r.key]
-        for f in r.factors:
-            source, start = owner[f.place & ~substring_dedup._STARTS], f.place & substring_dedup._STARTS
-            assert f.length >= 12 and own[f.start : f.start + f.length] == source[start : start + f.length]
-            assert source is not own or start != f.start
+        own, source = texts[bytes(r.key)], texts[bytes(r.source)]
+        assert r.length >= 12 and own[r.start : r.start + r.length] == source[r.source_start : r.source_start + r.length]
+        assert (r.key, r.start) != (r.source, r.source_start) or copies[bytes(r.key)] > 1
+        gone[bytes(r.key)].update(range(r.start, r.start + r.length))
+    want = {hashlib.md5((t or "").encode()).digest(): n for (i, t) in rows for j, _, n, k in brute_windows(rows, 12) if i == j and i not in (None, 5, 10) and n}
+    assert {k: len(v) for k, v in gone.items() if k in want} == want
 
 
 # --- 10 decontamination -----------------------------------------------------------------------
