@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import files_for, materialize
+from ..functions.storage import discard, files_for, materialize
 
 
 EDGE_BYTES = 64
 
 
 def _star(edges: DataFrame, large: bool, files: int) -> DataFrame:
-    """One step on edges (a, b) with a > b, distinct."""
+    """One step on edges (a, b) with a > b, distinct; the tables that it is done with go."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("u", "m").alias("m"))
     # written out, so that both sides of the join are plain exchanges, which Spark can split at a hub
@@ -28,41 +28,25 @@ def _star(edges: DataFrame, large: bool, files: int) -> DataFrame:
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:  # u and its smaller neighbours come to hang on the least of them
         moved = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return moved.where("a > b").distinct()
+    done = materialize(moved.where("a > b").distinct(), "edges", files)
+    discard(least, edges)
+    return done
 
 
-def _on_driver(edges: list) -> list[tuple]:
-    parent: dict = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for a, b in edges:
-        a, b = root(a), root(b)
-        if a != b:  # the lesser root stays, so a root is its component's least node
-            parent[max(a, b)] = min(a, b)
-    return [(x, root(x)) for x in list(parent)]
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60, small: int = 0, files: int | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, files: int | None = None) -> DataFrame:
     """edges (a, b) of any one ordered type -> (node, component): the component is its least node.
 
-    Edge tables of at most `small` rows are solved by union-find in one place. files: in how
-    many files the distinct edges are written first, if their number is about known.
+    files: in how many files the distinct edges are written first, if their number is about
+    known.
     Defined cases: loops are ignored, so a node that has only those is not returned; rows
     with a null end are ignored; repeated and reversed edges count once; no edges, no rows.
     """
     e = edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = materialize(e, "edges", files)
     n = e.count()
-    if small and n <= small:
-        kind = edges.schema["a"].dataType.simpleString()
-        return edges.sparkSession.createDataFrame(_on_driver([(r.a, r.b) for r in e.collect()]), f"node {kind}, component {kind}")
     before, files = None, files_for(n, EDGE_BYTES)
     for _ in range(max_rounds):
-        e = materialize(_star(materialize(_star(e, True, files), "edges", files), False, files), "edges", files)
+        e = _star(_star(e, True, files), False, files)
         # when all edges are stars around least nodes, neither step changes them
         now = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
         if before == (now.n, now.h):

@@ -8,21 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.storage import materialize
 from .components import connected_components
 
-#: Link tables up to this size are solved in one place.
-SMALL = 200_000
 # fixed values: lower ends of the size classes of a sweep
 SIZE_CLASSES = (1, 2, 3, 5, 10, 50)
 
 
-def clusters(ids: DataFrame, links: DataFrame, threshold: float, small: int = SMALL) -> DataFrame:
+def clusters(ids: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
     """id, cluster (its least id) of all ids, under links with d < threshold."""
-    linked = connected_components(links.where(F.col("d") < threshold), small=small)
+    linked = connected_components(links.where(F.col("d") < threshold))
     return ids.select("id").join(linked.select(F.col("node").alias("id"), "component"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
 
-def two_levels(ids: DataFrame, links: DataFrame, family: float, merge: float, small: int = SMALL) -> DataFrame:
+def two_levels(ids: DataFrame, links: DataFrame, family: float, merge: float) -> DataFrame:
     """id, merged, family. The merge threshold is never above the family's."""
-    near, far = clusters(ids, links, min(merge, family), small), clusters(ids, links, family, small)
+    near, far = clusters(ids, links, min(merge, family)), clusters(ids, links, family)
     return near.withColumnRenamed("cluster", "merged").join(far.withColumnRenamed("cluster", "family"), "id")
 
 
@@ -32,52 +30,28 @@ def sizes(labelled: DataFrame, cluster: str = "cluster") -> DataFrame:
     return n.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("n") == 1).alias("singletons"), F.max("n").alias("largest"), F.sum(F.col("n") - 1).alias("collapsed"))
 
 
-def spanning_forest(links: DataFrame, small: int = SMALL) -> DataFrame:
-    """A minimum spanning forest (a, b, d): it has the same clusters at every threshold as all links.
+def sweep(ids: DataFrame, links: DataFrame, thresholds: list[float]) -> DataFrame:
+    """threshold, clusters, singletons, largest, and rows in clusters of each size class (in_1, in_2, in_3, in_5, in_10, in_50).
 
-    Small tables by sorted union-find in one place; others by rounds in which every component
-    takes its least outgoing link.
+    From one threshold to the next only the links between them count, and only those that
+    join two of the clusters so far.
     """
     links = materialize(links.select("a", "b", "d"), "links")
-    if links.limit(small + 1).count() <= small:
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        kept = []
-        for r in sorted(links.collect(), key=lambda r: (r.d, r.a, r.b)):
-            a, b = root(r.a), root(r.b)
-            if a != b:
-                parent[a] = b
-                kept.append((r.a, r.b, r.d))
-        return links.sparkSession.createDataFrame(kept, "a long, b long, d double")
-    forest = links.limit(0)
-    left = links.select("a", "b", "d", F.col("a").alias("ca"), F.col("b").alias("cb"))
-    while True:
-        sides = left.select(F.col("ca").alias("c"), "a", "b", "d").unionByName(left.select(F.col("cb").alias("c"), "a", "b", "d"))
-        chosen = sides.groupBy("c").agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b", "m.d").distinct()
-        forest = materialize(forest.unionByName(chosen), "forest")
-        of = materialize(connected_components(forest), "forest-of")
-        named = lambda side: of.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-        left = links.join(named("a"), "a").join(named("b"), "b").where("ca <> cb").select("a", "b", "d", "ca", "cb")
-        left = materialize(left, "links-left")
-        if not left.limit(1).count():
-            return forest.distinct()
-
-
-def sweep(ids: DataFrame, links: DataFrame, thresholds: list[float], small: int = SMALL) -> DataFrame:
-    """threshold, clusters, singletons, largest, and rows in clusters of each size class (in_1, in_2, in_3, in_5, in_10, in_50)."""
-    forest = spanning_forest(links, small)
-    out = None
-    for t in thresholds:
-        n = clusters(ids, forest, t, small).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    now, before, rows = materialize(ids.select("id", F.col("id").alias("cluster")), "swept"), None, {}
+    for t in sorted(set(thresholds)):
+        named = lambda side: now.select(F.col("id").alias(side), F.col("cluster").alias(f"c{side}"))
+        new = links.where(F.col("d") < t) if before is None else links.where((F.col("d") < t) & (F.col("d") >= before))
+        joining = new.join(named("a"), "a").join(named("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        of = connected_components(joining)
+        now = materialize(now.join(of, now["cluster"] == of["node"], "left").select("id", F.coalesce("component", "cluster").alias("cluster")), "swept")
+        n = now.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
         edges = list(zip(SIZE_CLASSES, [*SIZE_CLASSES[1:], None]))
         in_class = [F.sum(F.when((F.col("n") >= a) & (F.lit(True) if b is None else F.col("n") < b), F.col("n")).otherwise(0)).alias(f"in_{a}") for a, b in edges]
-        row = n.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("n") == 1).alias("singletons"), F.max("n").alias("largest"), *in_class).select(F.lit(float(t)).alias("threshold"), "*")
-        out = row if out is None else out.unionByName(row)
+        rows[t] = n.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("n") == 1).alias("singletons"), F.max("n").alias("largest"), *in_class).select(F.lit(float(t)).alias("threshold"), "*")
+        before = t
+    out = None
+    for t in thresholds:
+        out = rows[t] if out is None else out.unionByName(rows[t])
     return out
 
 

@@ -196,8 +196,7 @@ def neardup_components_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_LINKS}{_walk('c', str(FAMILY))} SELECT id, cluster FROM c")
 def neardup_components_family(spark: SparkSession, sf: str) -> DataFrame:
-    """By the distributed rounds, whatever the size."""
-    return families.clusters(_rows(spark, sf), _links(spark, sf), FAMILY, small=0)
+    return families.clusters(_rows(spark, sf), _links(spark, sf), FAMILY)
 
 
 @query(f"{_LINKS}{_walk('m', str(MERGE))}{_walk('f', str(FAMILY))} SELECT id, m.cluster AS merged, f.cluster AS family FROM m JOIN f USING (id)")
@@ -342,8 +341,7 @@ def cell_best_word(spark: SparkSession, sf: str) -> DataFrame:
     SELECT CAST(region AS INTEGER) AS region, token, round(x, 9) AS x, round(y, 9) AS y, n, hits, round(lift, 9) AS lift, CAST(rank AS INTEGER) AS rank FROM z WHERE rank <= 3""")
 def region_labels(spark: SparkSession, sf: str) -> DataFrame:
     points, best, df, corpus = _best(spark, sf)
-    connect = lambda edges: components.connected_components(edges, small=families.SMALL)
-    r = layout.region_labels(points, best, df, corpus, connect, columns=GRID[0])
+    r = layout.region_labels(points, best, df, corpus, components.connected_components, columns=GRID[0])
     return r.select("region", "token", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), "n", "hits", F.round("lift", 9).alias("lift"), "rank")
 
 

@@ -88,24 +88,20 @@ def test_memberships_sum_to_log2_k(spark):
     assert all(abs(r.s - 3) < 1e-3 and r.m == 1 for r in w)
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_components(spark, small):
+def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7), (200, 200)] + [(300, 300 + k) for k in range(1, 60)] + [(5, 4)]
-    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100, **dict.fromkeys(range(300, 360), 300)}
     none = spark.createDataFrame([], "a long, b long")
-    assert components.connected_components(none, small=small).count() == 0
+    assert components.connected_components(none).count() == 0
 
 
-def test_forest_has_the_same_clusters_at_any_threshold(spark):
+def test_sweep_agrees_with_clusters_at_each_threshold(spark):
     x = np.random.default_rng(6).normal(size=(80, 2))
     df = frame(spark, x)
     links = neighbours.near_links(df, 0.8)
-    for small in (0, 10**6):
-        forest = families.spanning_forest(links, small)
-        for t in (0.3, 0.5, 0.8):
-            of = lambda e: sorted((r.id, r.cluster) for r in families.clusters(df, e, t).collect())
-            assert of(forest) == of(links)
+    for r in families.sweep(df, links, [0.5, 0.3, 0.8]).collect():
+        assert families.sizes(families.clusters(df, links, r.threshold)).select("clusters", "singletons", "largest").first() == (r.clusters, r.singletons, r.largest)
 
 
 def test_two_levels_are_nested(spark):
@@ -131,7 +127,7 @@ def test_region_labels_on_a_planted_grid(spark):
     p = spark.createDataFrame(rows, "id long, x double, y double, tokens array<string>").withColumn("cell", layout.grid_cell(F.col("x"), F.col("y"), 4, 3))
     df = layout.document_frequency(p)
     best = layout.best_words(layout.cell_words(p, df, len(rows)))
-    got = layout.region_labels(p, best, df, len(rows), lambda e: components.connected_components(e, small=1000), columns=4).collect()
+    got = layout.region_labels(p, best, df, len(rows), components.connected_components, columns=4).collect()
     own = next(r for r in got if r.token == "LSHAPE")
     assert (own.region, own.n, own.hits) == (0, 120, 90) and len(got) == 10 and not any(r.token == "OTHER" for r in got)
 
