@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import files_for, materialize, release, shared_dir
+from ..functions.storage import discard, files_for, materialize, release, shared_dir
 
-__all__ = ["files_for", "id_and_text", "materialize", "release", "shared_dir", "text_or_empty", "tidy"]
+__all__ = ["discard", "files_for", "fresh", "id_and_text", "materialize", "release", "shared_dir", "text_or_empty", "tidy"]
 
 
 def tidy(*caches: dict) -> None:
@@ -23,6 +23,12 @@ def tidy(*caches: dict) -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like `names` that df has not, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in (name, *(f"{name}_{k}" for k in range(len(taken) + 1))) if x.lower() not in taken) for name in names]
+
+
 def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
 

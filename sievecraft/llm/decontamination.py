@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize, tidy
+from .common import fresh, id_and_text, materialize, tidy
 
 WINDOW = 10
-#: Words of items in one automaton. Larger benchmarks take several, each broadcast by itself for a pass of its own.
-BLOCK_WORDS = 1_000_000
+#: Words of items in one automaton, and their bytes, at most. Larger benchmarks take several, each broadcast by itself for a pass of its own.
+BLOCK_WORDS = 250_000
+BLOCK_BYTES = 16 << 20
 
 # ASCII letters and digits and all bytes of other characters are parts of words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -134,31 +135,32 @@ class ItemAutomaton:
                         yield i, k, (number,)
 
 
-def _scan(automaton, names):
-    """Adds an automaton's hits to those of the passes before: hit (sorted starts and ends of hit words) and items."""
+def _scan(automaton, names: list[str], at: dict[str, int], finish):
+    """Adds an automaton's hits to those of the passes before. at: places of the columns text, hit (sorted starts and ends of hit words) and, where wanted, items and n_words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = automaton.value
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                spans, found, n_words = [], [], []
-                had_spans = part.column(2).to_pylist()
-                had_items = part.column(3).to_pylist()
-                for t, s, f in zip(part.column(1), had_spans, had_items):
-                    words = words_of(t.as_py())
+                spans, numbers, n_words = [], [], []
+                for t, before in zip(part.column(at["text"]), part.column(at["hit"]).to_pylist()):
+                    words = words_of(t.as_py() or "")
                     n_words.append(len(words))
-                    numbers: set[int] = set()
-                    new = []
-                    for end, n, items in own.matches(words):
-                        numbers.update(items)
+                    new, items = [], set()
+                    for end, n, found in own.matches(words):
+                        items.update(found)
                         new += [end - n, end]
-                    new = _joined(s + new)
-                    spans.append(new)
-                    found.append(f + sorted(names[i] for i in numbers))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string())), pa.array(n_words, pa.int64())], names=["doc_id", "text", "hit", "items", "n_words"]
-                )
+                    spans.append(_joined(before + new) if new else before)
+                    numbers.append(items)
+                columns = list(part.columns)
+                columns[at["hit"]] = pa.array(spans, pa.list_(pa.int64()))
+                if "items" in at:
+                    columns[at["items"]] = pa.array([f + sorted({names[i] for i in s}) for f, s in zip(part.column(at["items"]).to_pylist(), numbers)], pa.list_(pa.string()))
+                if "n_words" in at:
+                    columns[at["n_words"]] = pa.array(n_words, pa.int64())
+                out = pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+                yield finish(out) if finish else out
         tidy()
 
     return run
@@ -174,72 +176,90 @@ def _joined(spans: list[int]) -> list[int]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The benchmark's items, streamed in blocks of at most block_words words (or one item)."""
+def _chunks(words: list[bytes], window: int, block_words: int, block_bytes: int) -> Iterator[list[bytes]]:
+    """The words, whole or (beyond the bounds) in stretches that overlap by window - 1 words, so that each window lies in one."""
+    lo, n = 0, len(words)
+    while True:
+        hi, size = min(n, lo + window), sum(map(len, words[lo : lo + window]))
+        while hi < n and hi - lo < block_words and size + len(words[hi]) <= block_bytes:
+            size += len(words[hi])
+            hi += 1
+        yield words[lo:hi]
+        if hi == n:
+            return
+        lo = hi - window + 1
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The benchmark's items, streamed in blocks of at most block_words words and block_bytes bytes (or one window); an item beyond them lies in several."""
     block: list[tuple[str, list[bytes]]] = []
-    size = 0
+    n = size = 0
     for row in benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").toLocalIterator():
-        words = words_of(row.t)
-        if words:
-            if block and size + len(words) > block_words:
+        whole = words_of(row.t)
+        for words in _chunks(whole, window, block_words, block_bytes) if whole else ():
+            own = sum(map(len, words))
+            if block and (n + len(words) > block_words or size + own > block_bytes):
                 yield block
-                block, size = [], 0
+                block, n, size = [], 0, 0
             block.append((row.i, words))
-            size += len(words)
+            n, size = n + len(words), size + own
     if block:
         yield block
 
 
+def _sweep(df: DataFrame, at: dict[str, int], blocks: Iterator[list[tuple[str, list[bytes]]]], window: int, finish=None, schema=None) -> DataFrame:
+    """df after a pass for each block of items. One automaton stands at a time: its pass is written out before the next one is made. finish, schema: what the last pass makes of its batches."""
+    spark = df.sparkSession
+    block, own = next(blocks, []), df.schema
+    while True:
+        following = next(blocks, None)
+        automaton = spark.sparkContext.broadcast(ItemAutomaton([(i, words) for i, (_, words) in enumerate(block)], window))
+        names = [name for name, _ in block]
+        if following is None:
+            return df.mapInArrow(_scan(automaton, names, at, finish), schema or own)
+        df, block = materialize(df.mapInArrow(_scan(automaton, names, at, None), own), "leaks"), following
+        automaton.destroy()
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, text, n_words, hit (starts and ends of hit stretches, in words, end exclusive), items (ids, sorted as text); one row per document.
 
     Defined cases: null text has no words; items that are null, without id or without words
     never match; an item of fewer than `window` words matches as a whole; items of equal
-    text all match; rows of equal item id count as one; null or repeated doc_ids are looked
-    at row by row; with an empty benchmark nothing is hit; other columns are ignored.
+    text all match; rows of equal item id count as one; a very long text is streamed, a very
+    long item lies in several automata; null or repeated doc_ids and repeated rows are looked
+    at row by row; with an empty benchmark nothing is hit, an empty table gives no rows;
+    other columns are ignored.
     """
-    spark = docs.sparkSession
-    out = id_and_text(docs, id_col, text_col).select("doc_id", "text", F.array().cast("array<bigint>").alias("hit"), F.array().cast("array<string>").alias("items"))
-    schema = "doc_id long, text string, hit array<long>, items array<string>, n_words long"
-    blocks = _blocks(benchmark, item_col, item_text_col, block_words)
-    block, passes = next(blocks, []), 0
-    while True:
-        following = next(blocks, None)
-        automaton = spark.sparkContext.broadcast(ItemAutomaton([(i, words) for i, (_, words) in enumerate(block)], window))
-        out = out.select("doc_id", "text", "hit", "items").mapInArrow(_scan(automaton, [name for name, _ in block]), schema)
-        if following is None:
-            break
-        out, block, passes = materialize(out, "leaks"), following, passes + 1
-        automaton.unpersist()
-    return out.withColumn("items", F.array_sort(F.array_distinct("items")))
+    df = id_and_text(docs, id_col, text_col).select("doc_id", "text", F.array().cast("array<bigint>").alias("hit"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"))
+    out = _sweep(df, {"text": 1, "hit": 2, "items": 3, "n_words": 4}, _blocks(benchmark, item_col, item_text_col, window, block_words), window)
+    return out.select("doc_id", "text", "hit", F.array_sort(F.array_distinct("items")).alias("items"), "n_words")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """docs without benchmark passages, all columns kept.
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """docs without benchmark passages, all columns kept, whatever their names.
 
     Hit words, and what stands between hit words of one stretch, are cut out of the text;
     a document with more than max_coverage of its words hit goes. Texts without hits stay
-    as they are, null too. Other cases as in find_leaks().
+    as they are, null and empty ones too; with an empty benchmark all do. Other cases as in
+    find_leaks().
     """
-    spark = docs.sparkSession
-    automata = [spark.sparkContext.broadcast(ItemAutomaton([(i, w) for i, (_, w) in enumerate(b)], window)) for b in _blocks(benchmark, item_col, item_text_col, BLOCK_WORDS)]
-    at, schema = docs.columns.index(text_col), docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, texts = [], []
-            for t in batch.column(at):
-                text = t.as_py()
-                words = words_of(text) if text else []
-                spans = _joined([x for a in automata for end, n, _ in a.value.matches(words) for x in (end - n, end)]) if words else []
-                hit = sum(spans[1::2]) - sum(spans[::2])
-                keep.append(hit <= max_coverage * len(words))
-                texts.append(_cut(text, spans) if spans and keep[-1] else text)
-            columns = [pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
-        tidy()
-
-    return docs.mapInArrow(run, schema)
+    (hidden,) = fresh(docs, "hit")
+    df = docs.withColumn(hidden, F.array().cast("array<bigint>"))
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep, texts = [], []
+        for t, spans in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
+            hit = sum(spans[1::2]) - sum(spans[::2])
+            keep.append(not hit or hit <= max_coverage * len(words_of(t)))
+            texts.append(_cut(t, spans) if hit and keep[-1] else t)
+        columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[: len(names)])]
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+    return _sweep(df, {"text": at, "hit": len(names)}, _blocks(benchmark, item_col, item_text_col, window, block_words), window, finish, docs.schema)
 
 
 def _cut(text: str, spans: list[int]) -> str:

@@ -1,11 +1,16 @@
 """Line dedup: exact reference counts of lines in sharded tables, with a cuckoo filter per shard.
 
-A line's key is counted once per document that has it. The keys whose count reaches the
-threshold lie in their shard's cuckoo filter, which supports deletion, so documents can be
-added to and taken from the index later: counts move, and keys that cross the threshold
-enter or leave the filters. Documents are cleaned by probing the filters alone; the few
-keys that a filter reports wrongly are found by probing it with every counted key, and are
-listed beside it, which makes the answer exact for all indexed lines.
+A line's key is counted once per document that has it. The counts lie in shards, whose number
+grows with the keys; the keys whose count reaches the threshold lie in their shard's cuckoo
+filter, which supports deletion, so documents can be added to and taken from the index
+later: counts move, and keys that cross the threshold enter or leave the filters. Beside each
+filter stand the few counted keys under the threshold that it holds by chance, which makes
+its answer exact for all indexed lines.
+
+Documents are cleaned in one way at every size: the keys of their lines are dealt to the
+shards and probed there, and the found ones come back to their texts. A shard that gets many
+keys, as that of a line which a third of all documents have, is probed in several tasks,
+each with a copy of its filter.
 """
 
 from __future__ import annotations
@@ -16,17 +21,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty, tidy
+from .common import fresh, materialize, text_or_empty, tidy
 
 MIN_DOCS = 10
 MIN_CHARS = 1
-SHARDS = 64
-#: Filters (and their exceptions) are broadcast up to this size; beyond it documents are cleaned by a join.
-BROADCAST_BYTES = 128 << 20
+#: Distinct keys of a shard, about. An index whose shards have outgrown it twice is dealt anew.
+SHARD_KEYS = 200_000
+#: Keys that are probed in one task, about.
+PROBE_ROWS = 1_000_000
 _BLANK = b" \t\n\x0b\x0c\r"
 _FLUSH = 200_000
 
@@ -72,29 +79,45 @@ class CuckooFilter:
         want = print_[:, None]
         return (self.table[a] == want).any(1) | (self.table[b] == want).any(1)
 
-    def insert(self, k1: np.ndarray, k2: np.ndarray) -> "CuckooFilter":
-        """Adds distinct keys; grows (and must then be rebuilt by the caller) never silently: raises if it is full."""
+    def _settle(self, prints: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        """Puts fingerprints into free slots of their buckets, as far as they go; which ones found a slot."""
+        order = np.argsort(buckets, kind="stable")
+        own = buckets[order]
+        first = np.concatenate([[True], own[1:] != own[:-1]])
+        at = np.arange(len(own))
+        turn = at - np.maximum.accumulate(np.where(first, at, 0))  # how many of the bucket come before
+        free = self.table[own] == 0
+        nth = np.cumsum(free, 1) * free  # 1 for a bucket's first free slot, and so on
+        slot = nth == (turn + 1)[:, None]
+        found = slot.any(1)
+        self.table[own[found], slot[found].argmax(1)] = prints[order[found]]
+        done = np.zeros(len(prints), bool)
+        done[order[found]] = True
+        return done
+
+    def insert(self, k1: np.ndarray, k2: np.ndarray) -> bool:
+        """Adds distinct keys; False if the filter is full, and must be built anew."""
+        if not len(k1):
+            return True
         prints, first, second = self.places(k1, k2)
+        for side in range(2):
+            left = ~self._settle(prints, second if side else first)
+            prints, first, second = prints[left], first[left], second[left]
+            if not len(prints):
+                return True
         rng = np.random.default_rng(1)
-        for p, a, b in zip(prints.tolist(), first.tolist(), second.tolist()):
-            for bucket in (a, b):
+        for p, bucket in zip(prints.tolist(), first.tolist()):  # the few others push out what is there
+            for _ in range(1000):
                 free = np.flatnonzero(self.table[bucket] == 0)
                 if len(free):
                     self.table[bucket, free[0]] = p
                     break
+                slot = int(rng.integers(self.SLOTS))
+                p, self.table[bucket, slot] = int(self.table[bucket, slot]), p
+                bucket = int(self.other(np.array([bucket], np.uint64), np.array([p], np.uint32))[0])
             else:
-                bucket = a
-                for _ in range(1000):
-                    slot = int(rng.integers(self.SLOTS))
-                    p, self.table[bucket, slot] = int(self.table[bucket, slot]), p
-                    bucket = int(self.other(np.array([bucket], np.uint64), np.array([p], np.uint32))[0])
-                    free = np.flatnonzero(self.table[bucket] == 0)
-                    if len(free):
-                        self.table[bucket, free[0]] = p
-                        break
-                else:
-                    raise OverflowError("filter is full")
-        return self
+                return False
+        return True
 
     def delete(self, k1: np.ndarray, k2: np.ndarray) -> "CuckooFilter":
         """Takes out keys that were inserted."""
@@ -110,11 +133,9 @@ class CuckooFilter:
     @classmethod
     def of(cls, k1: np.ndarray, k2: np.ndarray) -> "CuckooFilter":
         capacity = len(k1)
-        while True:
-            try:
-                return cls(capacity).insert(k1, k2)
-            except OverflowError:
-                capacity = 2 * max(1, capacity)
+        while not (f := cls(capacity)).insert(k1, k2):
+            capacity = 2 * max(1, capacity)
+        return f
 
     def to_bytes(self) -> bytes:
         return self.table.astype("<u4").tobytes()
@@ -126,7 +147,7 @@ class CuckooFilter:
 
 @dataclass
 class LineIndex:
-    """refs: k1, k2, shard, refs (documents with the line); filters: shard, n_keys, filter."""
+    """refs: k1, k2, refs (documents with the line); filters: shard, n_keys, probes (the refs of all its keys), filter, strays (keys that it holds by chance)."""
 
     refs: DataFrame
     filters: DataFrame
@@ -164,73 +185,87 @@ def _counts(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
     return rows.groupBy("k1", "k2").agg(F.sum("n").alias("n"))
 
 
-def _build(key, pdf):
-    import pandas as pd
+_FILTERS = "shard int, n_keys long, probes long, filter binary, strays binary"
 
-    f = CuckooFilter.of(pdf.k1.to_numpy(), pdf.k2.to_numpy())
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "n_keys": [len(pdf)], "filter": [f.to_bytes()]})
 
+def _shard(shards: int):
+    return F.pmod(F.col("k1"), F.lit(shards)).cast("int")
 
-_FILTERS = "shard int, n_keys long, filter binary"
 
+def _row(shard: int, f: CuckooFilter, rows: pd.DataFrame, min_docs: int) -> pd.DataFrame:
+    """A shard's row, after a look at which of its other keys the filter holds."""
+    often = rows.refs.to_numpy() >= min_docs
+    k1, k2 = rows.k1.to_numpy()[~often], rows.k2.to_numpy()[~often]
+    stray = f.contains(k1, k2)
+    pairs = np.stack([k1[stray], k2[stray]], 1).astype("<i8")
+    return pd.DataFrame({"shard": [shard], "n_keys": [int(often.sum())], "probes": [int(rows.refs.sum())], "filter": [f.to_bytes()], "strays": [pairs.tobytes()]})
 
-def index_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int = SHARDS, text_col: str = "text") -> LineIndex:
-    """Count every line's documents and build the shards' filters. Rows are documents, also where ids or whole rows repeat."""
-    shard = F.pmod(F.col("k1"), F.lit(shards)).cast("int")
-    refs = materialize(_counts(docs, text_col, min_chars).select("k1", "k2", shard.alias("shard"), F.col("n").alias("refs")), "line-refs")
-    filters = refs.where(F.col("refs") >= min_docs).select("shard", "k1", "k2").groupBy("shard").applyInPandas(_build, _FILTERS)
-    return LineIndex(refs, materialize(filters, "line-filters", 1 + shards // 64), min_docs, min_chars, shards)
+
+def _build(min_docs: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        often = rows[rows.refs >= min_docs]
+        return _row(int(key[0]), CuckooFilter.of(often.k1.to_numpy(), often.k2.to_numpy()), rows, min_docs)
+
+    return run
+
+
+def _revise(min_docs: int):
+    """A shard's filter with the keys that crossed the threshold put in and taken out, or built anew where it has become too full."""
+
+    def run(key: tuple, rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        was, often = rows.old.to_numpy() >= min_docs, rows.refs.to_numpy() >= min_docs
+        up, down, now = rows[often & ~was], rows[was & ~often], rows[often]
+        f = CuckooFilter.from_bytes(before["filter"].iloc[0]) if len(before) else CuckooFilter(0)
+        f.delete(down.k1.to_numpy(), down.k2.to_numpy())
+        if len(now) > 0.85 * f.table.size or not f.insert(up.k1.to_numpy(), up.k2.to_numpy()):
+            f = CuckooFilter.of(now.k1.to_numpy(), now.k2.to_numpy())
+        return _row(int(key[0]), f, rows[rows.refs > 0], min_docs)
+
+    return run
 
 
-def _revise(key, changes, old):
-    """A shard's filter with the keys that crossed the threshold put in and taken out."""
-    import pandas as pd
+def _filters(refs: DataFrame, min_docs: int, shards: int) -> DataFrame:
+    return materialize(refs.withColumn("shard", _shard(shards)).groupBy("shard").applyInPandas(_build(min_docs), _FILTERS), "line-filters")
 
-    up, down = changes[changes.step > 0], changes[changes.step < 0]
-    f = CuckooFilter.from_bytes(old["filter"].iloc[0]) if len(old) else CuckooFilter(0)
-    n = (int(old.n_keys.iloc[0]) if len(old) else 0) + len(up) - len(down)
-    f.delete(down.k1.to_numpy(), down.k2.to_numpy())
-    if n > 0.85 * f.table.size:
-        raise OverflowError
-    f.insert(up.k1.to_numpy(), up.k2.to_numpy())
-    shard = int((changes if len(changes) else old)["shard"].iloc[0])
-    return pd.DataFrame({"shard": [shard], "n_keys": [n], "filter": [f.to_bytes()]})
+
+def _shards_for(keys: int) -> int:
+    return max(1, -(-keys // SHARD_KEYS))
+
+
+def index_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int | None = None, text_col: str = "text") -> LineIndex:
+    """Count every line's documents and build the shards' filters. shards: their number, else as many as the distinct keys need.
+
+    Defined cases: rows are documents, also where ids or whole rows repeat; null or empty
+    text is one empty line, which is counted only if min_chars is 0; a line that a document
+    has several times counts once; an empty table makes an empty index.
+    """
+    refs = materialize(_counts(docs, text_col, min_chars).select("k1", "k2", F.col("n").alias("refs")), "line-refs")
+    shards = shards or _shards_for(refs.count())
+    return LineIndex(refs, _filters(refs, min_docs, shards), min_docs, min_chars, shards)
 
 
 def update_lines(index: LineIndex, docs: DataFrame, sign: int, text_col: str = "text") -> LineIndex:
-    """index with the lines of docs counted in (sign 1) or out (sign -1). docs to delete must be among those indexed; earlier index stays valid."""
-    shards = F.pmod(F.col("k1"), F.lit(index.shards)).cast("int")
-    delta = _counts(docs, text_col, index.min_chars).select("k1", "k2", shards.alias("shard"), F.lit(0).cast("long").alias("refs"), (F.col("n") * sign).alias("delta"))
-    both = index.refs.withColumn("delta", F.lit(0).cast("long")).unionByName(delta).groupBy("k1", "k2", "shard").agg(F.sum("refs").alias("old"), (F.sum("refs") + F.sum("delta")).alias("refs"))
+    """index with the lines of docs counted in (sign 1) or out (sign -1). The earlier index stays valid.
+
+    Documents to take out must be among those indexed; a line that would be counted less than
+    never is refused with a ValueError. An empty table changes nothing. Where the keys have
+    outgrown the shards, they are dealt to more of them.
+    """
+    delta = _counts(docs, text_col, index.min_chars).select("k1", "k2", F.lit(0).cast("long").alias("refs"), (F.col("n") * sign).alias("delta"))
+    both = index.refs.withColumn("delta", F.lit(0).cast("long")).unionByName(delta).groupBy("k1", "k2").agg(F.sum("refs").alias("old"), (F.sum("refs") + F.sum("delta")).alias("refs"))
     both = materialize(both, "line-changes")
-    refs = both.where("refs > 0").select("k1", "k2", "shard", "refs")
-    before, now = F.col("old") >= index.min_docs, F.col("refs") >= index.min_docs
-    steps = both.where(before != now).select("shard", "k1", "k2", F.when(now, 1).otherwise(-1).alias("step"))
-    full = refs.where(F.col("refs") >= index.min_docs)
-
-    def revise(key, changes, old):
-        return _revise(key, changes, old)
-
-    touched = steps.groupBy("shard").cogroup(index.filters.groupBy("shard")).applyInPandas(revise, _FILTERS)
-    try:
-        filters = materialize(touched, "line-filters", 1 + index.shards // 64)
-    except Exception as e:  # a filter that became too full is built anew
-        if "OverflowError" not in str(e):
-            raise
-        filters = materialize(full.select("shard", "k1", "k2").groupBy("shard").applyInPandas(_build, _FILTERS), "line-filters")
+    about = both.agg(F.count_if(F.col("refs") > 0).alias("n"), F.count_if(F.col("refs") < 0).alias("below")).first()
+    if about.below:
+        raise ValueError(f"{about.below} lines are in fewer indexed documents than are to be taken out")
+    refs = both.where("refs > 0").select("k1", "k2", "refs")
+    if about.n > 2 * SHARD_KEYS * index.shards:
+        shards = _shards_for(about.n)
+        return LineIndex(refs, _filters(refs, index.min_docs, shards), index.min_docs, index.min_chars, shards)
+    rows = both.withColumn("shard", _shard(index.shards)).groupBy("shard")
+    filters = materialize(rows.cogroup(index.filters.groupBy("shard")).applyInPandas(_revise(index.min_docs), _FILTERS), "line-filters")
     return LineIndex(refs, filters, index.min_docs, index.min_chars, index.shards)
 
 
-def _probe_all(tables: dict[int, np.ndarray], shards: int, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
-    shard = k1 % shards
-    hit = np.zeros(len(k1), bool)
-    for s in np.unique(shard):
-        if (table := tables.get(int(s))) is not None:
-            at = np.flatnonzero(shard == s)
-            hit[at] = CuckooFilter(0, table).contains(k1[at], k2[at])
-    return hit
-
-
 def _hashes(lines: list[str], min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys = [line_key(x) for x in lines]
     counted = np.fromiter((_long_enough(k, min_chars) for k in keys), bool, len(keys))
@@ -238,119 +273,116 @@ def _hashes(lines: list[str], min_chars: int) -> tuple[np.ndarray, np.ndarray, n
     return both[:, 0], both[:, 1], counted
 
 
-_CLEAN = "n_lines long, n_dropped long, kept string"
+def _line_keys(min_chars: int, shards: int, tasks: dict[int, int]):
+    """Per text: its distinct line keys, each with its shard, and which of the shard's tasks probes it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                split = [t.split("\n") for t in part.column(1).to_pylist()]
+                k1, k2, counted = _hashes([x for lines in split for x in lines], min_chars)
+                owner = np.repeat(np.arange(len(split)), [len(lines) for lines in split])
+                both = np.unique(np.stack([owner, k1, k2], 1)[counted], axis=0)
+                shard = both[:, 1] % shards
+                salt = np.zeros(len(both), np.int64)
+                for s, n in tasks.items():
+                    at = np.flatnonzero(shard == s)
+                    salt[at] = (k + at) % n
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(both[:, 0])), pa.array(both[:, 1]), pa.array(both[:, 2]), pa.array(shard.astype(np.int32)), pa.array(salt.astype(np.int32))], names=["key", "k1", "k2", "shard", "task"]
+                )
+        tidy()
+
+    return run
+
+
+def _probe(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+    """The keys that a shard's filter holds, but for those that it holds by chance."""
+    if not len(rows) or not len(own):
+        return rows[["key", "k1", "k2"]].iloc[:0]
+    hit = CuckooFilter.from_bytes(own["filter"].iloc[0]).contains(rows.k1.to_numpy(), rows.k2.to_numpy())
+    found = rows.loc[hit, ["key", "k1", "k2"]]
+    strays = {tuple(p) for p in np.frombuffer(own.strays.iloc[0], "<i8").reshape(-1, 2).tolist()}
+    if strays:
+        found = found[[p not in strays for p in zip(found.k1.tolist(), found.k2.tolist())]]
+    return found
 
-def _cleaner(hit, min_chars: int, at: int, names: list[str], done=tidy):
-    """Adds n_lines, n_dropped and kept; hit(k1, k2) tells which lines go."""
+
+def _drop(min_chars: int, at: int, gone_at: int, names: list[str]):
+    """Takes the found lines out of the texts, and puts n_lines, n_dropped and kept in the place of the found keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                split = [(t or "").split("\n") for t in part.column(at).to_pylist()]
-                k1, k2, counted = _hashes([x for lines in split for x in lines], min_chars)
-                drop = counted & hit(k1, k2)
-                n_lines, n_dropped, kept, a = [], [], [], 0
-                for lines in split:
-                    gone = drop[a : a + len(lines)]
-                    a += len(lines)
+                n_lines, n_dropped, kept = [], [], []
+                for text, gone in zip(part.column(at), part.column(gone_at)):
+                    text = text.as_py() or ""
+                    lines = text.split("\n")
                     n_lines.append(len(lines))
-                    n_dropped.append(int(gone.sum()))
-                    kept.append("\n".join(x for x, g in zip(lines, gone) if not g) if n_dropped[-1] else "\n".join(lines))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_lines", "n_dropped", "kept"])
-        done()
+                    if not gone.is_valid:
+                        n_dropped.append(0), kept.append(text)
+                        continue
+                    found = set(zip(*(gone.values.field(j).to_pylist() for j in (0, 1))))
+                    k1, k2, counted = _hashes(lines, min_chars)
+                    left = [x for x, c, p in zip(lines, counted.tolist(), zip(k1.tolist(), k2.tolist())) if not (c and p in found)]
+                    n_dropped.append(len(lines) - len(left)), kept.append("\n".join(left))
+                others = [c for i, c in enumerate(part.columns) if i != gone_at]
+                yield pa.RecordBatch.from_arrays([*others, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=names)
+        tidy()
 
     return run
 
 
-def clean_documents(docs: DataFrame, index: LineIndex, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def _cleaned(docs: DataFrame, index: LineIndex, text_col: str, into: list[str], probe_rows: int) -> DataFrame:
+    """docs' columns and, named as in `into`, n_lines, n_dropped and kept."""
+    key = F.unhex(F.md5(text_or_empty(text_col)))
+    # shards with so many keys that they take several tasks: at most one for each probe_rows indexed lines
+    tasks = {r.shard: -(-r.probes // probe_rows) for r in index.filters.where(F.col("probes") > probe_rows).select("shard", "probes").collect()}
+    rows = docs.select(key.alias("key"), text_or_empty(text_col).alias("text")).mapInArrow(_line_keys(index.min_chars, index.shards, tasks), "key binary, k1 long, k2 long, shard int, task int")
+    copies = F.greatest(F.lit(1), F.ceil(F.col("probes") / probe_rows)).cast("int")
+    filters = index.filters.where("n_keys > 0").withColumn("task", F.explode(F.sequence(F.lit(0), copies - 1))).select("shard", "task", "filter", "strays")
+    found = rows.groupBy("shard", "task").cogroup(filters.groupBy("shard", "task")).applyInPandas(_probe, "key binary, k1 long, k2 long")
+    # copies of a text find the same keys
+    gone = found.groupBy("key").agg(F.collect_set(F.struct("k1", "k2")).alias("gone"))
+    # written out, so that both sides of the join are plain exchanges, which Spark can split where a text is common
+    hidden_key, hidden_gone = fresh(docs.select(*docs.columns, *[F.lit(0).alias(x) for x in into if x not in docs.columns]), "key", "gone")
+    gone = materialize(gone.select(F.col("key").alias(hidden_key), F.col("gone").alias(hidden_gone)), "frequent-lines")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    joined = docs.withColumn(hidden_key, key).join(gone, hidden_key, "left").select(*own, hidden_gone)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"`{x}` {t}" for x, t in zip(into, ("long", "long", "string")))])
+    return joined.mapInArrow(_drop(index.min_chars, docs.columns.index(text_col), len(own), [*docs.columns, *into]), schema)
+
+
+_NEW = ["n_lines", "n_dropped", "kept"]
+
+
+def clean_documents(docs: DataFrame, index: LineIndex, text_col: str = "text", probe_rows: int = PROBE_ROWS) -> DataFrame:
     """docs' columns with n_lines, n_dropped and kept (the text without its frequent lines).
 
     Every line of docs must be indexed for the answer to be exact. Defined cases: null or
     empty text is one empty line, which stays unless min_chars is 0; a text whose lines all
-    go becomes empty; repeated rows are cleaned alike; an empty table gives no rows; columns
-    of docs that are named as the new ones give way to them.
+    go becomes empty; a very long text is treated like any other; repeated rows are cleaned
+    alike; an empty table gives no rows; columns of docs that are named as the new ones give
+    way to them.
     """
-    spark = docs.sparkSession
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    at, names, min_chars = docs.columns.index(text_col), docs.columns, index.min_chars
-    size = index.filters.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0)).alias("n")).first().n
-    if size <= broadcast_bytes:
-        shards = index.shards
-        tables = spark.sparkContext.broadcast({r.shard: CuckooFilter.from_bytes(r["filter"]).table for r in index.filters.collect()})
-
-        def wrong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                k1, k2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                hit = _probe_all(tables.value, shards, k1, k2)
-                yield pa.RecordBatch.from_arrays([pa.array(k1[hit]), pa.array(k2[hit])], names=["k1", "k2"])
-
-        # counted keys under the threshold that a filter holds by chance: about eight in 2^32 of them
-        strays = index.refs.where(F.col("refs") < index.min_docs).select("k1", "k2").mapInArrow(wrong, "k1 long, k2 long")
-        found = strays.limit(broadcast_bytes // 64 + 1).collect()
-        if len(found) <= broadcast_bytes // 64:
-            except_ = spark.sparkContext.broadcast({(r.k1, r.k2) for r in found})
-
-            def hit(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
-                out = _probe_all(tables.value, shards, k1, k2)
-                if except_.value:
-                    for i in np.flatnonzero(out):
-                        out[i] = (int(k1[i]), int(k2[i])) not in except_.value
-                return out
-
-            return docs.mapInArrow(_cleaner(hit, min_chars, at, names), f"{schema}, {_CLEAN}")
-    return _clean_by_join(docs, index, text_col, schema)
-
-
-def _clean_by_join(docs: DataFrame, index: LineIndex, text_col: str, schema: str) -> DataFrame:
-    """The way without a broadcast: each distinct text's frequent keys come to it by a shuffle."""
-    min_chars, names, at = index.min_chars, docs.columns, docs.columns.index(text_col)
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                texts, out = b.column(1).slice(k, 256).to_pylist(), ([], [], [])
-                for key, t in zip(b.column(0).slice(k, 256).to_pylist(), texts):
-                    k1, k2, counted = _hashes(t.split("\n"), min_chars)
-                    for x, y in set(zip(k1[counted].tolist(), k2[counted].tolist())):
-                        out[0].append(key), out[1].append(x), out[2].append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["key", "k1", "k2"])
-
-    key = F.unhex(F.md5(text_or_empty(text_col)))
-    rows = docs.select(key.alias("key"), text_or_empty(text_col).alias("t")).mapInArrow(keys, "key binary, k1 long, k2 long").distinct()
-    frequent = index.refs.where(F.col("refs") >= index.min_docs).select("k1", "k2")
-    found = rows.join(frequent, ["k1", "k2"], "left_semi").groupBy("key").agg(F.collect_list(F.struct("k1", "k2")).alias("__gone")).withColumnRenamed("key", "__key")
-    joined = docs.withColumn("__key", key).join(found, "__key", "left").select(*[F.col(f"`{c}`") for c in names], "__gone")
-    n = len(names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                gone = {(g["k1"], g["k2"]) for g in b.column(n)[i].as_py() or ()}
-                part = pa.RecordBatch.from_arrays([c.slice(i, 1) for c in b.columns[:n]], names=names)
-                hit = lambda k1, k2: np.fromiter((p in gone for p in zip(k1.tolist(), k2.tolist())), bool, len(k1))
-                yield from _cleaner(hit, min_chars, at, names, lambda: None)(iter([part]))
-
-    return joined.mapInArrow(run, f"{schema}, {_CLEAN}")
+    return _cleaned(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in _NEW]), index, text_col, _NEW, probe_rows)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int = SHARDS, text_col: str = "text") -> DataFrame:
-    """docs' columns with n_lines, n_dropped and kept: lines found in min_docs documents or more are dropped everywhere."""
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int | None = None, text_col: str = "text") -> DataFrame:
+    """docs' columns with n_lines, n_dropped and kept: lines found in min_docs documents or more are dropped everywhere. Cases as in clean_documents()."""
     return clean_documents(docs, index_lines(docs, min_docs, min_chars, shards, text_col), text_col)
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int = SHARDS, text_col: str = "text") -> DataFrame:
-    """docs (its own columns) with frequent lines taken out of the texts.
+def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int | None = None, text_col: str = "text") -> DataFrame:
+    """docs (its own columns, whatever their names) with frequent lines taken out of the texts.
 
     A document that loses lines and of which only blanks are left goes; one that loses none
-    stays as it is, null and empty texts too. A column named n_lines, n_dropped or kept is
-    kept as it was.
+    stays as it is, null and empty texts too. Other cases as in clean_documents().
     """
     index = index_lines(docs, min_docs, min_chars, shards, text_col)
-    own = ("n_lines", "n_dropped", "kept")
-    safe = docs.select(*[F.col(f"`{c}`").alias(f"__{c}" if c in own else c) for c in docs.columns])
-    cleaned = clean_documents(safe, index, text_col).where("n_dropped = 0 OR trim(BOTH ' \\t\\n' FROM kept) <> ''")
-    text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col(f"`{text_col}`"))
-    return cleaned.select(*[(text if c == text_col else F.col(f"`__{c}`" if c in own else f"`{c}`")).alias(c) for c in docs.columns])
+    new = fresh(docs, *_NEW)
+    n_dropped, kept = F.col(f"`{new[1]}`"), F.col(f"`{new[2]}`")
+    cleaned = _cleaned(docs, index, text_col, new, PROBE_ROWS).where((n_dropped == 0) | (F.trim(kept, F.lit(" \t\n\x0b\x0c\r")) != ""))
+    return cleaned.select(*[(F.when(n_dropped > 0, kept).otherwise(F.col(f"`{c}`")) if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -348,11 +348,12 @@ def brute_lines(rows, min_docs, min_chars=1):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("min_docs,min_chars,broadcast", [(10, 1, 1 << 20), (2, 3, 1 << 20), (10, 1, 0), (3, 0, 0)])
-def test_line_dedup(spark, min_docs, min_chars, broadcast):
+@pytest.mark.parametrize("min_docs,min_chars,shards,probe_rows", [(10, 1, None, 10**6), (2, 3, 4, 10**6), (10, 1, 1, 5), (3, 0, 4, 7), (2, 1, 50, 1)])
+def test_line_dedup(spark, min_docs, min_chars, shards, probe_rows):
     df, rows = odd_documents(spark)
-    index = line_dedup.index_lines(df, min_docs, min_chars, shards=4)
-    got = line_dedup.clean_documents(df, index, broadcast_bytes=broadcast)
+    df = df.withColumn("gone", F.lit("mine")).withColumn("shard", F.lit(1))
+    index = line_dedup.index_lines(df, min_docs, min_chars, shards)
+    got = line_dedup.clean_documents(df, index, probe_rows=probe_rows)
     assert set(df.columns) <= set(got.columns)
     assert sorted_rows(got, "doc_id", "n_lines", "n_dropped", "kept") == brute_lines(rows, min_docs, min_chars)
 
@@ -369,12 +370,33 @@ def test_line_index_is_reversible(spark):
     assert sorted_rows(back.refs, "k1", "k2", "refs") == sorted_rows(first.refs, "k1", "k2", "refs")
 
 
+def test_line_index_grows_and_refuses(spark, monkeypatch):
+    df, rows = odd_documents(spark)
+    a, b = df.where("doc_id < 12"), df.where("doc_id >= 12 OR doc_id IS NULL")
+    first = line_dedup.index_lines(a, 2)
+    assert first.shards == 1 and line_dedup.update_lines(first, empty(spark), 1).refs.count() == first.refs.count()
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
+    both = line_dedup.update_lines(first, b, 1)
+    assert both.shards > 4
+    assert sorted_rows(line_dedup.clean_documents(df, both), "doc_id", "n_lines", "n_dropped", "kept") == brute_lines(rows, 2)
+    with pytest.raises(ValueError):
+        line_dedup.update_lines(first, b, -1)
+
+
+def test_line_dedup_of_long_texts(spark):
+    rows = [(i, f"{'common ' * 50_000}\nown {i}" if i else "\n".join(f"line {k}" for k in range(100_000))) for i in range(12)] + [(20, "x" * 500_000), (21, "\n" * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted_rows(line_dedup.dedup_lines(df), "doc_id", "n_lines", "n_dropped", "kept") == brute_lines(rows, 10)
+
+
 def test_line_dedup_empty_table(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
 def test_drop_frequent_lines_keeps_columns_and_empty_texts(spark):
     df, rows = odd_documents(spark)
+    for c in ("n_lines", "__n_lines", "n_dropped", "__kept", "key", "gone"):
+        df = df.withColumn(c, F.lit("mine"))
     got = line_dedup.drop_frequent_lines(df)
     assert got.columns == df.columns and got.where("doc_id < 5").count() == 5
     gone = {i for i, n, d, kept in brute_lines(rows, 10) if d and not kept.strip(WS)}
@@ -386,7 +408,10 @@ def test_cuckoo_filter():
     k1, k2 = rng.integers(-(2**62), 2**62, 5000), rng.integers(-(2**62), 2**62, 5000)
     f = line_dedup.CuckooFilter.of(k1[:4000], k2[:4000])
     assert f.contains(k1[:4000], k2[:4000]).all() and f.contains(k1[4000:], k2[4000:]).mean() < 0.01
+    tight = line_dedup.CuckooFilter(0)
+    assert not tight.insert(k1[:100], k2[:100])
     f = line_dedup.CuckooFilter.from_bytes(f.to_bytes()).delete(k1[:2000], k2[:2000])
+    assert f.insert(k1[4000:4500], k2[4000:4500]) and f.contains(k1[4000:4500], k2[4000:4500]).all() and f.delete(k1[4000:4500], k2[4000:4500])
     assert f.contains(k1[2000:4000], k2[2000:4000]).all() and f.contains(k1[:2000], k2[:2000]).mean() < 0.01
 
 
@@ -592,6 +617,41 @@ def test_decontamination_empty_tables(spark):
     assert sorted_rows(decontamination.decontaminate(df, bench.limit(0)), "doc_id", "text") == sorted(rows, key=repr)
 
 
+@pytest.mark.parametrize("block_words", [10**6, 30, 1])
+def test_decontaminate_in_many_passes(spark, block_words):
+    """Whatever the automata hold, the same is cut; columns named as the operator's own stay."""
+    df, rows = odd_documents(spark)
+    bench, items = benchmark(spark, rows)
+    df = df.withColumn("hit", F.lit("mine")).withColumn("hit_0", F.lit(2))
+    once = decontamination.decontaminate(df, bench)
+    got = decontamination.decontaminate(df, bench, block_words=block_words)
+    assert got.columns == df.columns and got.where("hit <> 'mine' OR hit_0 <> 2").count() == 0
+    assert sorted_rows(got, "doc_id", "text") == sorted_rows(once, "doc_id", "text")
+    hits = {(i, n, h) for i, n, h, *_ in brute_leaks(rows, items, 10)}
+    assert got.count() == sum(1 for i, n, h, *_ in brute_leaks(rows, items, 10) if h <= 0.5 * n) and any(h for _, _, h in hits)
+
+
+def test_chunks_hold_each_window_once():
+    ws = [str(k).encode() for k in range(50)]
+    for window, most in ((3, 7), (10, 1), (1, 4), (10, 1000)):
+        chunks = list(decontamination._chunks(ws, window, most, 10**6))
+        windows = [tuple(c[k : k + window]) for c in chunks for k in range(len(c) - window + 1)]
+        assert windows == [tuple(ws[k : k + window]) for k in range(50 - window + 1)] and all(len(c) <= max(window, most) for c in chunks)
+    assert list(decontamination._chunks(ws[:4], 10, 2, 10**6)) == [ws[:4]]
+
+
+def test_decontamination_of_long_texts(spark):
+    import random
+
+    rng = random.Random(6)
+    long = words(rng, 30_000)
+    rows = [(0, long), (1, "x" * 500_000), (2, " " * 500_000), (3, " ".join(long.split()[100:130]) + " end")]
+    items = [(0, " ".join(long.split()[5000:5100])), (1, " ".join(long.split()[90:20_000]))]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.leak_digest(decontamination.find_leaks(df, bench, block_words=3000))
+    assert sorted_rows(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute_leaks(rows, items, 10)
+
+
 def test_decontaminate_cuts_and_drops(spark):
     item = " ".join(f"w{k}" for k in range(12))
     docs = spark.createDataFrame([(0, f"Before, this; {item.upper()}. After this all is as it was, and there is more of it than the rest"), (1, item), (2, "clean"), (3, None), (4, "")], "doc_id long, text string").withColumn("extra", F.lit(1))
