@@ -1,28 +1,33 @@
 """Exact top-k search: a ball tree per shard, searched by branch and bound.
 
-Vectors are dealt to shards of bounded size. A shard's task builds a ball tree over its
-vectors; a node's upper bound for a query q is q.centre + |q| * radius. Nodes are visited
-in the order of their bounds, and a query leaves the shard when the next bound is under its
-current k-th score. That score is shared: a first round searches one pilot shard per query
-block and its k-th scores start the search of all other shards.
+Vectors are dealt to shards of bounded size, queries to blocks of bounded size. Each shard's
+ball tree is built once, over its vectors; a node's upper bound for a query q is q.centre +
+|q| * radius. Nodes are visited in the order of their bounds, and a query leaves the shard
+when the next bound is under its current k-th score. A task searches one shard for one block.
+The k-th score is shared: in the first round a block meets one shard, in the next three more,
+then twelve, and so on; after each round the best k so far of all shards set the score from
+which the next round's searches start.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 SCALE = 1024.0
 K = 10
 SHARD_ROWS = 8192
 #: Queries that are searched together: the unit that is sent to the shards.
 QUERY_BLOCK = 2048
+#: Each round a block has met so many times the shards that it had met before.
+GROWTH = 4
 LEAF = 64
 
 
@@ -109,39 +114,53 @@ class BallTree:
         return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))
 
 
+    def to_bytes(self) -> bytes:
+        return pickle.dumps((self.ids, self.vectors, self.nodes, self.centre, self.radius, self.least_id), protocol=5)
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> "BallTree":
+        tree = cls.__new__(cls)
+        tree.ids, tree.vectors, tree.nodes, tree.centre, tree.radius, tree.least_id = pickle.loads(raw)
+        tree.floats = tree.vectors.astype(np.float64)
+        return tree
+
+
 def _exact_scores(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
     return vectors @ q
 
 
 _FOUND = "query_id long, vec_id long, score long"
+_TREES = "dim int, shard int, tree binary"
 
 
-_NONE = -(2**63)
+def quantize(vectors: DataFrame, id_col: str, vector_col: str, scale: float = SCALE) -> DataFrame:
+    """vec_id, v: floor(scale * x) of each component. Rows take no part whose id or vector is null, or that hold a null or non-finite component."""
+    v = F.col(f"`{vector_col}`").cast("array<double>")
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    return rows.select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
 
 
-def _in_blocks(q: pd.DataFrame, size: int):
-    """Start, ids and vectors of blocks of queries."""
-    for k in range(0, len(q), size):
-        part = q.iloc[k : k + size]
-        yield k, part.vec_id.to_numpy(), _matrix(part.v)
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.int64) if len(column) else np.zeros((0, 1), np.int64)
 
 
-def _search_block(tree: BallTree, q_ids: np.ndarray, q: np.ndarray, kth: np.ndarray | None, k: int) -> pd.DataFrame:
-    top = np.abs(q).max(initial=0).astype(float) * np.abs(tree.vectors).max(initial=0) * q.shape[1]
-    exact_float = top < 2**52
-    rows = [(qid, i, s) for n, (qid, x) in enumerate(zip(q_ids.tolist(), q)) for s, i in tree.search(qid, x, k, None if kth is None or kth[n] == _NONE else int(kth[n]), exact_float)]
-    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"], dtype="int64")
+def _plant(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"dim": [int(key[0])], "shard": [int(key[1])], "tree": [BallTree(rows.vec_id.to_numpy(), _matrix(rows.v)).to_bytes()]})
 
 
-def quantize(vectors: DataFrame, id_col: str, vector_col: str, scale: float = SCALE) -> DataFrame:
-    """vec_id, v: floor(scale * x) of each component. Rows take no part whose id or vector is null, or that hold a null or non-finite component, or none."""
-    v = F.col(f"`{vector_col}`").cast("array<double>")
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    return rows.select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
+def _search_block(k: int):
+    """A block's queries in one shard's tree, each from its current k-th score, if it has one."""
 
+    def run(key: tuple, trees: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(trees) and len(block):
+            tree, q = BallTree.from_bytes(trees.tree.iloc[0]), _matrix(block.v)
+            exact_float = float(np.abs(q).max(initial=0)) * float(np.abs(tree.vectors).max(initial=0)) * q.shape[1] < 2**52
+            for qid, x, kth in zip(block.vec_id.tolist(), q, block.kth):
+                rows += [(qid, i, s) for s, i in tree.search(qid, x, k, None if pd.isna(kth) else int(kth), exact_float)]
+        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"], dtype="int64")
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.int64) if len(column) else np.zeros((0, 1), np.int64)
+    return run
 
 
 def search(candidates: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -149,46 +168,36 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = K, shard_rows: in
 
     candidates and queries: vec_id long, v array<long> (see quantize). A query's own row,
     that is any row with its id, is no candidate. Defined cases: with fewer candidates all
-    are returned; equal vectors tie; rows whose vectors have another length than the query
-    are not compared with it; repeated ids are candidates row by row; empty tables give no
-    rows.
+    are returned; equal vectors tie; rows whose vectors have another length than the query,
+    such as empty ones, are not compared with it; repeated ids are candidates row by row;
+    empty tables give no rows.
     """
-    spark = candidates.sparkSession
     n_rows, n_queries = candidates.count(), queries.count()
     shards, blocks = max(1, -(-n_rows // shard_rows)), max(1, -(-n_queries // query_block))
     dim = F.size("v").alias("dim")
-    rows = materialize(candidates.select("vec_id", "v", dim, F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard")), "search-rows")
-    asked = queries.select("vec_id", "v", dim, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    asked = materialize(asked, "search-queries")
-
-    home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
-
-    def run(own_kth: bool):
-        def task(key, own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for d, part in own.groupby("dim"):
-                q = other[other.dim == d]
-                if len(q):
-                    tree = BallTree(part.vec_id.to_numpy(), _matrix(part.v))
-                    bound = q.kth.fillna(_NONE).astype("int64").to_numpy() if own_kth else None
-                    out += [_search_block(tree, ids, v, None if bound is None else bound[k : k + query_block], k_best) for k, ids, v in _in_blocks(q, query_block)]
-            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-
-        return task
-
-    k_best = k
-    # first round: every block of queries in one shard
-    pilot = rows.groupBy("shard").cogroup(asked.withColumn("shard", home).groupBy("shard")).applyInPandas(run(False), _FOUND)
-    pilot = materialize(pilot, "search-pilot")
-    found = pilot
-    if shards > 1:  # second round: in all others, from the scores that the first round found
-        kth = pilot.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select("query_id", "kth")
-        bounded = asked.join(kth, asked["vec_id"] == kth["query_id"], "left").drop("query_id")
-        wanted = bounded.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != home)
-        found = pilot.unionByName(rows.groupBy("shard").cogroup(wanted.groupBy("shard")).applyInPandas(run(True), _FOUND))
-    # Spark limits each task's rows of a query to k before it deals them
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = candidates.select("vec_id", "v", dim, F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"))
+    trees = materialize(rows.groupBy("dim", "shard").applyInPandas(_plant, _TREES), "ball-trees")
+    asked = materialize(queries.select("vec_id", "v", dim, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")), "search-queries")
+
+    best, lo, hi = None, 0, 1
+    while lo < shards:
+        # block b meets shards b + lo to b + hi - 1, counted around
+        turn = F.pmod(F.col("shard") - F.col("block"), F.lit(shards))
+        mine = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where((turn >= lo) & (turn < hi))
+        known = asked.withColumn("kth", F.lit(None).cast("long"))
+        if best is not None:
+            kth = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select("query_id", "kth")
+            known = asked.join(kth, asked["vec_id"] == kth["query_id"], "left").select(*asked.columns, "kth")
+        theirs = known.withColumn("shard", F.explode(F.transform(F.sequence(F.lit(lo), F.lit(min(hi, shards) - 1)), lambda i: F.pmod(F.col("block") + i, F.lit(shards)).cast("int"))))
+        found = mine.groupBy("dim", "shard", "block").cogroup(theirs.groupBy("dim", "shard", "block")).applyInPandas(_search_block(k), _FOUND)
+        # Spark limits each task's rows of a query to k before it deals them
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        ranked = (found if best is None else best.select("query_id", "vec_id", "score").unionByName(found)).withColumn("rank", rank).where(F.col("rank") <= k)
+        best, before = materialize(ranked, "search-best"), best
+        discard(before)
+        lo, hi = hi, hi * GROWTH
+    discard(trees, asked)
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", **parameters) -> DataFrame:

@@ -420,22 +420,22 @@ def test_cuckoo_filter():
 def brute_topk(vectors, every, k):
     rows = []
     for i, v in vectors:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
             rows.append((i, [int(np.floor(1024.0 * x)) for x in v]))
     out = []
     for i, q in rows:
         if i % every == 0:
-            found = sorted(((-sum(a * b for a, b in zip(q, v)), j) for j, v in rows if j != i))[:k]
+            found = sorted(((-sum(a * b for a, b in zip(q, v)), j) for j, v in rows if j != i and len(q) == len(v)))[:k]
             out += [(i, r, j, -s) for r, (s, j) in enumerate(found, 1)]
     return sorted(set(out))
 
 
-@pytest.mark.parametrize("shard_rows,query_block", [(1000, 100), (40, 3)])
+@pytest.mark.parametrize("shard_rows,query_block", [(1000, 100), (40, 3), (13, 100), (5, 7)])
 def test_exact_topk(spark, shard_rows, query_block):
     rng = np.random.default_rng(1)
     vectors = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.2, 8)]) for i in range(300)]
     same = vectors[7][1]
-    vectors += [(300 + i, same) for i in range(80)] + [(500, None), (501, []), (502, [None] * 8), (503, [float("nan")] * 8), (504, [float("inf")] * 8), (None, same)]
+    vectors += [(300 + i, same) for i in range(80)] + [(500, None), (501, []), (510, []), (520, [0.5]), (502, [None] * 8), (503, [float("nan")] * 8), (504, [float("inf")] * 8), (None, same)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("rank", F.lit(9))
     got = exact_topk.top_k(df, 10, 5, shard_rows=shard_rows, query_block=query_block)
     assert sorted_rows(got, "query_id", "rank", "vec_id", "score") == sorted(brute_topk(vectors, 10, 5), key=repr)
@@ -452,10 +452,11 @@ def test_exact_topk_small_and_empty(spark):
 def test_ball_tree_prunes():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(c, 3, (500, 4)) for c in (-900, 0, 900)]).astype(np.int64)
-    tree = exact_topk.BallTree(np.arange(1500), x)
+    tree = exact_topk.BallTree.from_bytes(exact_topk.BallTree(np.arange(1500), x).to_bytes())
     found = tree.search(-1, x[0], 3, None, True)
     want = sorted(((-int(s), i) for i, s in enumerate(x @ x[0])))[:3]
     assert [(-s, i) for s, i in found] == want
+    assert tree.search(-1, x[0], 3, -want[2][0], True) == found and tree.search(-1, x[0], 3, 1 - want[0][0], True) == []
 
 
 # --- 9 substring dedup ------------------------------------------------------------------------
