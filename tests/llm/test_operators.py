@@ -315,10 +315,48 @@ def test_jaccard_join_of_a_large_group_in_many_tiles(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = jaccard_join.similar_texts(df, tile=40)
     assert sorted_rows(got, "doc_id", "class_id", "n_links", "n_copies") == brute_links(rows)
+    got = jaccard_join.similar_texts(df, tile=7, tile_grams=1000)
+    assert sorted_rows(got, "doc_id", "class_id", "n_links", "n_copies") == brute_links(rows)
+
+
+def test_jaccard_join_of_chained_and_mixed_buckets(spark):
+    """Texts of graded likeness share buckets without being links; long texts; sets that differ in case and blanks only."""
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for base in range(6):
+        w = words(rng, 100).split()
+        for i in range(40):
+            rows.append((len(rows), " ".join(w)))
+            for k in rng.sample(range(100), rng.choice([1, 2, 8])):
+                w[k] = f"n{base}x{i}x{k}"
+    long = words(rng, 20_000)
+    rows += [(900, long), (901, long + " end"), (902, long.upper()), (903, "  " + long), (904, "x" * 300_000), (905, " " * 300_000), (906, "A b"), (907, "a  b"), (908, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_links(rows)
+    assert any(n for _, _, n, _ in want)
+    for tile in (2048, 9):
+        assert sorted_rows(jaccard_join.similar_texts(df, tile=tile), "doc_id", "class_id", "n_links", "n_copies") == want
+
+
+def test_pruning_before_chaining(spark):
+    """Sets that share a bucket, but are surely apart, come into no group."""
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 2**32, (30, 128), dtype=np.uint32)
+    sig[:, :4] = sig[0, :4]  # one bucket of all
+    sig[10:15] = sig[10]  # of which five are alike
+    sig[20:22, :100] = sig[20, :100]
+    df = spark.createDataFrame([(bytes([i]), s.astype("<u4").tobytes()) for i, s in enumerate(sig)], "gset binary, sig binary")
+    for tile in (100, 3):
+        got = jaccard_join._candidate_groups(df, 30, jaccard_join.least_matches(0.8, 1e-9), tile).collect()
+        assert {r.node[0]: r.component[0] for r in got} == {**dict.fromkeys(range(10, 15), 10), 20: 20, 21: 20}
 
 
 def test_keep_one_of_each(spark):
     df, rows = odd_documents(spark)
+    for c in ("id", "__id", "__key", "rows"):
+        df = df.withColumn(c, F.lit("mine"))
     kept = jaccard_join.keep_one_of_each(df)
     assert kept.columns == df.columns
     classes = {(c, ) for _, c, _, _ in brute_links(rows)}
