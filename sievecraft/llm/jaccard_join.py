@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, files_for, fresh, materialize, text_or_empty, tidy
+from .common import discard, files_for, fresh, materialize, sieved, text_or_empty, tidy
 from ..operators.components import connected_components
 
 GRAM = 5
@@ -286,19 +286,21 @@ def similar_texts(
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.md5(text_or_empty(text_col))).alias("key"), text_or_empty(text_col).alias("text"))
     signed = materialize(texts.mapInArrow(_sign, "doc_id long, key binary, gset binary, n_grams long, sig binary"), "signed")
     n = signed.count()
-    classes = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.min("gset").alias("gset"), F.min("n_grams").alias("n_grams"), F.min("sig").alias("sig"))
-    classes = materialize(classes, "classes", files_for(n, 4 * HASHES + 64))
-    sets = classes.where("gset IS NOT NULL").groupBy("gset").agg(F.count(F.lit(1)).alias("n_texts"), F.min(F.struct("key", "rep")).alias("first"), F.min("n_grams").alias("n_grams"), F.min("sig").alias("sig"))
-    sets = materialize(sets, "sets", files_for(n, 4 * HASHES + 64))
+    classes = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.min("gset").alias("gset"), F.min("n_grams").alias("n_grams"))
+    classes = materialize(classes, "classes", files_for(n, 96))
+    sets = classes.where("gset IS NOT NULL").groupBy("gset").agg(F.count(F.lit(1)).alias("n_texts"), F.min(F.struct("key", "rep")).alias("first"), F.min("n_grams").alias("n_grams"))
+    sets = materialize(sets.join(signed.where("gset IS NOT NULL").groupBy("gset").agg(F.min("sig").alias("sig")), "gset"), "sets")
     groups = _candidate_groups(sets, n, least, tile)
 
     members = groups.withColumnRenamed("node", "gset").join(sets, "gset")
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(F.sum("n_grams") / tile_grams)).cast("int").alias("tiles"))
     # written out, so that both sides of the joins are plain exchanges
     sizes = materialize(sizes, "group-sizes", files_for(n, 24))
-    members = members.join(sizes, "component").select("gset", "component", "tiles", F.pmod(F.xxhash64("gset"), F.col("tiles")).cast("int").alias("tile"), "sig", "n_texts", F.col("first.key").alias("own_key"), F.col("first.rep").alias("own_rep"))
+    members = members.join(sizes, "component")
+    members = members.select("gset", "component", "tiles", F.pmod(F.xxhash64("gset"), F.col("tiles")).cast("int").alias("tile"), "sig", "n_texts", F.col("first.key").alias("own_key"), F.col("first.rep").alias("own_rep"))
+    members = materialize(members, "members", files_for(n, 640))
     # joined on both, so that many copies of a text are dealt by their ids
-    members = members.join(texts, (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_rep"))).select("gset", "component", "tiles", "tile", "sig", "n_texts", "text")
+    members = members.join(sieved(texts, F.col("key"), members, "own_key"), (F.col("key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_rep"))).select("gset", "component", "tiles", "tile", "sig", "n_texts", "text")
     # a member meets each tile of its group once
     placed = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "component", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "gset", "tile", "sig", "n_texts", "text"

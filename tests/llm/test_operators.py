@@ -12,7 +12,7 @@ from fixtures import empty, odd_documents, sorted_rows, words
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sievecraft.llm import decontamination, exact_topk, jaccard_join, line_dedup, packing, quality, sharding, substring_dedup, token_counts, toxicity
+from sievecraft.llm import common, decontamination, exact_topk, jaccard_join, line_dedup, packing, quality, sharding, substring_dedup, token_counts, toxicity
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -21,6 +21,20 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+# --- shared -----------------------------------------------------------------------------------
+
+def test_sieve_lets_all_wanted_rows_through(spark):
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("at"), F.unhex(F.md5(F.col("id").cast("string"))).alias("bits"))
+    keys = df.where("CAST(at AS INT) % 7 = 3").select(F.col("bits").alias("k"))
+    got = common.sieved(df, F.col("bits"), keys, "k")
+    assert got.columns == df.columns
+    ids = [int(r["at"]) for r in got.collect()]
+    wanted = set(range(3, 20_000, 7))
+    assert len(ids) == len(set(ids)) and wanted <= set(ids) and len(ids) - len(wanted) < 50
+    assert common.sieved(df, F.col("bits"), keys.limit(0), "k").count() == 0
+    assert common.fresh(df, "AT", "new", "Bits") == ["AT_0", "new", "Bits_0"]
+
+
 # --- 1 packing --------------------------------------------------------------------------------
 
 def test_packing_round_trip(spark):
