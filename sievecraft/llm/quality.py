@@ -1,7 +1,9 @@
 """Quality classifier: support vectors over n-gram indicators that are scaled by naive Bayes log-count ratios.
 
-Indicators are n-grams of a text's words (1), of the words' shapes (1 to 3; "Word," is "Aa,"),
-and runs of words that repeat or have come before, hashed into a fixed number of places.
+Indicators are n-grams of three streams of tokens that a text is read as: its words (1 and
+2), the words' shapes (1 to 3; "Word," is "Aa,"), and its recurrences (1): tokens for 1, 2, 4
+and so on words in a row that have come before in the text, and as many in a row that are
+the one before again. All are hashed into a fixed number of places.
 Each place is scaled by the log ratio of its smoothed counts in both classes; a linear
 hinge-loss model is fitted on the scaled indicators by dual coordinate descent, and its
 margins are turned into probabilities by a logistic fit on rows it was not fitted on.
@@ -18,11 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, tidy
+from .common import discard, fresh, materialize, text_or_empty, tidy
 
 PLACES = 1 << 18
 #: Bound of the fit: labelled rows used at most, those with the least hashes of their ids.
 SAMPLE_ROWS = 8000
+#: And bytes of their features, four for each indicator of a text.
+SAMPLE_BYTES = 96 << 20
 THRESHOLD = 0.7
 REMEMBERED = 150_000
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -49,12 +53,11 @@ def _word(word: str) -> tuple[int, int]:
     return found
 
 
-def _runs(flags: np.ndarray, n: int) -> bool:
-    """Whether n consecutive flags are set."""
-    if len(flags) < n:
-        return False
-    total = np.concatenate([[0], np.cumsum(flags)])
-    return bool((total[n:] - total[:-n] == n).any())
+def _runs(flags: np.ndarray) -> np.ndarray:
+    """The powers of two (their exponents) that are no longer than the longest run of set flags."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+    longest = int((edge[1::2] - edge[::2]).max(initial=0))
+    return np.arange(longest.bit_length())
 
 
 def indicators(text: str, places: int = PLACES) -> np.ndarray:
@@ -68,18 +71,23 @@ def indicators(text: str, places: int = PLACES) -> np.ndarray:
     both = np.array(pairs, np.uint64)
     word, kind = both[:, 0], both[:, 1]
     with np.errstate(over="ignore"):
-        grams = [word, kind * _BASE + np.uint64(1)]
+        grams = [word, (word[:-1] * _BASE + word[1:]) * _MIX + np.uint64(3), kind * _BASE + np.uint64(1)]
         pair = (kind[:-1] * _BASE + kind[1:]) * _MIX + np.uint64(2)
         grams.append(pair)
         if len(kind) > 2:
             grams.append((pair[:-1] ^ (pair[:-1] >> np.uint64(31))) * _BASE + kind[2:])
-        first = np.zeros(len(word), bool)
-        first[np.unique(word, return_index=True)[1]] = True
-        again, same = ~first, np.concatenate([[False], word[1:] == word[:-1]])
-        marks = [10 + i for i, n in enumerate((8, 12, 16, 24, 32)) if _runs(again, n)] + [20 + i for i, n in enumerate((1, 2, 4, 8)) if _runs(same, n)]
-        h = np.concatenate([*grams, np.array(marks, np.uint64)])
+        again = np.ones(len(word), bool)
+        again[np.unique(word, return_index=True)[1]] = False
+        same = np.concatenate([[False], word[1:] == word[:-1]])
+        grams += [_runs(again).astype(np.uint64) + np.uint64(100), _runs(same).astype(np.uint64) + np.uint64(200)]
+        h = np.concatenate(grams)
         h = (h ^ (h >> np.uint64(32))) * _MIX
-        return np.unique((h >> np.uint64(40)) % np.uint64(places - 1)).astype(np.int64) + 1
+        found = np.zeros(places, bool) if len(h) > places // 16 else None
+        at = ((h >> np.uint64(40)) % np.uint64(places - 1)).astype(np.int64) + 1
+        if found is None:
+            return np.unique(at)
+        found[at] = True  # a long text: cheaper than sorting
+        return np.flatnonzero(found)
 
 
 @dataclass
@@ -150,7 +158,7 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, places: int = PLACES, cost: float = 0.1) -> Model:
+def fit(rows: list[np.ndarray], y: np.ndarray, places: int = PLACES, cost: float = 1.0) -> Model:
     """rows: indicators of each labelled text; y: 0 or 1. With one class only, every score is that class's smoothed share."""
     y = np.asarray(y, np.int64)
     if len(set(y.tolist())) < 2:
@@ -162,8 +170,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, places: int = PLACES, cost: float
         r = log_count_ratios(own, t, places)
         # scaled so that a usual row has length 1
         r /= np.sqrt(np.mean([r[x] @ r[x] for x in own]) + 1e-12)
-        c = np.where(t == 1, cost, cost)
-        w, bias = dual_coordinate_descent(own, r, np.where(t == 1, 1.0, -1.0), c * 10, places)
+        w, bias = dual_coordinate_descent(own, r, np.where(t == 1, 1.0, -1.0), np.full(len(t), cost), places)
         return w * r, bias
 
     folds, margin = np.arange(len(y)) % 3, np.zeros(len(y))
@@ -179,16 +186,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, places: int = PLACES, cost: float
     return Model(w, bias, max(slope, 1e-6), offset, places)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, allowed, sample_rows: int, featurize, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
-    """(features, label) of at most sample_rows labelled documents, those with the least hashes of their ids.
+def sampled_features(docs: DataFrame, chosen: DataFrame, featurize, most_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[bytes, int]]:
+    """(features, y) of the documents in `chosen` (doc_id, y; a bounded sample), in the order of their ids' hashes, up to most_bytes of features.
 
-    allowed: condition on the id of rows whose label may be read. Only features leave the
-    executors, not texts. Documents without label, labels that are null or of documents
-    that are missing, and repeated rows of an id (but one) play no part.
+    Only features leave the executors, not texts. Of rows that repeat an id, the one with the
+    least features counts; ids without a document play no part.
     """
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(allowed(F.col("doc_id")) & F.col("y").isin(0, 1))
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,17 +199,51 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, allowed, sampl
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([featurize(t.as_py()) for t in b.column(1)], pa.binary()), b.column(2)], names=["doc_id", "x", "y"])
 
     # the sample has a fixed bound, so it may be broadcast
-    rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, x binary, y int").collect()
-    once = {r.doc_id: (r.x, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.x))}
-    return [once[k] for k in sorted(once)]
+    rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, x binary, y int").groupBy("doc_id", "y").agg(F.min("x").alias("x"))
+    rows = materialize(rows.withColumn("h", F.xxhash64("doc_id")), "sample", 8)
+    total, end = 0, None
+    for r in rows.select("h", "doc_id", F.octet_length("x").alias("n")).sort("h", "doc_id").collect():
+        total += r.n
+        if total > most_bytes:
+            break
+        end = (r.h, r.doc_id)
+    if end is None:
+        return []
+    kept = rows.where((F.col("h") < end[0]) | ((F.col("h") == end[0]) & (F.col("doc_id") <= end[1])))
+    out = [(r.x, r.y) for r in kept.sort("h", "doc_id").select("x", "y").collect()]
+    discard(rows)
+    return out
+
+
+def readable_labels(labels: DataFrame, label: str, allowed, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, y (0 or 1) of labels that may be read; of several of an id, the greatest. Other labels, and null ones, are no labels."""
+    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y")).where(allowed(F.col("doc_id")) & F.col("y").isin(0, 1))
+    return known.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
+def least_hashes(ids: DataFrame, n: int) -> DataFrame:
+    """n rows at most, those with the least hashes of their doc_ids."""
+    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
 def _features(text: str) -> bytes:
     return indicators(text).astype("<i4").tobytes()
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed=lambda i: F.lit(True), sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    rows = labelled_rows(docs, labels, label, allowed, sample_rows, _features, id_col, text_col)
+def train(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", allowed=lambda i: F.lit(True), sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", sample_bytes: int = SAMPLE_BYTES
+) -> Model:
+    """A model fitted on at most sample_rows labelled documents and sample_bytes of their features, those with the least hashes of their ids.
+
+    allowed: condition on the id of rows whose label may be read. Defined cases: null and
+    empty texts are texts without words; a very long text has all its indicators; labels that
+    are null, neither 0 nor 1, or of no document play no part; of several labels of an id the
+    greatest counts, of several documents one; without labels, or with those of one class
+    only, every score is that class's smoothed share (one half without any); docs and labels
+    may have any other columns.
+    """
+    chosen = least_hashes(readable_labels(labels, label, allowed, id_col), sample_rows)
+    rows = sampled_features(docs, chosen, _features, sample_bytes, id_col, text_col)
     return fit([np.frombuffer(x, "<i4").astype(np.int64) for x, _ in rows], np.array([y for _, y in rows], np.int64))
 
 
@@ -228,16 +265,22 @@ def with_score(docs: DataFrame, model, text_col: str = "text", score_col: str =
 def score_documents(docs: DataFrame, model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (probability of label 1), predicted (1 if score >= threshold); one row per document.
 
-    Defined cases: null and empty text get the score of a text without words; null or
-    repeated ids are scored row by row; an empty table gives no rows; other columns are
-    never read.
+    Defined cases: null and empty text get the score of a text without words; a very long
+    text is scored whole; null or repeated ids and repeated rows are scored row by row; equal
+    texts have equal scores; an empty table gives no rows; other columns are never read.
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return with_score(texts, model).select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least_score: float = 0.5, label: str = "quality", allowed=lambda i: F.lit(True), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs (all columns) without the documents that the classifier rejects: those with a lower score than least_score."""
+    """docs (all columns, whatever their names) without the documents that the classifier rejects: those with a lower score than least_score.
+
+    Cases as in train() and score_documents(). Without labels of both classes nothing is
+    rejected, as there is nothing to tell good from bad by.
+    """
     model = train(docs, labels, label, allowed, id_col=id_col, text_col=text_col)
-    scored = with_score(docs, model, text_col, "__score")
-    return scored.where(F.col("__score") >= least_score).select(*[F.col(f"`{c}`") for c in docs.columns])
+    if not model.weights.any():
+        return docs.select(*[F.col(f"`{c}`") for c in docs.columns])
+    (score,) = fresh(docs, "score")
+    return with_score(docs, model, text_col, score).where(F.col(score) >= least_score).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 SHARDS = 64
 TABLE_SIZE = 65537
 
@@ -53,18 +55,24 @@ def place(df: DataFrame, shards: list[str], key_col: str = "doc_id", size: int =
     """df with each row's slot and shard; the table that is broadcast has `size` rows, whatever df's size.
 
     Defined cases: the key is hashed as text; a null key is hashed as the empty text, like
-    an empty key, so all such rows share a shard; equal keys share a shard; an empty table
-    stays empty. Columns of df named as one of `into` give way to the new ones.
+    an empty key, so all such rows share a shard; equal keys and repeated rows share a shard;
+    very long texts are not looked at; an empty table stays empty. Columns of df named as one
+    of `into` give way to the new ones, all others stay.
     """
     slot = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{key_col}`").cast("string"), F.lit(""))), F.lit(size).cast("long"))
     kept = [F.col(f"`{c}`") for c in df.columns if c not in into]
-    hidden = "__slot_of_row"
+    (hidden,) = fresh(df.select(*df.columns, *[F.lit(0).alias(x) for x in into if x not in df.columns]), "slot_of_row")
     table = table_frame(df.sparkSession, shards, size).select(F.col("slot").alias(hidden), F.col("slot").alias(into[0]), F.col("shard").alias(into[1]), F.col("shard_name").alias(into[2]))
     return df.select(*kept, slot.alias(hidden)).join(F.broadcast(table), hidden, "left").drop(hidden)
 
 
 def write_shards(df: DataFrame, path: str, shards: list[str], key_col: str = "doc_id", files_per_shard: int = 4, size: int = TABLE_SIZE) -> None:
-    """df as Parquet under path/shard=<number>. A shard's rows are dealt to files_per_shard tasks, so no task gets a whole shard."""
-    placed = place(df, shards, key_col, size).drop("slot", "shard_name")
+    """df as Parquet under path/shard=<number>. A shard's rows are dealt to files_per_shard tasks by all their columns, so no task gets a whole shard.
+
+    A column of df named shard gives way to the number; other cases as in place(). An empty
+    table writes no shard.
+    """
+    into = (*fresh(df, "slot"), "shard", *fresh(df, "shard_name"))
+    placed = place(df, shards, key_col, size, into).drop(into[0], into[2])
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c != "shard"]), F.lit(files_per_shard))
     placed.repartition(len(shards) * files_per_shard, "shard", salt).write.partitionBy("shard").parquet(path)

@@ -142,8 +142,12 @@ def test_place(spark):
 
 def test_write_shards(spark, tmp_path):
     df, rows = odd_documents(spark)
-    sharding.write_shards(df.select("doc_id", "text"), str(tmp_path / "out"), ["a", "b", "c"], size=11)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+    sharding.write_shards(df.withColumn("slot", F.lit("mine")).withColumn("__slot_of_row", F.lit("mine")), str(tmp_path / "out"), ["a", "b", "c"], size=11)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == len(rows) and back.where("slot = 'mine' AND __slot_of_row = 'mine'").count() == len(rows)
+    assert back.groupBy("doc_id").agg(F.count_distinct("shard").alias("n")).where("n > 1").count() == 0
+    sharding.write_shards(df.limit(0), str(tmp_path / "none"), ["a", "b"], size=11)
+    assert not list((tmp_path / "none").glob("shard=*"))
 
 
 # --- 3 and 4 classifiers ----------------------------------------------------------------------
@@ -222,13 +226,78 @@ def test_dual_coordinate_descent_finds_the_optimum():
         assert objective(v + rng.normal(0, 0.01, 13)) >= best - 1e-6
 
 
+def test_log_count_ratios_match_a_plain_count():
+    rng = np.random.default_rng(1)
+    rows = [np.sort(rng.choice(9, rng.integers(1, 6), replace=False)) for _ in range(50)]
+    y = rng.integers(0, 2, 50)
+    got = quality.log_count_ratios(rows, y, 10)
+    for f in range(10):
+        have = [sum(1 for r, t in zip(rows, y) if t == c and f in r) for c in (0, 1)]
+        share = [(have[c] + 1) / (sum(y == c) + 2) for c in (0, 1)]
+        assert got[f] == pytest.approx(np.log(share[1] / share[0]) if sum(have) > 1 else 0)
+
+
+def test_indicators_are_the_n_grams_of_three_streams():
+    """Texts share a place exactly where they share an n-gram."""
+    place = lambda t: set(quality.indicators(t).tolist())
+    assert place("") == place(" \n") == {0} and place("Alpha beta") == place("Alpha  beta\n")
+    one = place("alpha beta") & place("alpha gamma")
+    assert one >= place("alpha") and place("alpha beta") - place("gamma beta alpha")  # the pair has a place of its own
+    assert quality._runs(np.array([0, 1, 1, 1, 0, 1], bool)).tolist() == [0, 1] and quality._runs(np.zeros(4, bool)).tolist() == []
+    assert place("a b " * 40) > place("a b " * 20) - place("a b a b") and len(place("x " * 64)) == len(place("x " * 32)) + 2
+    long = " ".join(f"w{i % 7000}" for i in range(60_000))
+    assert len(place(long)) > 10_000 and max(place(long)) < quality.PLACES
+
+
+def test_risk_matches_a_plain_loop():
+    rng = np.random.default_rng(0)
+    z, kind, p = rng.normal(0, 2, 40), rng.integers(0, 2, 40), 0.3
+    confirmed, unlabelled = kind == 0, kind == 1
+    loss = lambda v: 1 / (1 + np.exp(v))
+
+    def plain(z):
+        toxic = p * sum(loss(v) for v, c in zip(z, confirmed) if c) / confirmed.sum()
+        harmless = sum(loss(-v) for v, u in zip(z, unlabelled) if u) / unlabelled.sum() - p * sum(loss(-v) for v, c in zip(z, confirmed) if c) / confirmed.sum()
+        return np.array([toxic, harmless])
+
+    toxic, harmless, miss, mark = toxicity.risk(z, confirmed, unlabelled, p)
+    assert np.allclose([toxic, harmless], plain(z))
+    for i in range(40):
+        step = np.eye(40)[i] * 1e-5
+        assert np.allclose((plain(z + step) - plain(z - step)) / 2e-5, [miss[i], mark[i]], atol=1e-8)
+
+
 def test_non_negative_risk_separates():
     rows = [(np.array([0] if i % 4 == 0 else [1]), np.array([1.0])) for i in range(200)]
     confirmed = np.array([i % 8 == 0 for i in range(200)])
-    w, b = toxicity.non_negative_fit(rows, confirmed, 0.25, 2)
+    w, b = toxicity.non_negative_fit(rows, confirmed, ~confirmed, 0.15, 2)
     assert w[0] + b > 0 > w[1] + b  # unconfirmed toxic rows are found by their likeness
 
 
+def test_toxicity_reads_no_labels_but_confirmed_ones(spark):
+    """Harmless labels, wrong ones included, and their absence make no difference where the prior is given."""
+    docs, labels, n = labelled(spark)
+    models = [toxicity.train(docs, x, prior=0.2) for x in (labels, labels.where("toxic = 1"))]
+    assert models[0].weights.any() and np.array_equal(models[0].weights, models[1].weights) and models[0].bias == models[1].bias
+    more = docs.unionByName(docs.where("doc_id < 100").withColumn("doc_id", F.col("doc_id") + 1000).withColumn("text", F.concat("text", F.lit(" rotten vilegrubly"))))
+    assert not np.array_equal(toxicity.train(more, labels, prior=0.2).weights, models[0].weights)  # unlabelled text counts
+
+
+def test_classifiers_bound_their_samples_and_bear_odd_names(spark):
+    docs, labels, n = labelled(spark)
+    long = spark.createDataFrame([(5000, "word " * 200_000 + "%%%"), (5001, "x" * 500_000), (5002, " " * 500_000)], "doc_id long, text string").withColumn("label", F.lit(1)).withColumn("score", F.lit("x"))
+    docs = docs.unionByName(long).withColumn("__score", F.lit("mine")).withColumn("score_0", F.lit("mine"))
+    labels = labels.unionByName(spark.createDataFrame([(5000, 0, 1), (5001, 0, 0), (1, 0, 1), (7, 3, 3)], labels.schema)).withColumn("text", F.lit("?"))
+    few = quality.sampled_features(docs, quality.least_hashes(quality.readable_labels(labels, "quality", lambda i: F.lit(True)), 1000), quality._features, 4000)
+    all_ = quality.sampled_features(docs, quality.least_hashes(quality.readable_labels(labels, "quality", lambda i: F.lit(True)), 1000), quality._features, 1 << 30)
+    assert 0 < sum(len(x) for x, _ in few) <= 4000 and few == all_[: len(few)] and len(few) < len(all_)
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.where("__score <> 'mine' OR score_0 <> 'mine' OR score <> 'x'").count() == 0
+    assert quality.keep_good(docs, labels.limit(0)).count() == docs.count() and quality.keep_good(docs.limit(0), labels).count() == 0
+    scores = quality.score_documents(docs, toxicity.train(docs, labels))
+    assert scores.count() == docs.count() and scores.where("score BETWEEN 0 AND 1").count() == docs.count()
+
+
 # --- 5 token counts ---------------------------------------------------------------------------
 
 def test_token_counts(spark):

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from fixtures import empty, odd_documents
+from pyspark.sql import functions as F
 from test_operators import WS, brute_lines, brute_links
 from tokenizers import Tokenizer
 
@@ -82,6 +83,32 @@ def test_stages(spark, small):
     assert sorted((r.doc_id, r.start, r.ids_crc32) for r in again.collect()) == sorted((r.doc_id, r.start, r.ids_crc32) for r in kept["packing"].collect())
 
 
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_bear_long_texts_and_clashing_names(spark, small, name, stage):
+    rows = [(0, " " * 1_100_000), (1, "\n" * 2_000_000 + "b"), (2, "a" * 1_000_000), (3, None), (4, ""), (None, "no id at all"), (7, "Some words stand here."), (7, "Other words stand there.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ("lang", "source", "n_chars", "__score", "__key", "__id", "__n_lines", "n_lines", "kept", "hit", "score", "key", "id", "gone", "bucket", "bits", "at")
+    for c in names:
+        docs = docs.withColumn(c, F.lit("mine"))
+    got = stage(spark, docs, small)
+    ids = [r.doc_id for r in got.collect()]
+    if name == "packing":
+        assert set(ids) == {i for i, _ in rows}
+        return
+    assert got.columns == docs.columns and all(got.where(F.col(c) != "mine").count() == 0 for c in names)
+    if name != "quality":
+        assert sorted(ids, key=repr) == sorted((i for i, t in rows if name != "near_copies" or i != 4), key=repr)
+
+
+@pytest.mark.parametrize("name", ["quality", "benchmark"])
+def test_stages_bear_empty_side_tables(spark, small, tmp_path, name):
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{small}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    docs, rows = odd_documents(spark)
+    got = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(rows, key=repr)
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages_bear_odd_and_empty_tables(spark, small, name, stage):
     docs, rows = odd_documents(spark)
