@@ -74,7 +74,7 @@ def test_packing_empty_table_and_no_end_id(spark):
     assert packing.pack(one, BYTES).select("length", "doc_tokens").first() == (1, 1)
 
 
-LONG_TEXTS = [" " * 1_100_000, " " * 3_000_000 + "a", "\n" * 2_000_000 + "b", "a" * 1_000_000, "\u00e9" * 300_000, " \n" * 700_000 + "x", "x y " * 200_000]
+LONG_TEXTS = [" " * 1_100_000, " " * 999 + "a" + "\t" * 999, "a" * 3999 + " " + "b" * 4001, "\u3000 " * 499 + "x" + "\xa0" * 1500, " " * 3_000_000 + "a", "\n" * 2_000_000 + "b", "a" * 1_000_000, "\u00e9" * 300_000, " \n" * 700_000 + "x", "x y " * 200_000]
 
 
 def test_packing_of_very_long_texts(spark):
@@ -87,6 +87,12 @@ def test_packing_of_very_long_texts(spark):
     assert made == {i: tok.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(LONG_TEXTS)}
 
 
+def test_encoder_gives_the_library_s_ids_for_whole_tables(spark, small):
+    own = packing.encoder(BYTES)
+    texts = [r.text or "" for r in spark.read.parquet(f"{small.replace('0.001', '0.1')}/documents.parquet").select("text").collect()]
+    assert own.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in own.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_encoder_gives_the_library_s_ids_for_every_character():
     import random
 
@@ -95,9 +101,12 @@ def test_encoder_gives_the_library_s_ids_for_every_character():
     odd = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2003\u200b\u2028\u3000\ufeff'sStrvldm019aZ."
     texts = [x.join(chars[k : k + 50]) for x in ("a", " 1 ") for k in range(0, len(chars), 50)]
     texts += ["".join(rng.choice(odd if rng.random() < 0.7 else chars) for _ in range(rng.randint(1, 30))) for _ in range(2000)]
-    texts += ["a<|endoftext|>b", "<|endoftext|>"]
+    texts += ["a<|endoftext|>b", "<|endoftext|>", *LONG_TEXTS[1:4], *("".join(rng.choice(odd + "ab ") * rng.randint(1, 1500) for _ in range(5)) for _ in range(100))]
+    assert own.engine is not None and sum(map(own._by_engine, texts)) > 0.9 * len(texts)
     want = [np.array(e.ids, "<u4").tobytes() for e in own.library.encode_batch(texts, add_special_tokens=False)]
     assert own.encode(texts) == want
+    whole = packing.Encoder(WORDS)  # a vocabulary that only the library can read
+    assert whole.engine is None and whole.encode(["ab c", ""]) == [np.array(whole.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ("ab c", "")]
 
 
 # --- 2 sharding -------------------------------------------------------------------------------
