@@ -22,7 +22,7 @@ STRUCTURAL = [
 ]
 NAMES = ACOUSTIC + STRUCTURAL
 WEIGHTS = [1.0] * len(ACOUSTIC) + [0.6] * len(STRUCTURAL)
-VERSION = 2
+VERSION = 3
 
 
 # --- structural -------------------------------------------------------------------------------
@@ -168,7 +168,9 @@ def segment(x: np.ndarray, rate: int, hold: float, f0: float) -> dict[str, float
     }
 
 
-PITCHES, VELOCITIES = (48, 60, 72), (60, 110)
+# fixed values: the keys and velocities that records are heard at, and for how long each key is down and listened to after
+PITCHES, VELOCITIES = (36, 60, 84), (40, 120)
+HOLD, TAIL = 1.0, 4.0
 
 
 def mod_wheel(still: np.ndarray, moved: np.ndarray, rate: int, f0: float) -> dict[str, float]:
@@ -188,7 +190,7 @@ def mod_wheel(still: np.ndarray, moved: np.ndarray, rate: int, f0: float) -> dic
     return {"response": response, "vibrato": vibrato, "tremolo": tremolo, "timbre": timbre, "bright": bright}
 
 
-def probe(records: np.ndarray, rate: int = 22050, hold: float = 1.0, tail: float = 2.0) -> list[dict[str, float]]:
+def probe(records: np.ndarray, rate: int = synth.RATE, hold: float = HOLD, tail: float = TAIL) -> list[dict[str, float]]:
     """The acoustic features of records: three pitches at two velocities, and one note with the wheel up."""
     low = lambda r: min((0.5 if r[k * 21 + 18] == 0 else r[k * 21 + 18]) * (1 + r[k * 21 + 19] / 100) for k in range(6) if 6 - k in routes.carriers(int(r[134]) & 31) and r[k * 21 + 16] > 0 and r[k * 21 + 17] == 0)
     ratios = []
@@ -198,12 +200,13 @@ def probe(records: np.ndarray, rate: int = 22050, hold: float = 1.0, tail: float
         except ValueError:
             ratios.append(1.0)
     sounds = {(p, v): synth.render(records, p, v, hold, tail, rate) for p in PITCHES for v in VELOCITIES}
-    wheel = synth.render(records, 60, VELOCITIES[-1], hold, 0.0, rate, wheel=1.0)
+    octaves = (PITCHES[-1] - PITCHES[0]) / 12
+    wheel = synth.render(records, 60, VELOCITIES[-1], hold, tail, rate, wheel=1.0)
     out = []
     for i, ratio in enumerate(ratios):
         f0 = {p: 440 * 2 ** ((p - 69) / 12) * ratio for p in PITCHES}
         seg = {k: segment(x[i], rate, hold, f0[k[0]]) for k, x in sounds.items()}
-        ref, soft, bottom, top = seg[60, VELOCITIES[-1]], seg[60, VELOCITIES[0]], seg[48, VELOCITIES[-1]], seg[72, VELOCITIES[-1]]
+        ref, soft, bottom, top = seg[60, VELOCITIES[-1]], seg[60, VELOCITIES[0]], seg[PITCHES[0], VELOCITIES[-1]], seg[PITCHES[-1], VELOCITIES[-1]]
         w = mod_wheel(sounds[60, VELOCITIES[-1]][i, : wheel.shape[1]], wheel[i], rate, f0[60])
         log = lambda x: float(np.log10(max(x, 1e-4)))
         db = lambda x: float(dsp.decibel(x))
@@ -213,14 +216,14 @@ def probe(records: np.ndarray, rate: int = 22050, hold: float = 1.0, tail: float
                 "attack": log(ref["attack"]), "decay": log(ref["decay"]), "sustain": ref["sustain"], "release": log(ref["release"]), "brightness": ref["brightness"], **{f"bright{k}": ref[f"b{k}"] for k in range(1, 5)}, **{f"loud{k}": ref[f"l{k}"] for k in range(1, 5)},
                 "absBrightness": ref["abs_bright"], "register": float(np.log2(ratio)), "brightnessSlope": ref["slope"], "spread": ref["spread"], "inharmonicity": ref["inharm"], "oddEven": ref["odd"], "flatness": ref["flat"], "attackBrightness": ref["attack_bright"],
                 "loudness": 0.0 if silent else db(ref["peak"]), "velLevel": 0.0 if silent else db(ref["peak"]) - db(soft["peak"]), "velBrightness": ref["brightness"] - soft["brightness"], "velAttack": log(ref["attack"]) - log(soft["attack"]),
-                "keyBrightness": (top["brightness"] - bottom["brightness"]) / 2, "keyLevel": 0.0 if silent else (db(top["peak"]) - db(bottom["peak"])) / 2, "keyDecay": (log(top["decay"]) - log(bottom["decay"])) / 2,
+                "keyBrightness": (top["brightness"] - bottom["brightness"]) / octaves, "keyLevel": 0.0 if silent else (db(top["peak"]) - db(bottom["peak"])) / octaves, "keyDecay": (log(top["decay"]) - log(bottom["decay"])) / octaves,
                 "modResponse": w["response"], "modVibrato": w["vibrato"], "modTremolo": w["tremolo"], "modTimbre": w["timbre"], "modBrightness": w["bright"], "silent": float(silent),
             }
         )
     return out
 
 
-def extract(df: DataFrame, batch: int = 256, rate: int = 22050) -> DataFrame:
+def extract(df: DataFrame, batch: int = 64, rate: int = synth.RATE) -> DataFrame:
     """df: id, params -> id, version, vector (the 61 features; what is not finite is 0), silent. Samples never leave the task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

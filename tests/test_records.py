@@ -191,6 +191,48 @@ def test_pitch_within_two_cents(kind, hz):
     assert abs(1200 * np.log2(pitch(y[6000:]) / hz)) < 2
 
 
+def test_envelopes_follow_their_rules_step_by_step():
+    """Corner points against a plain walk, one block at a time."""
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        rates, levels = rng.integers(0, 100, 4), rng.choice([0, 20, 50, 80, 99], 4)
+        output, faster, blocks, release = int(rng.integers(0, 128)) * 32, int(rng.integers(0, 8)), 900, int(rng.integers(1, 700))
+        got, level, stage, wait, want = synth.envelope(rates, levels, output, faster, blocks, release), 0.0, 0, None, []
+        goals = [max(64 * (int(x) // 2) + output - 4256, 16) / 256 for x in synth._steps(levels)]
+
+        def begin(k):
+            dead = k == 0 and levels[0] == 0
+            if k > 3 or not (goals[k] == level or dead):
+                return None
+            r = min(rates[k] + faster, 99)
+            samples = synth.HOLD_SAMPLES[r] // (20 if dead else 1) if r < 77 else 20 * (99 - r)
+            return max(1, -(-samples // 64))
+
+        wait = begin(0)
+        for b in range(blocks):
+            if b == release:
+                stage, wait = 3, None
+                wait = begin(3)
+            if stage < 3 or (stage == 3 and b >= release):
+                q = min(rates[stage] * 41 // 64 + faster, 63)
+                step = (4 + q % 4) * 2.0 ** (q // 4 - 16)
+                if wait:
+                    wait -= 1
+                    over = not wait
+                else:
+                    if goals[stage] > level:
+                        level = max(level, 1716 / 256) if goals[stage] > 1716 / 256 else goals[stage]
+                        level = min(goals[stage], level + max(1, int(17 - level)) * step)
+                    else:
+                        level = max(goals[stage], level - step)
+                    over = level == goals[stage]
+                if over:
+                    stage += 1
+                    wait = begin(stage) if stage < 3 or b >= release else None
+            want.append(level)
+        assert np.allclose(got, want, atol=1e-4)
+
+
 def test_silence_release_and_batches():
     y = synth.render(np.stack([sine(), sine(level=0)]), 60, 100, 0.3, 0.3)
     assert np.abs(y[0, :8000]).max() > 0.1 and np.abs(y[1]).max() == 0 and np.abs(y[0, -2000:]).max() < 1e-3
