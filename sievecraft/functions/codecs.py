@@ -191,9 +191,23 @@ def read_reply(message: bytes, size: int = UNPACKED) -> bytes | None:
     return data[REPLY_HEADER : REPLY_HEADER + size]
 
 
+# fixed values: start and factor of both halves of a content's short name, and how many parameters it covers (all but the name)
+HASH_SEEDS, HASH_FACTORS, HASHED = (0x811C9DC5, 0x01000193), (0x01000193, 0x85EBCA6B), 145
+
+
+def _times32(x: Column, factor: int) -> Column:
+    """x * factor modulo 2 ** 32, without leaving 64 bits."""
+    low, high = factor & 0xFFFF, factor >> 16
+    return (x * low + (x * high).bitwiseAND(0xFFFF) * 65536).bitwiseAND(0xFFFFFFFF)
+
+
 def content_hash(values: Column) -> Column:
-    """A short name for a record's content, in base 36."""
-    return F.lower(F.conv(F.hex(F.xxhash64(values)), 16, 36))
+    """A short name for a record's content: two 32-bit hashes of its parameters but the name, each in base 36."""
+    start = F.struct(F.lit(HASH_SEEDS[0]).cast("long").alias("a"), F.lit(HASH_SEEDS[1]).cast("long").alias("b"))
+    placed = F.transform(F.slice(values, 1, HASHED), lambda v, i: F.struct(v.cast("long").alias("v"), i.cast("long").alias("i")))
+    both = F.aggregate(placed, start, lambda h, x: F.struct(_times32(h["a"].bitwiseXOR(x["v"]), HASH_FACTORS[0]).alias("a"), _times32(h["b"] + x["v"] + x["i"], HASH_FACTORS[1]).alias("b")))
+    text = lambda h: F.lower(F.conv(h.cast("string"), 10, 36))
+    return F.transform(F.array(both), lambda h: F.concat(text(h["a"]), text(h["b"])))[0]
 
 
 @F.pandas_udf(BinaryType())

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import doubles
+from ..functions.storage import discard, materialize
 
 TILE = 2048
 
@@ -38,13 +39,13 @@ def _tiled(df: DataFrame, tile: int, block: str | None) -> DataFrame:
     return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("ti", F.least("tile", "other")).withColumn("tj", F.greatest("tile", "other"))
 
 
-def knn(df: DataFrame, k: int = 12, tile: int = TILE, digits: int = 9, block: str | None = None, of: str | None = None) -> DataFrame:
-    """df: id, v. i, j, d, rank: each row's k nearest others by (distance rounded to `digits`, id). of: a boolean column that the others must have set."""
-    rows = df.select("id", doubles("v").alias("v"), (F.col(of) if of else F.lit(True)).alias("of"), *([block] if block else []))
+def knn(df: DataFrame, k: int = 12, tile: int = TILE, digits: int = 9, block: str | None = None, of: str | None = None, apart: str | None = None) -> DataFrame:
+    """df: id, v. i, j, d, rank: each row's k nearest others by (distance rounded to `digits`, id). of: a boolean column that the others must have set; apart: an integer column in which they must differ."""
+    rows = df.select("id", doubles("v").alias("v"), (F.col(of) if of else F.lit(True)).alias("of"), (F.col(apart) if apart else F.lit(-1)).cast("long").alias("apart"), *([block] if block else []))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, ti, tj = key
-        x, ids, tiles, eligible = _stack(pdf.v), pdf.id.to_numpy(), pdf.tile.to_numpy(), pdf["of"].fillna(False).to_numpy(bool)
+        x, ids, tiles, eligible, side = _stack(pdf.v), pdf.id.to_numpy(), pdf.tile.to_numpy(), pdf["of"].fillna(False).to_numpy(bool), pdf["apart"].to_numpy()
         out = []
         for mine, theirs in {(ti, tj), (tj, ti)}:
             a, b = np.flatnonzero(tiles == mine), np.flatnonzero((tiles == theirs) & eligible)
@@ -52,13 +53,15 @@ def knn(df: DataFrame, k: int = 12, tile: int = TILE, digits: int = 9, block: st
                 continue
             d = np.round(np.sqrt(_squared(x[a], x[b])), digits)
             d[ids[a][:, None] == ids[b][None, :]] = np.inf
+            if apart:
+                d[side[a][:, None] == side[b][None, :]] = np.inf
             order = np.lexsort((np.broadcast_to(ids[b], d.shape), d), axis=1)[:, :k]
             near = np.take_along_axis(d, order, 1)
             ok = np.isfinite(near)
             out.append(pd.DataFrame({"i": np.repeat(ids[a], ok.sum(1)), "j": ids[b][order[ok]], "d": near[ok]}))
         return pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "d": []})
 
-    found = _tiled(rows, tile, block).select("__block", "ti", "tj", "tile", "id", "v", "of").groupBy("__block", "ti", "tj").applyInPandas(run, "i long, j long, d double")
+    found = _tiled(rows, tile, block).select("__block", "ti", "tj", "tile", "id", "v", "of", "apart").groupBy("__block", "ti", "tj").applyInPandas(run, "i long, j long, d double")
     found = found.distinct() if block else found
     rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -108,12 +111,13 @@ def nearest_centroids(vector: Column, centroids: list[tuple[int, list[float]]],
 
 
 def kmeans_blocks(df: DataFrame, rows_per_block: int = 400, keep: int = 2, seed: int = 1, iterations: int = 40, sample: int = 50_000) -> DataFrame:
-    """df with `blocks`: the nearest of ceil(n / rows_per_block) centroids, fitted by k-means on at most `sample` rows."""
+    """df with `blocks`: the nearest of ceil(n / rows_per_block) centroids, fitted by k-means on at most `sample` rows (16 for each centroid, if that is more)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     n = df.count()
-    k = max(1, min(-(-n // rows_per_block), n, 4096))
+    k = max(1, min(-(-n // rows_per_block), n))
+    sample = max(sample, 16 * k)
     if k < 2:
         return df.withColumn("blocks", F.array(F.lit(0)))
     fitted = df if n <= sample else df.orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -129,34 +133,49 @@ def kmeans_blocks(df: DataFrame, rows_per_block: int = 400, keep: int = 2, seed:
     return df.withColumn("blocks", nearest(doubles("v")))
 
 
-def neighbour_candidates(edges: DataFrame) -> DataFrame:
-    """edges i -> j of a neighbour graph -> pairs (i, j), i < j, that share a neighbour or are one's neighbours' neighbours, and are not linked yet."""
-    both = edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
-    hop = both.select(F.col("j").alias("mid"), F.col("i").alias("a")).join(both.select(F.col("i").alias("mid"), F.col("j").alias("b")), "mid").where("a < b").select(F.col("a").alias("i"), F.col("b").alias("j")).distinct()
-    return hop.join(both, ["i", "j"], "left_anti")
+def inertia(df: DataFrame, centroids: list[tuple[int, list[float]]]) -> DataFrame:
+    """One row: the sum of squared distances of all rows (id, v) to their nearest centroid of a bounded list."""
+    distances = F.array(*[F.aggregate(F.zip_with(doubles("v"), F.array(*[F.lit(float(x)) for x in c]), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d) for _, c in centroids])
+    return df.agg(F.sum(F.array_min(distances)).alias("inertia"))
 
 
-def descent_knn(df: DataFrame, k: int = 12, passes: int = 6, start_block: int = 256, tolerance: float = 0.002) -> DataFrame:
-    """Approximate neighbours: exact ones inside k-means blocks, then passes over neighbours of neighbours until few lists change."""
-    from ..functions.storage import materialize
+def neighbour_candidates(edges: DataFrame, new: str | None = None) -> DataFrame:
+    """edges i -> j of a neighbour graph -> pairs (i, j), i < j, that share a neighbour or are one's neighbours' neighbours, and are not linked yet. new: a column that is 1 for edges that have not been looked at; a pair must come by way of one of them."""
+    flag = F.col(new) if new else F.lit(1)
+    both = edges.select("i", "j", flag.alias("new")).unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), flag.alias("new"))).groupBy("i", "j").agg(F.max("new").alias("new"))
+    first, second = both.select(F.col("j").alias("mid"), F.col("i").alias("a"), F.col("new").alias("n1")), both.select(F.col("i").alias("mid"), F.col("j").alias("b"), F.col("new").alias("n2"))
+    hop = first.join(second, "mid").where("a < b AND n1 + n2 > 0").select(F.col("a").alias("i"), F.col("b").alias("j")).distinct()
+    return hop.join(both.select("i", "j"), ["i", "j"], "left_anti")
 
+
+def descent_knn(df: DataFrame, k: int = 12, passes: int = 12, start_block: int = 256, tolerance: float = 0.002, reverse: int = 36) -> DataFrame:
+    """Approximate neighbours: exact ones inside k-means blocks, then passes over neighbours of neighbours until few lists change.
+
+    A pass looks only at pairs that meet by an edge which the pass before has found. A row
+    that many others have as a neighbour meets the nearest `reverse` of those, so no row's
+    pairs grow with the table.
+    """
     rows = materialize(df.select("id", doubles("v").alias("v")), "descent-rows")
     blocked = kmeans_blocks(rows, start_block).select("id", "v", F.explode("blocks").alias("block"))
-    graph = materialize(knn(blocked, k, block="block"), "descent")
+    graph = materialize(knn(blocked, k, block="block").select("i", "j", "d", F.lit(1).alias("new")), "descent")
     n = rows.count()
     for _ in range(passes):
-        pairs = neighbour_candidates(graph)
+        back = F.row_number().over(Window.partitionBy("j").orderBy("d", "i"))
+        pairs = neighbour_candidates(graph.withColumn("back", back).where(F.col("back") <= reverse), "new").join(graph.select(F.col("i"), F.col("j")), ["i", "j"], "left_anti")
         left, right = rows.select(F.col("id").alias("i"), F.col("v").alias("vi")), rows.select(F.col("id").alias("j"), F.col("v").alias("vj"))
         d = F.round(F.sqrt(F.aggregate(F.zip_with("vi", "vj", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)), 9)
-        new = pairs.join(left, "i").join(right, "j").select("i", "j", d.alias("d"))
-        merged = graph.select("i", "j", "d", F.lit(0).alias("new")).unionByName(new.withColumn("new", F.lit(1))).unionByName(new.select(F.col("j").alias("i"), F.col("i").alias("j"), "d", F.lit(1).alias("new")))
+        found = pairs.join(left, "i").join(right, "j").select("i", "j", d.alias("d"), F.lit(1).alias("new"))
+        merged = graph.withColumn("new", F.lit(0)).unionByName(found).unionByName(found.select(F.col("j").alias("i"), F.col("i").alias("j"), "d", "new"))
+        # an edge that is known already may be found from its other end
+        merged = merged.groupBy("i", "j").agg(F.min("d").alias("d"), F.min("new").alias("new"))
         rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
-        better = materialize(merged.withColumn("rank", rank).where(F.col("rank") <= k), "descent")
-        changed = better.where("new = 1").count()
-        graph = better.drop("new")
-        if changed <= tolerance * n * k:
+        better, before = materialize(merged.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), "descent"), graph
+        discard(before)
+        graph = better
+        if better.where("new = 1").count() <= tolerance * n * k:
             break
-    return graph
+    rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
+    return graph.select("i", "j", "d", rank.alias("rank"))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -127,13 +127,8 @@ def fit(df: DataFrame, dim: int, space: DataFrame | None = None) -> Taste | None
 
     near_in = (space.join(rated.select("id", "rating", "fold"), "id") if space is not None else rated).select("id", "v", "rating", "fold")
     n_near = max(NEIGHBOURS)
-    near = knn(near_in, n_near + -(-n_near // (FOLDS - 1)) + n_near)  # enough that the other folds' rows fill the list
-    who = rated.select(F.col("id").alias("j"), "rating", F.col("fold").alias("fj"))
-    own = rated.select(F.col("id").alias("i"), F.col("fold").alias("fi"))
-    others = near.join(who, "j").join(own, "i").where("fi <> fj")
-    from pyspark.sql import Window
-
-    ranked = others.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= n_near).select("i", "d", "rank", "rating").cache()
+    near = knn(near_in, n_near, apart="fold")  # each row's list is of the other folds
+    ranked = near.join(rated.select(F.col("id").alias("j"), "rating"), "j").select("i", "d", "rank", "rating").cache()
     scored = {k: r_squared(kernel_estimate(ranked, k).join(rated.select(F.col("id").alias("i"), F.col("rating").alias("y")), "i"), "y", "estimate").first().r2 for k in NEIGHBOURS}
     k = max(NEIGHBOURS, key=lambda k: (scored[k], -k))
     both = lined.join(kernel_estimate(ranked, k).withColumnRenamed("i", "id"), "id", "left").withColumn("estimate", F.coalesce("estimate", F.lit(float(whole[0, -1] / whole[0, 0]))))

@@ -18,18 +18,19 @@ def unnest(df: DataFrame, vector: str = "v", *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode(doubles(vector)).alias("pos", "x"))
 
 
-def exact_medians(values: DataFrame, key: str = "pos", value: str = "x", margin: float = 0.01) -> DataFrame:
-    """key, median, n. Exact, whatever the size: a sketch brackets each median, and only values inside the bracket are sorted."""
+def exact_medians(values: DataFrame, key: str = "pos", value: str = "x", margin: float = 0.0005) -> DataFrame:
+    """key, median, n. Exact, whatever the size: a sketch brackets each median, and only the distinct values inside the bracket, a thousandth of all or less, are counted and sorted."""
     shares = F.array(F.lit(0.5 - margin), F.lit(0.5 + margin))
-    marks = values.groupBy(key).agg(F.percentile_approx(value, shares, 10_000).alias("q"), F.count(value).alias("n")).select(key, F.col("q")[0].alias("a"), F.col("q")[1].alias("b"), "n")
+    marks = values.groupBy(key).agg(F.percentile_approx(value, shares, int(5 / margin)).alias("q"), F.count(value).alias("n")).select(key, F.col("q")[0].alias("a"), F.col("q")[1].alias("b"), "n")
     v = F.col(value)
     marked = values.where(v.isNotNull()).join(F.broadcast(marks), key)  # one row per dimension
-    below = marked.groupBy(key, "n").agg(F.count_if(v < F.col("a")).alias("below"))
-    inside = marked.where((v >= F.col("a")) & (v <= F.col("b"))).select(key, v.alias("x"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("x")) + F.col("below") - 1
-    ranked = inside.join(F.broadcast(below), key).withColumn("rank", rank)
-    middle = ranked.where((F.col("rank") == F.floor((F.col("n") - 1) / 2)) | (F.col("rank") == F.ceil((F.col("n") - 1) / 2)))
-    return middle.groupBy(key).agg((F.sum("x") / F.count(F.lit(1))).alias("median"), F.max("n").alias("n"))
+    # ties are one row, with their number; what lies below the bracket is one row too
+    counted = marked.where(v <= F.col("b")).groupBy(key, "n", F.when(v >= F.col("a"), v).alias("x")).agg(F.count(F.lit(1)).alias("rows"))
+    until = F.sum("rows").over(Window.partitionBy(key).orderBy(F.col("x").asc_nulls_first()))
+    ranked = counted.withColumn("until", until).where("x IS NOT NULL")
+    holds = lambda r: (F.col("until") > r) & (F.col("until") - F.col("rows") <= r)
+    low, high = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
+    return ranked.groupBy(key).agg(((F.max(F.when(holds(low), F.col("x"))) + F.max(F.when(holds(high), F.col("x")))) / 2).alias("median"), F.max("n").alias("n"))
 
 
 def robust_scales(df: DataFrame, vector: str = "v") -> DataFrame:

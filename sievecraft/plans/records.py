@@ -62,7 +62,7 @@ def bank_bytes_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return banks.normalise(banks.parse_banks(files)).select("file", "slot", "name", "clamped_bytes", "reason", F.sha2("packed", 256).alias("digest"))
 
 
-@query()
+@query("SELECT p_partkey AS id, CAST(178 AS INTEGER) AS size, true AS same FROM part")
 def seven_bit_frames(spark: SparkSession, sf: str) -> DataFrame:
     data = codecs.from_byte_array(F.col("params"))
     r = _params(spark, sf).select("id", data.alias("data")).withColumn("frame", codecs.pack7_udf("data"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..operators import dedupe, facets, layout, ranking, search, sorting
-from ..sources import files
+from ..sources import banks, files
 from .registry import Registry, read
 
 registry = Registry()
@@ -343,9 +343,8 @@ def table_sort_rating_page2(spark: SparkSession, sf: str) -> DataFrame:
 def queue_partition_fresh_first(spark: SparkSession, sf: str) -> DataFrame:
     t = _judged(spark, sf).select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", "lang").alias("family"), "n_chars", F.when(F.col("doc_id") % 50 == 0, F.col("quality")).alias("rating"))
     t = t.withColumn("family_has_rating", sorting.family_has_rating()).withColumn("family_size", F.col("n_chars"))
-    ordered = sorting.queue_order(t, "family")
-    n = Window.orderBy("family_has_rating", F.desc("n_chars"), "id")
-    return ordered.select("id", "family_has_rating", F.row_number().over(n).alias("position"))
+    ordered = banks.number(sorting.queue_order(t, "family").withColumn("shorter", -F.col("n_chars")), "family_has_rating", "shorter", "id")
+    return ordered.select("id", "family_has_rating", (F.col("position") + 1).cast("int").alias("position"))
 
 
 @query("""SELECT source AS family, count(*) AS contenders, bool_or(d.doc_id % 11 = 0) AS done FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality + 3 >= 4 GROUP BY 1 HAVING count(*) >= 2""")

@@ -38,16 +38,21 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-@query()
+@query("""SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events
+    GROUP BY time_bucket(INTERVAL 1 hour, ts), event_type HAVING time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour <= (SELECT max(ts) - INTERVAL 10 minutes FROM events)""")
 def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     """Windows that the watermark has closed."""
     out = _drain(spark, stateful.windowed_counts(_events(spark, sf), key="event_type"), "append")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 hours THEN 0 ELSE 1 END AS new FROM events),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+    SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 2 hours) AS end_us, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 2 hours <= (SELECT max(ts) - INTERVAL 10 minutes FROM events)""")
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return _drain(spark, stateful.session_counts(_events(spark, sf), "user_id"), "append")
+    """Sessions that the watermark has closed."""
+    out = _drain(spark, stateful.session_counts(_events(spark, sf), "user_id"), "append")
+    return out.select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("end").cast("timestamp")).alias("end_us"), "n")
 
 
 @query()

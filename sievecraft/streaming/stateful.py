@@ -14,12 +14,10 @@ from ..operators import elo
 
 MESSAGE = "port string, message binary"
 START, END = 0xF0, 0xF7
-#: A message longer than this is dropped: an end byte that never comes must not fill the state.
-LONGEST = 1 << 20
 
 
-def feed(buffer: bytes | None, chunk: bytes, longest: int = LONGEST) -> tuple[bytes | None, list[bytes]]:
-    """Buffer after a chunk of bytes (None: outside a message), and the messages it ended. A start byte starts anew."""
+def feed(buffer: bytes | None, chunk: bytes, longest: int | None = None) -> tuple[bytes | None, list[bytes]]:
+    """Buffer after a chunk of bytes (None: outside a message), and the messages it ended. A start byte starts anew. longest: bytes beyond which an unfinished message is given up, if any."""
     done: list[bytes] = []
     at = 0
     while at < len(chunk):
@@ -33,20 +31,20 @@ def feed(buffer: bytes | None, chunk: bytes, longest: int = LONGEST) -> tuple[by
             buffer, at = None, end + 1
         else:
             buffer, at = buffer + chunk[at:], len(chunk)
-            if len(buffer) > longest:
+            if longest is not None and len(buffer) > longest:
                 buffer = None
     return buffer, done
 
 
-def reassemble(stream: DataFrame) -> DataFrame:
-    """stream: port, seq, data (chunks of bytes) -> port, message. Unfinished messages wait in the state of their port."""
+def reassemble(stream: DataFrame, longest: int | None = None) -> DataFrame:
+    """stream: port, seq, data (chunks of bytes) -> port, message. Unfinished messages wait in the state of their port, however long they grow; longest: give them up beyond so many bytes."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         buffer = state.get[0] if state.exists else None
         rows = pd.concat(batches).sort_values("seq")
         out = []
         for chunk in rows.data:
-            buffer, done = feed(buffer, bytes(chunk))
+            buffer, done = feed(buffer, bytes(chunk), longest)
             out += done
         state.update((buffer,))
         yield pd.DataFrame({"port": [key[0]] * len(out), "message": out})

@@ -18,7 +18,13 @@ def test_reassembly_at_any_cut(cut):
     assert out == [bytes([0xF0, 2, 3, 0xF7]), bytes([0xF0, 5, 0xF7])] and buffer is None
 
 
-def test_a_message_without_end_is_dropped():
+def test_long_messages_stay_unless_a_bound_is_given():
+    long = bytes([0xF0]) + bytes(3 << 20)
+    buffer, out = stateful.feed(*[stateful.feed(None, long)[0]], bytes([1, 0xF7]))
+    assert buffer is None and out == [long + bytes([1, 0xF7])]
+
+
+def test_a_message_without_end_is_given_up_beyond_a_bound():
     buffer, out = stateful.feed(None, bytes([0xF0]) + bytes(100), longest=50)
     assert buffer is None and out == []
 
