@@ -20,6 +20,7 @@ def clusters(ids: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
 
 def two_levels(ids: DataFrame, links: DataFrame, family: float, merge: float) -> DataFrame:
     """id, merged, family. The merge threshold is never above the family's."""
+    links = materialize(links.where(F.col("d") < family), "links")  # found once for both
     near, far = clusters(ids, links, min(merge, family)), clusters(ids, links, family)
     return near.withColumnRenamed("cluster", "merged").join(far.withColumnRenamed("cluster", "family"), "id")
 
