@@ -29,8 +29,24 @@ def test_words_and_keys(text):
 def test_tokens(texts):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     assert token_counts.counter(public_tokenizers.path("word_bpe_49k.json")).counts(texts) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
-    tok, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing._encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    assert [encode(t).tolist() for t in texts] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    tok, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@SETTINGS
+@given(st.lists(st.text("abc ", min_size=1, max_size=25).map(lambda t: " ".join(t.split())).filter(len), min_size=1, max_size=5, unique=True), st.integers(2, 5))
+def test_factors_cover_every_repeated_window(texts, window):
+    block, split = substring_dedup.Block(texts), [t.split(" ") for t in texts]
+    piece, start, length, source, place = (x.tolist() for x in block.factors(np.zeros(len(texts), bool), window))
+    seen: dict = {}
+    for w in split:
+        for k in range(len(w) - window + 1):
+            seen[tuple(w[k : k + window])] = seen.get(tuple(w[k : k + window]), 0) + 1
+    for p, w in enumerate(split):
+        want = {i for k in range(len(w) - window + 1) if seen[tuple(w[k : k + window])] > 1 for i in range(k, k + window)}
+        assert {i for q, a, n in zip(piece, start, length) if q == p for i in range(a, a + n)} == want
+    for p, a, n, q, b in zip(piece, start, length, source, place):
+        assert n >= window and split[p][a : a + n] == split[q][b : b + n] and (p, a) != (q, b)
 
 
 WORDS = st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=25)
