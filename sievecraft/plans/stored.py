@@ -173,16 +173,16 @@ def wav_files(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("id", F.octet_length("w").cast("long").alias("size"), F.decode(F.substring("w", 1, 4), "utf-8").alias("head"), rate.alias("rate"))
 
 
-@query("SELECT p_partkey AS id, true AS finite, p_partkey % 4 = 0 AS silent FROM part WHERE p_partkey <= 64")
+@query("SELECT p_partkey AS id, true AS finite, p_partkey % 4 = 0 AS silent FROM part")
 def rendered_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Records of 64 parts as sound; those whose levels are all zero are silent, those with an open carrier are heard."""
-    made = _params(spark, sf).where("id <= 64")
+    """Records of all parts as sound; those whose levels are all zero are silent, those with an open carrier are heard."""
+    made = _params(spark, sf)
     level = F.when(F.col("id") % 4 == 0, 0).otherwise(99)
     # operators with a plain envelope and the level above, a ratio of one, no key scaling
     one = F.array(*[F.lit(x) for x in (99, 99, 99, 99, 99, 99, 99, 0, 0, 0, 0, 0, 0, 0, 0, 0)], level, F.lit(0), F.lit(1), F.lit(0), F.lit(7))
     params = F.concat(F.flatten(F.array_repeat(one, 6)), F.slice(F.col("params"), 127, 29))
     plain = F.transform(params, lambda v, i: F.when((i >= 126) & (i < 130), 99).when((i >= 130) & (i < 134), 50).when(i == 144, 24).otherwise(v))
-    sound = synth.render_column(made.select("id", plain.alias("params")), hold=0.1, tail=0.1)
+    sound = synth.render_column(made.select("id", plain.alias("params")), hold=0.03, tail=0.01)
     loud = F.aggregate("samples", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x).cast("double")))
     return sound.select("id", F.forall("samples", lambda x: ~F.isnan(x) & (F.abs(x) < 10)).alias("finite"), (loud < 1e-6).alias("silent"))
 
