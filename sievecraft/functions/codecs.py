@@ -96,7 +96,7 @@ def encode_name(name: Column, length: int = 10) -> Column:
 
 
 # --- bit-packed records ----------------------------------------------------------------------
-# Where each unpacked byte lies in the packed record: (byte, shift, mask).
+# Where each unpacked byte lies in the packed record: (byte, shift, mask). The numbers are fixed values of the format.
 
 def _layout() -> list[tuple[int, int, int]]:
     out = []

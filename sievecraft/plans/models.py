@@ -78,7 +78,7 @@ def taste_predict(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- categories -----------------------------------------------------------------------------
 
-# features of parts made from their columns, spread over the scorer's ranges
+# features of parts made from their columns, spread over the scorer's ranges; the thresholds in the SQL below are fixed values, as in operators.category
 _FEATURES = {
     "attack": "-2.5e0 + (p_partkey % 23) / 10.0e0", "release": "-2.0e0 + (p_partkey % 29) / 11.0e0", "sustain": "(p_partkey % 11) / 10.0e0", "centroid": "(p_partkey % 37) / 7.0e0", "abs_bright": "-2.0e0 + (p_partkey % 31) / 8.0e0",
     "register": "-2.5e0 + (p_partkey % 41) / 9.0e0", "inharm": "(p_partkey % 13) / 16.0e0", "slope": "-2.0e0 + (p_partkey % 17) / 4.0e0", "vel_bright": "(p_partkey % 19) / 8.0e0", "vel_level": "(p_partkey % 43) / 2.0e0",

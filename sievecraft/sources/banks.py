@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..audio import routes
 from ..functions import codecs
 from ..functions.storage import materialize
 
@@ -104,11 +105,8 @@ def parse_banks(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, ROWS)
 
 
-# fixed values: carriers of each of the 32 operator arrangements, as bits (operator 1 lowest)
-CARRIERS = [
-    {1, 3}, {1, 3}, {1, 4}, {1, 4}, {1, 3, 5}, {1, 3, 5}, {1, 3}, {1, 3}, {1, 3}, {1, 4}, {1, 4}, {1, 3}, {1, 3}, {1, 3}, {1, 3}, {1},
-    {1}, {1}, {1, 4, 5}, {1, 2, 4}, {1, 2, 4, 5}, {1, 3, 4, 5}, {1, 2, 4, 5}, {1, 2, 3, 4, 5}, {1, 2, 3, 4, 5}, {1, 2, 4}, {1, 2, 4}, {1, 3, 6}, {1, 2, 3, 5}, {1, 2, 3, 6}, {1, 2, 3, 4, 5}, {1, 2, 3, 4, 5, 6},
-]
+#: Carriers of each of the 32 operator arrangements.
+CARRIERS = [set(routes.carriers(a)) for a in range(32)]
 
 
 def normalise(rows: DataFrame, init: bytes | None = None) -> DataFrame:
