@@ -36,7 +36,7 @@ _LONG_RUN = re.compile(r"\s{1000}|\S{4000}")
 class Encoder:
     """Text -> ids of a byte-level BPE vocabulary (.json) as the tokenizers library gives them, as little-endian uint32.
 
-    The library itself takes two to three times the budget's time, so a second engine of the
+    The library alone takes about twice the time of a second engine (README), so one of the
     same algorithm replays the vocabulary's merges, and only where both are sure to agree: the
     vocabulary has the built-in pattern, no normalizer and no dropout, and numbers its tokens
     in the order of its merges; the text has no added token, and no run of a thousand blanks
