@@ -71,10 +71,14 @@ def seconds(log_seconds: Column) -> Column:
     return F.when(log_seconds.isNull(), "—").otherwise(F.concat(F.format_string("%.1f", F.pow(F.lit(10.0), log_seconds)), F.lit(" s")))
 
 
+def first_of(name: Column, n: Column) -> Column:
+    """The first source's name, and how many more there are."""
+    return F.when(n > 1, F.concat(name, F.lit(" +"), (n - 1).cast("string"))).when(n == 1, name).otherwise("—")
+
+
 def came_from(sources: Column) -> Column:
     """File name of the first source, and how many more there are."""
-    name = F.substring_index(F.element_at(sources, 1)["file"], "/", -1)
-    return F.when(F.size(sources) > 1, F.concat(name, F.lit(" +"), (F.size(sources) - 1).cast("string"))).when(F.size(sources) == 1, name).otherwise("—")
+    return first_of(F.substring_index(F.element_at(sources, 1)["file"], "/", -1), F.size(sources))
 
 
 def verdict(r2: Column) -> Column:

@@ -23,9 +23,15 @@ def display_cells(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH s AS (SELECT l_partkey AS id, s_name || '.syx' AS f, l_orderkey AS o, l_linenumber AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
     SELECT id, CASE WHEN count(*) > 1 THEN arg_min(f, (o, n)) || ' +' || CAST(count(*) - 1 AS VARCHAR) ELSE min(f) END AS came FROM s GROUP BY id""")
 def display_sources(spark: SparkSession, sf: str) -> DataFrame:
-    s = read(spark, sf, "lineitem").join(read(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    one = s.select(F.col("l_partkey").alias("id"), F.struct(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.concat(F.lit("a/"), "s_name", F.lit(".syx")).alias("file")).alias("s"))
-    return one.groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("sources")).select("id", display.came_from(F.col("sources")).alias("came"))
+    """The first source by order and line; of lines that tie, the one stored first."""
+    stored = F.struct("_metadata.file_path", "_metadata.row_index")
+    lines = read(spark, sf, "lineitem").select("l_partkey", "l_suppkey", F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), stored.alias("stored"))
+    s = lines.join(read(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    file = F.concat("s_name", F.lit(".syx"))
+    at = F.struct(F.isnull("o"), "o", F.isnull("n"), "n", "stored")  # lines without a number come last
+    first = F.min_by(F.struct(file.alias("file")), F.when(file.isNotNull(), at))
+    one = s.groupBy(F.col("l_partkey").alias("id")).agg(first["file"].alias("file"), F.count(F.lit(1)).alias("n"))
+    return one.select("id", display.first_of(F.col("file"), F.col("n")).alias("came"))
 
 
 @query("""WITH h AS (SELECT p_partkey, radians((CAST(p_partkey AS DOUBLE) * 137.508e0) % 360) AS h FROM part), l AS (SELECT p_partkey, 0.14e0 * cos(h) AS a, 0.14e0 * sin(h) AS b FROM h),
