@@ -1,67 +1,258 @@
 """Nearest neighbours and near-duplicate links between vectors, in tiles of bounded size.
 
-Rows are dealt to tiles and pairs of tiles are compared by numpy; only the k best of each
-row, or the pairs under the threshold, leave a task. Both are exact within what is compared:
-everything for one block, or rows that share a block where a blocking is given.
+Rows are dealt to tiles, packed, and pairs of tiles are compared in one task. Products of
+matrices in single precision, whose error is bounded, leave few pairs of rows; their distances
+are added up in double precision. Only the k best of each row, the pairs under the threshold,
+or the chains they form leave a task. All are exact within what is compared: everything for
+one block, or rows that share a block where a blocking is given.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import doubles
 from ..functions.storage import discard, materialize
 
-TILE = 2048
-
-
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
-
-
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances, added up component by component."""
-    out = np.zeros((len(a), len(b)))
-    for d in range(a.shape[1]):
-        diff = a[:, d, None] - b[None, :, d]
-        out += diff * diff
+TILE = 16384
+LEAST_TILE = 2048  # up to eight tiles are made of smaller ones, so that there are pairs for all cores
+PACK_ROWS = 65536
+ROWS, COLUMNS = 512, 4096  # of a product of matrices
+
+
+# --- tiles ------------------------------------------------------------------------------------
+
+_PACKED = "__block long, tile int, tiles int, n int, id binary, v binary, p binary, of binary, apart binary"
+_KINDS = {"id": np.int64, "v": np.float64, "p": np.float64, "of": np.bool_, "apart": np.int64}
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (__block, tile, tiles, id, v, p, of, apart) -> a row for each block and tile with all its rows' values."""
+    names = [c.split()[0] for c in _PACKED.split(", ")]
+
+    def numpy(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        out = {}
+        for c in ("__block", "tile", "tiles", *_KINDS):
+            column = batch.column(batch.schema.get_field_index(c))
+            if pa.types.is_list(column.type):
+                out[c] = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+            else:
+                out[c] = column.to_numpy(zero_copy_only=False)
+        return out
+
+    def flush(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        x = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        order = np.lexsort((x["tile"], x["__block"]))
+        block, tile = x["__block"][order], x["tile"][order]
+        starts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (tile[1:] != tile[:-1])])
+        groups = np.split(order, starts[1:])
+        columns = [[int(x["__block"][g[0]]) for g in groups], [int(x["tile"][g[0]]) for g in groups], [int(x["tiles"][g[0]]) for g in groups], [len(g) for g in groups]]
+        columns += [[np.ascontiguousarray(x[c][g], kind).tobytes() for g in groups] for c, kind in _KINDS.items()]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * len(_KINDS)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(numpy(batch))
+            n += batch.num_rows
+        if n >= PACK_ROWS:
+            yield flush(held)
+            held, n = [], 0
+    if held:
+        yield flush(held)
+
+
+def _rows_of(chunks: pd.DataFrame) -> dict[str, np.ndarray]:
+    """The rows of a tile by id, from its packed pieces; in the same order in every task."""
+    n = int(chunks.n.sum())
+    x = {c: np.frombuffer(b"".join(chunks[c]), kind).reshape(n, -1) for c, kind in _KINDS.items()}
+    x = {c: v if c in "vp" else v[:, 0] for c, v in x.items()}
+    order = np.argsort(x["id"], kind="stable")
+    if n and (np.diff(x["id"][order]) == 0).any():  # repeated ids
+        order = np.lexsort((x["apart"], x["of"], *x["v"].T[::-1], x["id"]))
+    return {c: v[order] for c, v in x.items()}
+
+
+def _on_pairs(rows: DataFrame, tile: int, block: str | None, compare: Callable, schema: str) -> DataFrame:
+    """compare(block, ti, tj, rows of ti, rows of tj) yields frames, for each pair ti <= tj of tiles of a block. rows: id, v, and optionally p, of, apart and the block."""
+    have = set(rows.columns)
+    rows = rows.select(
+        (F.col(block) if block else F.lit(0)).cast("long").alias("__block"), F.col("id").cast("long").alias("id"), "v", *[F.col("p") if "p" in have else F.array().cast("array<double>").alias("p")],
+        (F.coalesce("of", F.lit(False)) if "of" in have else F.lit(True)).alias("of"), (F.col("apart") if "apart" in have else F.lit(-1)).cast("long").alias("apart"),
+    )
+    n = F.count(F.lit(1))
+    tiles = F.greatest(F.ceil(n / tile), F.least(F.lit(8), F.ceil(n / min(tile, LEAST_TILE)))).cast("int")
+    parts = max(32, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if block:
+        placed = rows.join(rows.groupBy("__block").agg(tiles.alias("tiles")), "__block")
+    else:
+        held = rows.agg(tiles.alias("tiles")).first().tiles
+        parts = min(max(held * (held + 1) // 2, 1), 4000)
+        placed = rows.withColumn("tiles", F.lit(held))
+    placed = placed.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    packed = placed.select("__block", "tile", "tiles", *_KINDS).mapInArrow(_pack, _PACKED)
+    met = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("ti", F.least("tile", "other")).withColumn("tj", F.greatest("tile", "other")).drop("other", "tiles")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(key: tuple, pieces: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            b, ti, tj = key
+            chunks = pd.concat(pieces)
+            a = _rows_of(chunks[chunks.tile == ti])
+            c = a if ti == tj else _rows_of(chunks[chunks.tile == tj])
+            yield from (f for f in compare(b, ti, tj, a, c) if len(f))
+
+        key, pieces = None, []
+        for batch in batches:
+            for k, piece in batch.groupby(["__block", "ti", "tj"], sort=True):
+                if k != key and pieces:
+                    yield from one(key, pieces)
+                    pieces = []
+                key = k
+                pieces.append(piece)
+        if pieces:
+            yield from one(key, pieces)
+
+    keys = ["__block", "ti", "tj"]
+    return met.repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+# --- distances --------------------------------------------------------------------------------
+
+def _exact(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of x[i] and y[j], added up component by component."""
+    out = np.empty(len(i))
+    for k in range(0, len(i), 16384):
+        diff = x[i[k : k + 16384]] - y[j[k : k + 16384]]
+        diff *= diff
+        total = np.zeros(len(diff))
+        for d in range(diff.shape[1]):
+            total += diff[:, d]
+        out[k : k + 16384] = np.sqrt(total)
     return out
 
 
-def _tiled(df: DataFrame, tile: int, block: str | None) -> DataFrame:
-    """Rows placed on every pair (ti, tj) of tiles of their block that has their own tile; ti <= tj."""
-    rows = df.withColumn("__block", F.col(block) if block else F.lit(0))
-    sizes = rows.groupBy("__block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    placed = rows.join(sizes, "__block").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("ti", F.least("tile", "other")).withColumn("tj", F.greatest("tile", "other"))
+class _Products:
+    """Squared distances of x and y in single precision, divided by scale ** 2, and off by no more than slack."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        centre = y.mean(0) if len(y) else np.zeros(y.shape[1])
+        x, y = x - centre, y - centre
+        most = max(np.abs(z).max(initial=0.0) for z in (x, y)) * np.sqrt(x.shape[1])
+        self.scale = float(most) if np.isfinite(most) and most > 0 else 1.0
+        x, y = x / self.scale, y / self.scale  # no longer than 1
+        self.x = np.hstack([x, (x * x).sum(1)[:, None], np.ones((len(x), 1))]).astype(np.float32)
+        self.y = np.hstack([-2 * y, np.ones((len(y), 1)), (y * y).sum(1)[:, None]]).astype(np.float32)
+        norms = np.sqrt((x * x).sum(1).max(initial=0.0)) + np.sqrt((y * y).sum(1).max(initial=0.0))
+        # each of the d + 2 terms rounds once when it is made and once when it is added; infinite values leave all pairs in
+        self.slack = float((x.shape[1] + 16) * 2.0**-24 * norms * norms) if np.isfinite(norms) else np.inf
+
+    def blocks(self, rows: slice) -> Iterator[tuple[int, np.ndarray]]:
+        for k in range(0, len(self.y), COLUMNS):
+            yield k, self.x[rows] @ self.y[k : k + COLUMNS].T
+
+
+def _close(x: np.ndarray, y: np.ndarray, most: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, float, float]]:
+    """i, j, squared distance, its slack and the scale: all pairs that may be nearer than most."""
+    p = _Products(x, y)
+    limit = (most / p.scale) ** 2 * (1 + 1e-6) + p.slack
+    for k in range(0, len(x), ROWS):
+        for c, d in p.blocks(slice(k, k + ROWS)):
+            hit = np.flatnonzero(~(d > limit))
+            if len(hit):
+                i, j = np.divmod(hit, d.shape[1])
+                yield i + k, j + c, d.ravel()[hit], p.slack, p.scale
+
+
+def _first_per_row(row: np.ndarray, k: int) -> np.ndarray:
+    """Whether each entry of sorted rows is one of its row's first k."""
+    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
+    return np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)])) < k
+
+
+def _nearest(a: dict[str, np.ndarray], b: dict[str, np.ndarray], k: int, digits: int, apart: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a its k nearest among the eligible rows of b: ids (-1: none) and distances."""
+    n = len(a["id"])
+    ids, far = np.full((n, k), -1, np.int64), np.full((n, k), np.inf)
+    b = {c: v[b["of"]] for c, v in b.items()}
+    repeated = (np.diff(b["id"]) == 0).any()
+    if len(b["id"]) > k and not repeated:
+        # of rows alike no list holds more than the first k, besides the row itself
+        alike = np.ascontiguousarray(np.hstack([b["v"], b["apart"][:, None].astype(float)]))
+        group = np.unique(alike.view(np.dtype((np.void, alike.itemsize * alike.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+        order = np.argsort(group, kind="stable")
+        kept = np.sort(order[_first_per_row(group[order], k + 1)])
+        b = {c: v[kept] for c, v in b.items()}
+    if not n or not len(b["id"]):
+        return ids, far
+    p = _Products(a["v"], b["v"])
+    step = 10.0**-digits / p.scale  # distances this near may be equal once rounded
+    slack = 2 * p.slack + 8 * step + step * step
+    own = np.searchsorted(b["id"], a["id"]).clip(0, len(b["id"]) - 1)
+    own[b["id"][own] != a["id"]] = -1
+    for at in range(0, n, ROWS):
+        rows = slice(at, min(at + ROWS, n))
+        hits, bound = [], None
+        for c, d in p.blocks(rows):
+            if repeated:
+                d[a["id"][rows, None] == b["id"][None, c : c + COLUMNS]] = np.inf
+            else:
+                mine = np.flatnonzero((own[rows] >= c) & (own[rows] < c + d.shape[1]))
+                d[mine, own[rows][mine] - c] = np.inf
+            if apart:
+                d[a["apart"][rows, None] == b["apart"][None, c : c + COLUMNS]] = np.inf
+            if bound is None and len(p.y) > k and d.shape[1] > k:
+                bound = np.partition(d[:, : max(2 * k, COLUMNS // 2)], k - 1, axis=1)[:, k - 1] + np.float32(slack)
+            hit = np.flatnonzero(~(d > bound[:, None])) if bound is not None else np.arange(d.size)
+            i, j = np.divmod(hit, d.shape[1])
+            hits.append((i, j + c, d.ravel()[hit]))
+        i, j, d = (np.concatenate(h) for h in zip(*hits))
+        order = np.lexsort((d, i))
+        i, j, d = i[order], j[order], d[order]
+        first, kth = _first_per_row(i, k), np.full(rows.stop - rows.start, -np.inf)
+        np.maximum.at(kth, i[first], d[first])
+        kth[np.bincount(i, minlength=len(kth)) < k] = np.inf
+        keep = ~(d > kth[i] + slack)
+        i, j = i[keep], j[keep]
+        exact = np.round(_exact(a["v"], b["v"], i + at, j), digits)
+        mine = b["id"][j] == a["id"][i + at]
+        exact[mine | (b["apart"][j] == a["apart"][i + at]) if apart else mine] = np.inf
+        keep = np.isfinite(exact)
+        i, j, exact = i[keep], j[keep], exact[keep]
+        order = np.lexsort((b["id"][j], exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        first = _first_per_row(i, k)
+        i, j, exact = i[first], j[first], exact[first]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        ids[i + at, place], far[i + at, place] = b["id"][j], exact
+    return ids, far
 
 
 def knn(df: DataFrame, k: int = 12, tile: int = TILE, digits: int = 9, block: str | None = None, of: str | None = None, apart: str | None = None) -> DataFrame:
     """df: id, v. i, j, d, rank: each row's k nearest others by (distance rounded to `digits`, id). of: a boolean column that the others must have set; apart: an integer column in which they must differ."""
-    rows = df.select("id", doubles("v").alias("v"), (F.col(of) if of else F.lit(True)).alias("of"), (F.col(apart) if apart else F.lit(-1)).cast("long").alias("apart"), *([block] if block else []))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, ti, tj = key
-        x, ids, tiles, eligible, side = _stack(pdf.v), pdf.id.to_numpy(), pdf.tile.to_numpy(), pdf["of"].fillna(False).to_numpy(bool), pdf["apart"].to_numpy()
-        out = []
-        for mine, theirs in {(ti, tj), (tj, ti)}:
-            a, b = np.flatnonzero(tiles == mine), np.flatnonzero((tiles == theirs) & eligible)
-            if not len(a) or not len(b):
-                continue
-            d = np.round(np.sqrt(_squared(x[a], x[b])), digits)
-            d[ids[a][:, None] == ids[b][None, :]] = np.inf
-            if apart:
-                d[side[a][:, None] == side[b][None, :]] = np.inf
-            order = np.lexsort((np.broadcast_to(ids[b], d.shape), d), axis=1)[:, :k]
-            near = np.take_along_axis(d, order, 1)
-            ok = np.isfinite(near)
-            out.append(pd.DataFrame({"i": np.repeat(ids[a], ok.sum(1)), "j": ids[b][order[ok]], "d": near[ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "d": []})
-
-    found = _tiled(rows, tile, block).select("__block", "ti", "tj", "tile", "id", "v", "of", "apart").groupBy("__block", "ti", "tj").applyInPandas(run, "i long, j long, d double")
+    rows = df.select("id", doubles("v").alias("v"), *([F.col(of).alias("of")] if of else []), *([F.col(apart).cast("long").alias("apart")] if apart else []), *([block] if block else []))
+
+    def compare(b: int, ti: int, tj: int, x: dict, y: dict) -> Iterator[pd.DataFrame]:
+        for mine, left, right in [(ti, x, y), (tj, y, x)][: 1 if ti == tj else 2]:
+            ids, far = _nearest(left, right, k, digits, apart is not None)
+            yield pd.DataFrame({"__block": [b], "tile": [mine], "i": [left["id"].tobytes()], "j": [ids.tobytes()], "d": [far.tobytes()]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        i = np.frombuffer(pdf.i.iloc[0], np.int64)
+        j, d = (np.hstack([np.frombuffer(x, kind).reshape(len(i), k) for x in column]) for column, kind in ((pdf.j, np.int64), (pdf.d, np.float64)))
+        order = np.lexsort((j, d), axis=1)[:, :k]
+        j, d = np.take_along_axis(j, order, 1), np.take_along_axis(d, order, 1)
+        ok = np.isfinite(d)
+        return pd.DataFrame({"i": np.repeat(i, ok.sum(1)), "j": j[ok], "d": d[ok]})
+
+    lists = _on_pairs(rows, tile, block, compare, "__block long, tile int, i binary, j binary, d binary")
+    found = lists.groupBy("__block", "tile").applyInPandas(merge, "i long, j long, d double")
     found = found.distinct() if block else found
     rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -74,32 +265,71 @@ def near_links(df: DataFrame, most: float, blocks: str | None = None, tile: int
     w0 * |v - v'| / scale + w1 * P / param_scale, P the mean range-normalised difference of
     the params; the second term is only computed where the first is under `most`.
     """
-    block = blocks
     cols = ["id", doubles("v").alias("v"), *([doubles(params).alias("p")] if params else [])]
     rows = df.select(*cols, *([F.explode(blocks).alias("__b")] if blocks else []))
     w0, w1 = weights
     span = None if ranges is None else np.array(ranges, float)
+    reach = most * scale / w0 if w0 else np.inf
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, ti, tj = key
-        x, ids, tiles = _stack(pdf.v), pdf.id.to_numpy(), pdf.tile.to_numpy()
-        a, b = np.flatnonzero(tiles == ti), np.flatnonzero(tiles == tj)
-        d = w0 * np.sqrt(_squared(x[a], x[b])) / scale
-        i, j = np.nonzero(d < most)
-        d, i, j = d[i, j], a[i], b[j]
-        once = (ids[i] < ids[j]) if ti == tj else ids[i] != ids[j]
-        d, i, j = d[once], i[once], j[once]
-        if params and len(i):
-            p = _stack(pdf.p)
-            extra = np.concatenate([(np.abs(p[i[k : k + 4096]] - p[j[k : k + 4096]]) / span).mean(1) for k in range(0, len(i), 4096)])
-            d = d + w1 * extra / param_scale
+    def compare(_, ti: int, tj: int, x: dict, y: dict) -> Iterator[pd.DataFrame]:
+        for i, j, *_ in _close(x["v"], y["v"], reach):
+            once = (x["id"][i] < y["id"][j]) if ti == tj else x["id"][i] != y["id"][j]
+            i, j = i[once], j[once]
+            d = w0 * _exact(x["v"], y["v"], i, j) / scale
             keep = d < most
             d, i, j = d[keep], i[keep], j[keep]
-        return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "d": d})
-
-    tiled = _tiled(rows, tile, "__b" if block else None).select("__block", "ti", "tj", "tile", "id", "v", *(["p"] if params else []))
-    links = tiled.groupBy("__block", "ti", "tj").applyInPandas(run, "a long, b long, d double")
-    return links.dropDuplicates(["a", "b"]) if block else links
+            if params and len(i):
+                extra = np.concatenate([(np.abs(x["p"][i[k : k + 4096]] - y["p"][j[k : k + 4096]]) / span).mean(1) for k in range(0, len(i), 4096)])
+                d = d + w1 * extra / param_scale
+                keep = d < most
+                d, i, j = d[keep], i[keep], j[keep]
+            a, b = x["id"][i], y["id"][j]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "d": d})
+
+    links = _on_pairs(rows, tile, "__b" if blocks else None, compare, "a long, b long, d double")
+    return links.dropDuplicates(["a", "b"]) if blocks else links
+
+
+def _unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Merge the sets of i and j; root: each member's least one."""
+    while len(i):
+        a, b = root[i], root[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def chains(df: DataFrame, thresholds: list[float], tile: int = TILE) -> DataFrame:
+    """df: id, v. a, b, d: edges that join the same rows as the links under each of the thresholds do, but no more of them than rows in a pair of tiles.
+
+    d is the threshold before the one at which the edge joins them (0 for the least), so
+    `d < t` gives the edges at t.
+    """
+    levels = sorted(set(thresholds))
+    rows = df.select("id", doubles("v").alias("v"))
+
+    def compare(_, ti: int, tj: int, x: dict, y: dict) -> Iterator[pd.DataFrame]:
+        ids = np.unique(np.concatenate([x["id"], y["id"]]))
+        mine, theirs = np.searchsorted(ids, x["id"]), np.searchsorted(ids, y["id"])
+        roots = [np.arange(len(ids)) for _ in levels]
+        for i, j, d2, slack, scale in _close(x["v"], y["v"], levels[-1]):
+            for root, t in zip(roots, levels):
+                limit = (t / scale) ** 2
+                new = np.flatnonzero((root[mine[i]] != root[theirs[j]]) & ~(d2 > limit * (1 + 1e-6) + slack))
+                unsure = ~(d2[new] < limit * (1 - 1e-6) - slack)
+                keep = np.ones(len(new), bool)
+                keep[unsure] = _exact(x["v"], y["v"], i[new[unsure]], j[new[unsure]]) < t
+                _unite(root, mine[i[new[keep]]], theirs[j[new[keep]]])
+        before = np.arange(len(ids))
+        for t, root in zip([0.0, *levels], roots):
+            a = np.unique(before)
+            a = a[root[a] != a]
+            yield pd.DataFrame({"a": ids[a], "b": ids[root[a]], "d": np.full(len(a), t)})
+            before = root
+
+    return _on_pairs(rows, tile, None, compare, "a long, b long, d double")
 
 
 def nearest_centroids(vector: Column, centroids: list[tuple[int, list[float]]], keep: int = 2) -> Column:
