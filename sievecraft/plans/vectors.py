@@ -180,34 +180,35 @@ def _walk(name: str, threshold: str) -> str:
     {name} AS (SELECT id, min(r) AS cluster FROM {name}_w GROUP BY id)"""
 
 
-def _links(spark: SparkSession, sf: str, most: float = 1.2) -> DataFrame:
-    return neighbours.near_links(_rows(spark, sf), most)
+def _chains(spark: SparkSession, sf: str, *thresholds: float) -> DataFrame:
+    """What joins rows at the thresholds; the links themselves grow with the square of the table."""
+    return neighbours.chains(_rows(spark, sf), list(thresholds))
 
 
 @query(f"{_LINKS} SELECT a, b, round(d, 6) AS d FROM l WHERE d < {FAMILY}")
 def neardup_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return _links(spark, sf, FAMILY).select("a", "b", F.round("d", 6).alias("d"))
+    return neighbours.near_links(_rows(spark, sf), FAMILY).select("a", "b", F.round("d", 6).alias("d"))
 
 
 @query(f"{_LINKS}{_walk('c', str(MERGE))} SELECT id, cluster FROM c")
 def neardup_components_merge(spark: SparkSession, sf: str) -> DataFrame:
-    return families.clusters(_rows(spark, sf), _links(spark, sf), MERGE)
+    return families.clusters(_rows(spark, sf), _chains(spark, sf, MERGE), MERGE)
 
 
 @query(f"{_LINKS}{_walk('c', str(FAMILY))} SELECT id, cluster FROM c")
 def neardup_components_family(spark: SparkSession, sf: str) -> DataFrame:
-    return families.clusters(_rows(spark, sf), _links(spark, sf), FAMILY)
+    return families.clusters(_rows(spark, sf), _chains(spark, sf, FAMILY), FAMILY)
 
 
 @query(f"{_LINKS}{_walk('m', str(MERGE))}{_walk('f', str(FAMILY))} SELECT id, m.cluster AS merged, f.cluster AS family FROM m JOIN f USING (id)")
 def two_level_families(spark: SparkSession, sf: str) -> DataFrame:
-    return families.two_levels(_rows(spark, sf), _links(spark, sf), FAMILY, MERGE)
+    return families.two_levels(_rows(spark, sf), _chains(spark, sf, MERGE, FAMILY), FAMILY, MERGE)
 
 
 @query(f"""{_LINKS}{_walk('c', str(FAMILY))}, n AS (SELECT cluster, count(*) AS n FROM c GROUP BY 1)
     SELECT count(*) AS clusters, count(*) FILTER (n = 1) AS singletons, max(n) AS largest, CAST(sum(n - 1) AS BIGINT) AS collapsed FROM n""")
 def cluster_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return families.sizes(families.clusters(_rows(spark, sf), _links(spark, sf), FAMILY))
+    return families.sizes(families.clusters(_rows(spark, sf), _chains(spark, sf, FAMILY), FAMILY))
 
 
 _SWEEP = (1.0, 1.05, 1.1, 1.15)
@@ -220,7 +221,7 @@ _SWEEP = (1.0, 1.05, 1.1, 1.15)
     SELECT threshold, count(*) AS clusters, count(*) FILTER (n = 1) AS singletons, max(n) AS largest, {', '.join(
         f"CAST(coalesce(sum(n) FILTER (n >= {a}{'' if b is None else f' AND n < {b}'}), 0) AS BIGINT) AS in_{a}" for a, b in zip(families.SIZE_CLASSES, [*families.SIZE_CLASSES[1:], None]))} FROM n GROUP BY 1""")
 def neardup_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return families.sweep(_rows(spark, sf), _links(spark, sf), list(_SWEEP))
+    return families.sweep(_rows(spark, sf), _chains(spark, sf, *_SWEEP), list(_SWEEP))
 
 
 _REPS = """, x AS (SELECT id, unnest(range(0, 64)) AS pos, unnest(v) AS x FROM e), mean AS (SELECT cluster, pos, avg(x) AS m FROM x JOIN {c} USING (id) GROUP BY 1, 2),
@@ -231,13 +232,13 @@ _REPS = """, x AS (SELECT id, unnest(range(0, 64)) AS pos, unnest(v) AS x FROM e
 @query(f"{_LINKS}{_walk('c', str(FAMILY))}{_REPS.format(c='c')} SELECT cluster, rep, members FROM reps")
 def cluster_medoids(spark: SparkSession, sf: str) -> DataFrame:
     rows = _rows(spark, sf)
-    return families.representatives(families.clusters(rows, _links(spark, sf), FAMILY), rows)
+    return families.representatives(families.clusters(rows, _chains(spark, sf, FAMILY), FAMILY), rows)
 
 
 @query(f"{_LINKS}{_walk('m', str(MERGE))}{_walk('f', str(FAMILY))}{_REPS.format(c='m')} SELECT DISTINCT f.cluster AS family, rep AS id FROM m JOIN f USING (id) JOIN reps ON reps.cluster = m.cluster")
 def family_contenders(spark: SparkSession, sf: str) -> DataFrame:
     rows = _rows(spark, sf)
-    levels = families.two_levels(rows, _links(spark, sf), FAMILY, MERGE)
+    levels = families.two_levels(rows, _chains(spark, sf, MERGE, FAMILY), FAMILY, MERGE)
     reps = families.representatives(levels.select("id", F.col("merged").alias("cluster")), rows)
     return families.contenders(levels, reps)
 
@@ -245,13 +246,13 @@ def family_contenders(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{_LINKS}{_walk('c', str(FAMILY))} SELECT id, cluster, count(*) OVER (PARTITION BY cluster) AS in_cluster, CAST(sum(1 + id % 4) OVER (PARTITION BY cluster) AS BIGINT) AS copies FROM c")
 def copies_window(spark: SparkSession, sf: str) -> DataFrame:
     rows = _rows(spark, sf)
-    return families.copies(families.clusters(rows, _links(spark, sf), FAMILY), rows.select("id", (1 + F.col("id") % 4).alias("n")))
+    return families.copies(families.clusters(rows, _chains(spark, sf, FAMILY), FAMILY), rows.select("id", (1 + F.col("id") % 4).alias("n")))
 
 
 @query(f"{_LINKS}{_walk('f', str(FAMILY))} SELECT id, cluster AS family, bool_or(label = 3) OVER (PARTITION BY cluster) AS has_rating FROM f JOIN e USING (id)")
 def family_has_rating(spark: SparkSession, sf: str) -> DataFrame:
     rows = _rows(spark, sf)
-    levels = families.two_levels(rows, _links(spark, sf), FAMILY, MERGE)
+    levels = families.two_levels(rows, _chains(spark, sf, MERGE, FAMILY), FAMILY, MERGE)
     return families.family_has_rating(levels, rows.select("id", F.when(F.col("label") == 3, 5).alias("rating")))
 
 
