@@ -378,6 +378,49 @@ def neighbour_candidates(edges: DataFrame, new: str | None = None) -> DataFrame:
     return hop.join(both.select("i", "j"), ["i", "j"], "left_anti")
 
 
+def _meet(edges: DataFrame, graph: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """i, j, d, new (1): pairs that share a neighbour by way of a new edge and are near enough for one's list. The neighbours of a row meet in one task, so vectors travel with edges, not with pairs."""
+    both = edges.select(F.col("j").alias("mid"), F.col("i").alias("id"), "new").unionByName(edges.select(F.col("i").alias("mid"), F.col("j").alias("id"), "new")).groupBy("mid", "id").agg(F.max("new").cast("int").alias("new"))
+    # a row meets its neighbours too
+    both = both.unionByName(rows.select(F.col("id").alias("mid"), "id", F.lit(0).alias("new")))
+    kth = graph.groupBy("i").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(float("inf")).alias("far"))
+    known = rows.join(kth, F.col("id") == F.col("i"), "left").select("id", "v", F.coalesce("far", F.lit(float("inf"))).alias("far"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole(x: list[np.ndarray]) -> pa.RecordBatch:
+            mid, ids, new, far, v = x
+            starts = np.flatnonzero(np.r_[True, mid[1:] != mid[:-1]])
+            out = [[], [], []]
+            for s, e in zip(starts, np.r_[starts[1:], len(mid)]):
+                n = new[s:e].astype(bool)
+                if not n.any():
+                    continue
+                a, b = np.nonzero(np.triu(n[:, None] | n[None, :], 1))
+                d = np.round(_exact(v, v, a + s, b + s), 9)
+                near = d <= np.maximum(far[a + s], far[b + s])
+                for o, c in zip(out, (ids[a[near] + s], ids[b[near] + s], d[near])):
+                    o.append(c)
+            i, j, d = (np.concatenate(o) if o else np.zeros(0) for o in out)
+            i, j = i.astype(np.int64), j.astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(d.astype(float))], names=["i", "j", "d"])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)] + [batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)]
+            held = x if held is None else [np.concatenate(c) for c in zip(held, x)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last row's neighbours may go on in the next batch
+            if cut:
+                yield whole([c[:cut] for c in held])
+                held = [c[cut:] for c in held]
+        if held is not None:
+            yield whole(held)
+
+    met = both.join(known, "id").select("mid", "id", "new", "far", "v").repartition("mid").sortWithinPartitions("mid")
+    return met.mapInArrow(run, "i long, j long, d double").distinct().withColumn("new", F.lit(1))
+
+
 def descent_knn(df: DataFrame, k: int = 12, passes: int = 12, start_block: int = 256, tolerance: float = 0.002, reverse: int = 36) -> DataFrame:
     """Approximate neighbours: exact ones inside k-means blocks, then passes over neighbours of neighbours until few lists change.
 
@@ -391,10 +434,7 @@ def descent_knn(df: DataFrame, k: int = 12, passes: int = 12, start_block: int =
     n = rows.count()
     for _ in range(passes):
         back = F.row_number().over(Window.partitionBy("j").orderBy("d", "i"))
-        pairs = neighbour_candidates(graph.withColumn("back", back).where(F.col("back") <= reverse), "new").join(graph.select(F.col("i"), F.col("j")), ["i", "j"], "left_anti")
-        left, right = rows.select(F.col("id").alias("i"), F.col("v").alias("vi")), rows.select(F.col("id").alias("j"), F.col("v").alias("vj"))
-        d = F.round(F.sqrt(F.aggregate(F.zip_with("vi", "vj", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)), 9)
-        found = pairs.join(left, "i").join(right, "j").select("i", "j", d.alias("d"), F.lit(1).alias("new"))
+        found = _meet(graph.withColumn("back", back).where(F.col("back") <= reverse), graph, rows, k)
         merged = graph.withColumn("new", F.lit(0)).unionByName(found).unionByName(found.select(F.col("j").alias("i"), F.col("i").alias("j"), "d", "new"))
         # an edge that is known already may be found from its other end
         merged = merged.groupBy("i", "j").agg(F.min("d").alias("d"), F.min("new").alias("new"))

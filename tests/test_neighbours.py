@@ -47,3 +47,18 @@ def test_chains_of_copies_grow_with_the_rows(spark):
     df = frame(spark, np.ones((500, 4)))
     held = neighbours.chains(df, [0.1])
     assert held.count() == 499 and components.connected_components(held).agg(F.max("component").alias("m")).first().m == 0
+
+
+def test_a_pass_of_the_descent_returns_only_pairs_that_a_list_can_use(spark):
+    x = np.random.default_rng(23).normal(size=(200, 6))
+    df = frame(spark, x)
+    graph = neighbours.knn(df.withColumn("b", F.col("id") % 5), 6, block="b").select("i", "j", "d", F.lit(1).alias("new"))
+    far = {r.i: r.far for r in graph.groupBy("i").agg(F.max("d").alias("far")).collect()}
+    d = np.round(distances(x), 9)
+    around = {i: {i} for i in range(200)}
+    for r in graph.collect():
+        around[r.i].add(r.j)
+        around[r.j].add(r.i)
+    want = {(a, b) for m in around.values() for a in m for b in m if a < b and d[a, b] <= max(far[a], far[b])}
+    # two of a row's neighbours, or a row and its neighbour; a pair needs a new edge, and all are new
+    assert {(r.i, r.j) for r in neighbours._meet(graph, graph, df, 6).collect()} == want
