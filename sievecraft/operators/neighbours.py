@@ -3,8 +3,10 @@
 Rows are dealt to tiles, packed, and pairs of tiles are compared in one task. Products of
 matrices in single precision, whose error is bounded, leave few pairs of rows; their distances
 are added up in double precision. Only the k best of each row, the pairs under the threshold,
-or the chains they form leave a task. All are exact within what is compared: everything for
-one block, or rows that share a block where a blocking is given.
+or the chains they form leave a task. For the k best each tile is compared with itself first:
+what is farther than a row's k best of its own tile is of no use in the others, so one product
+serves both tiles of a pair. All are exact within what is compared: everything for one block,
+or rows that share a block where a blocking is given.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from pyspark.sql import functions as F
 from ..functions.expr import doubles
 from ..functions.storage import discard, materialize
 
-TILE = 16384
+TILE = 32768
 LEAST_TILE = 2048  # up to eight tiles are made of smaller ones, so that there are pairs for all cores
 PACK_ROWS = 65536
-ROWS, COLUMNS = 512, 4096  # of a product of matrices
+ROWS, COLUMNS = 512, 512  # of a product of matrices
+HELD = 1 << 22  # pairs whose distances are added up at once
 
 
 # --- tiles ------------------------------------------------------------------------------------
@@ -32,6 +35,21 @@ _PACKED = "__block long, tile int, tiles int, n int, id binary, v binary, p bina
 _KINDS = {"id": np.int64, "v": np.float64, "p": np.float64, "of": np.bool_, "apart": np.int64}
 
 
+def _bytes(x: np.ndarray, kind: type) -> bytes:
+    """x packed, with a first byte that tells whether doubles that single precision holds are kept in it."""
+    x = np.ascontiguousarray(x, kind)
+    if kind is np.float64:
+        with np.errstate(over="ignore", invalid="ignore"):
+            short = x.astype(np.float32)
+        if (short == x).all():
+            return b"\1" + short.tobytes()
+    return b"\0" + x.tobytes()
+
+
+def _array(x: bytes, kind: type, n: int) -> np.ndarray:
+    return np.frombuffer(x, np.float32 if x[0] else kind, offset=1).astype(kind, copy=False).reshape(n, -1)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (__block, tile, tiles, id, v, p, of, apart) -> a row for each block and tile with all its rows' values."""
     names = [c.split()[0] for c in _PACKED.split(", ")]
@@ -53,7 +71,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (tile[1:] != tile[:-1])])
         groups = np.split(order, starts[1:])
         columns = [[int(x["__block"][g[0]]) for g in groups], [int(x["tile"][g[0]]) for g in groups], [int(x["tiles"][g[0]]) for g in groups], [len(g) for g in groups]]
-        columns += [[np.ascontiguousarray(x[c][g], kind).tobytes() for g in groups] for c, kind in _KINDS.items()]
+        columns += [[_bytes(x[c][g], kind) for g in groups] for c, kind in _KINDS.items()]
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * len(_KINDS)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
@@ -71,17 +89,18 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rows_of(chunks: pd.DataFrame) -> dict[str, np.ndarray]:
     """The rows of a tile by id, from its packed pieces; in the same order in every task."""
-    n = int(chunks.n.sum())
-    x = {c: np.frombuffer(b"".join(chunks[c]), kind).reshape(n, -1) for c, kind in _KINDS.items()}
+    x = {c: np.concatenate([_array(b, kind, n) for b, n in zip(chunks[c], chunks.n)]) for c, kind in _KINDS.items()}
     x = {c: v if c in "vp" else v[:, 0] for c, v in x.items()}
+    if (x["id"][1:] > x["id"][:-1]).all():
+        return x
     order = np.argsort(x["id"], kind="stable")
-    if n and (np.diff(x["id"][order]) == 0).any():  # repeated ids
+    if (np.diff(x["id"][order]) == 0).any():  # repeated ids
         order = np.lexsort((x["apart"], x["of"], *x["v"].T[::-1], x["id"]))
     return {c: v[order] for c, v in x.items()}
 
 
-def _on_pairs(rows: DataFrame, tile: int, block: str | None, compare: Callable, schema: str) -> DataFrame:
-    """compare(block, ti, tj, rows of ti, rows of tj) yields frames, for each pair ti <= tj of tiles of a block. rows: id, v, and optionally p, of, apart and the block."""
+def _packed(rows: DataFrame, tile: int, block: str | None) -> tuple[DataFrame, int | None]:
+    """rows: id, v, and optionally p, of, apart and the block -> packed pieces of tiles, and the number of tiles where there is one block."""
     have = set(rows.columns)
     rows = rows.select(
         (F.col(block) if block else F.lit(0)).cast("long").alias("__block"), F.col("id").cast("long").alias("id"), "v", *[F.col("p") if "p" in have else F.array().cast("array<double>").alias("p")],
@@ -89,38 +108,64 @@ def _on_pairs(rows: DataFrame, tile: int, block: str | None, compare: Callable,
     )
     n = F.count(F.lit(1))
     tiles = F.greatest(F.ceil(n / tile), F.least(F.lit(8), F.ceil(n / min(tile, LEAST_TILE)))).cast("int")
-    parts = max(32, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    held = None
     if block:
         placed = rows.join(rows.groupBy("__block").agg(tiles.alias("tiles")), "__block")
     else:
-        held = rows.agg(tiles.alias("tiles")).first().tiles
-        parts = min(max(held * (held + 1) // 2, 1), 4000)
+        held = max(rows.agg(tiles.alias("tiles")).first().tiles, 1)
         placed = rows.withColumn("tiles", F.lit(held))
     placed = placed.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    packed = placed.select("__block", "tile", "tiles", *_KINDS).mapInArrow(_pack, _PACKED)
-    met = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("ti", F.least("tile", "other")).withColumn("tj", F.greatest("tile", "other")).drop("other", "tiles")
+    return placed.select("__block", "tile", "tiles", *_KINDS).mapInArrow(_pack, _PACKED), held
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(key: tuple, pieces: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            b, ti, tj = key
-            chunks = pd.concat(pieces)
-            a = _rows_of(chunks[chunks.tile == ti])
-            c = a if ti == tj else _rows_of(chunks[chunks.tile == tj])
-            yield from (f for f in compare(b, ti, tj, a, c) if len(f))
 
+def _dealt(df: DataFrame, held: int | None, *keys: str) -> DataFrame:
+    """Rows of equal keys in one partition and in a row; one task for each tile, or for each pair of tiles, of a single block."""
+    parts = max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if held is None:
+        df = df.repartition(parts, "__block", *keys)
+    elif len(keys) == 1:
+        df = df.repartitionById(min(held, 4000), F.pmod(keys[0], F.lit(min(held, 4000))))
+    else:
+        parts = min(held * (held + 1) // 2, 4000)
+        df = df.repartitionById(parts, F.pmod(F.expr("ti * bigint(2 * {0} - ti - 1) div 2 + tj".format(held)), F.lit(parts)).cast("int"))
+    return df.sortWithinPartitions("__block", *keys)
+
+
+def _with_others(packed: DataFrame) -> DataFrame:
+    """Each tile once for each tile of its block, as one of the pair ti <= tj."""
+    return packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("ti", F.least("tile", "other")).withColumn("tj", F.greatest("tile", "other"))
+
+
+def _by_key(keys: list[str], one: Callable) -> Callable:
+    """one(key, rows) yields frames for all rows of a key, which follow each other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, pieces = None, []
         for batch in batches:
-            for k, piece in batch.groupby(["__block", "ti", "tj"], sort=True):
+            for k, piece in batch.groupby(keys, sort=True):
                 if k != key and pieces:
-                    yield from one(key, pieces)
+                    yield from one(key, pd.concat(pieces))
                     pieces = []
                 key = k
                 pieces.append(piece)
         if pieces:
-            yield from one(key, pieces)
+            yield from one(key, pd.concat(pieces))
 
-    keys = ["__block", "ti", "tj"]
-    return met.repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return run
+
+
+def _on_pairs(rows: DataFrame, tile: int, block: str | None, compare: Callable, schema: str) -> DataFrame:
+    """compare(block, ti, tj, rows of ti, rows of tj) yields frames, for each pair ti <= tj of tiles of a block. rows: as for _packed()."""
+    packed, held = _packed(rows, tile, block)
+
+    def one(key: tuple, chunks: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        b, ti, tj = key
+        a = _rows_of(chunks[chunks.tile == ti])
+        c = a if ti == tj else _rows_of(chunks[chunks.tile == tj])
+        yield from (f for f in compare(b, ti, tj, a, c) if len(f))
+
+    met = _dealt(_with_others(packed).drop("other", "tiles"), held, "ti", "tj")
+    return met.mapInPandas(_by_key(["__block", "ti", "tj"], one), schema)
 
 
 # --- distances --------------------------------------------------------------------------------
@@ -128,13 +173,11 @@ def _on_pairs(rows: DataFrame, tile: int, block: str | None, compare: Callable,
 def _exact(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Distances of x[i] and y[j], added up component by component."""
     out = np.empty(len(i))
-    for k in range(0, len(i), 16384):
-        diff = x[i[k : k + 16384]] - y[j[k : k + 16384]]
+    for k in range(0, len(i), 4096):
+        diff = x[i[k : k + 4096]] - y[j[k : k + 4096]]
         diff *= diff
-        total = np.zeros(len(diff))
-        for d in range(diff.shape[1]):
-            total += diff[:, d]
-        out[k : k + 16384] = np.sqrt(total)
+        # sums along the first axis go row by row
+        out[k : k + 4096] = np.sqrt(np.add.reduce(np.ascontiguousarray(diff.T), axis=0))
     return out
 
 
@@ -153,21 +196,40 @@ class _Products:
         # each of the d + 2 terms rounds once when it is made and once when it is added; infinite values leave all pairs in
         self.slack = float((x.shape[1] + 16) * 2.0**-24 * norms * norms) if np.isfinite(norms) else np.inf
 
-    def blocks(self, rows: slice) -> Iterator[tuple[int, np.ndarray]]:
-        for k in range(0, len(self.y), COLUMNS):
-            yield k, self.x[rows] @ self.y[k : k + COLUMNS].T
+    def near(self, x_most: np.ndarray, y_most: np.ndarray | None = None, differ: tuple[np.ndarray, np.ndarray] | None = None, columns: slice = slice(None)) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """i, j, squared distance: all pairs not farther than i's entry in x_most or j's in y_most, and some more. differ: values that must not be equal; columns: those of y that are looked at."""
+        # rows of like bounds stand together, so a block needs one comparison with the greatest
+        xs = np.argsort(x_most, kind="stable")
+        ys = np.arange(len(self.y))[columns] if y_most is None else np.argsort(y_most, kind="stable")
+        x, y = self.x[xs], self.y[ys]
+        # the same memory for all products; new arrays of this size would cost as much as the product
+        held, hits = np.empty(ROWS * COLUMNS, np.float32), np.zeros(ROWS * COLUMNS, bool)
+        for k in range(0, len(x), ROWS):
+            for c in range(0, len(y), COLUMNS):
+                rows, cols = xs[k : k + ROWS], ys[c : c + COLUMNS]
+                n = len(rows) * len(cols)
+                d, hit = held[:n].reshape(len(rows), -1), hits[:n].reshape(len(rows), -1)
+                np.matmul(x[k : k + ROWS], y[c : c + COLUMNS].T, out=d)
+                if np.isfinite(self.slack):
+                    np.less_equal(d, x_most[rows[-1]] if y_most is None else max(x_most[rows[-1]], y_most[cols[-1]]), out=hit)
+                else:
+                    hit.fill(True)
+                if differ is not None:
+                    hit &= differ[0][rows, None] != differ[1][None, cols]
+                hits[n:] = False
+                at = np.flatnonzero(hits.view(np.uint64))  # eight at once, as few are set
+                at = (at[:, None] * 8 + np.arange(8))[hits.reshape(-1, 8)[at]] if len(at) * 16 < n else np.flatnonzero(hits)
+                if len(at):
+                    i, j = np.divmod(at, len(cols))
+                    yield rows[i], cols[j], held[at]
 
 
 def _close(x: np.ndarray, y: np.ndarray, most: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, float, float]]:
     """i, j, squared distance, its slack and the scale: all pairs that may be nearer than most."""
     p = _Products(x, y)
     limit = (most / p.scale) ** 2 * (1 + 1e-6) + p.slack
-    for k in range(0, len(x), ROWS):
-        for c, d in p.blocks(slice(k, k + ROWS)):
-            hit = np.flatnonzero(~(d > limit))
-            if len(hit):
-                i, j = np.divmod(hit, d.shape[1])
-                yield i + k, j + c, d.ravel()[hit], p.slack, p.scale
+    for i, j, d in p.near(np.full(len(x), limit, np.float32)):
+        yield i, j, d, p.slack, p.scale
 
 
 def _first_per_row(row: np.ndarray, k: int) -> np.ndarray:
@@ -176,86 +238,211 @@ def _first_per_row(row: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)])) < k
 
 
-def _nearest(a: dict[str, np.ndarray], b: dict[str, np.ndarray], k: int, digits: int, apart: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of a its k nearest among the eligible rows of b: ids (-1: none) and distances."""
-    n = len(a["id"])
-    ids, far = np.full((n, k), -1, np.int64), np.full((n, k), np.inf)
-    b = {c: v[b["of"]] for c, v in b.items()}
-    repeated = (np.diff(b["id"]) == 0).any()
-    if len(b["id"]) > k and not repeated:
-        # of rows alike no list holds more than the first k, besides the row itself
-        alike = np.ascontiguousarray(np.hstack([b["v"], b["apart"][:, None].astype(float)]))
-        group = np.unique(alike.view(np.dtype((np.void, alike.itemsize * alike.shape[1]))).ravel(), return_inverse=True)[1].ravel()
-        order = np.argsort(group, kind="stable")
-        kept = np.sort(order[_first_per_row(group[order], k + 1)])
-        b = {c: v[kept] for c, v in b.items()}
-    if not n or not len(b["id"]):
-        return ids, far
+def _ordered(row: np.ndarray, d: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The order by (row, d, id); ids are only sorted where distances tie."""
+    order = np.lexsort((d, row))
+    r, e = row[order], d[order]
+    tie = (r[1:] == r[:-1]) & (e[1:] == e[:-1])
+    if tie.any():
+        at = np.flatnonzero(np.r_[False, tie] | np.r_[tie, False])
+        order[at] = order[at][np.lexsort((ids[order[at]], e[at], r[at]))]
+    return order
+
+
+class _Best:
+    """The k nearest of each row of a among the rows of b, by (distance rounded to `digits`, id), as far as they are not beyond the row's bound."""
+
+    def __init__(self, a: dict[str, np.ndarray], b: dict[str, np.ndarray], k: int, digits: int, bound: np.ndarray | None = None):
+        self.a, self.b, self.k, self.digits = a, b, k, digits
+        self.bound = np.full(len(a["id"]), np.inf) if bound is None else bound.copy()
+        self.i, self.j, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.new, self.n = [], 0
+
+    def most(self, p: _Products) -> np.ndarray:
+        """Squared distances as p has them, beyond which pairs are of no use."""
+        with np.errstate(over="ignore"):
+            return (((self.bound + 10.0**-self.digits) / p.scale) ** 2 * (1 + 1e-6) + p.slack).astype(np.float32)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.new.append((i, j))
+        self.n += len(i)
+        if self.n > HELD:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.n:
+            return
+        i, j = (np.concatenate(x) for x in zip(*self.new))
+        self.new, self.n = [], 0
+        other = self.a["id"][i] != self.b["id"][j]
+        i, j = i[other], j[other]
+        d = np.round(_exact(self.a["v"], self.b["v"], i, j), self.digits)
+        near = np.isfinite(d) & (d <= self.bound[i])
+        i, j, d = (np.concatenate(x) for x in ((self.i, i[near]), (self.j, j[near]), (self.d, d[near])))
+        order = _ordered(i, d, self.b["id"][j])
+        order = order[_first_per_row(i[order], self.k)]
+        self.i, self.j, self.d = i[order], j[order], d[order]
+        full = np.flatnonzero(np.bincount(self.i, minlength=len(self.bound)) == self.k)
+        self.bound[full] = np.minimum(self.bound[full], self.d[np.searchsorted(self.i, full, "right") - 1])
+
+
+def _others(x: dict[str, np.ndarray], k: int) -> np.ndarray:
+    """Places of the rows that can stand in lists of k: of eligible rows alike no list holds more than the first k, besides the row itself."""
+    of = np.flatnonzero(x["of"])
+    if len(of) <= k or (np.diff(x["id"][of]) == 0).any():
+        return of
+    alike = np.ascontiguousarray(np.hstack([x["v"][of], x["apart"][of, None].astype(float)]))
+    group = np.unique(alike.view(np.dtype((np.void, alike.itemsize * alike.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+    order = np.argsort(group, kind="stable")
+    return of[np.sort(order[_first_per_row(group[order], k + 1)])]
+
+
+def _nearest(a: dict[str, np.ndarray], b: dict[str, np.ndarray], k: int, digits: int, apart: bool, bound: np.ndarray | None = None) -> _Best:
+    """Lists of the rows of a. Without bounds, the first columns give some, and four times as many better ones for the rest."""
+    best = _Best(a, b, k, digits, bound)
+    if not len(a["id"]) or not len(b["id"]):
+        return best
     p = _Products(a["v"], b["v"])
-    step = 10.0**-digits / p.scale  # distances this near may be equal once rounded
-    slack = 2 * p.slack + 8 * step + step * step
-    own = np.searchsorted(b["id"], a["id"]).clip(0, len(b["id"]) - 1)
-    own[b["id"][own] != a["id"]] = -1
-    for at in range(0, n, ROWS):
-        rows = slice(at, min(at + ROWS, n))
-        hits, bound = [], None
-        for c, d in p.blocks(rows):
-            if repeated:
-                d[a["id"][rows, None] == b["id"][None, c : c + COLUMNS]] = np.inf
-            else:
-                mine = np.flatnonzero((own[rows] >= c) & (own[rows] < c + d.shape[1]))
-                d[mine, own[rows][mine] - c] = np.inf
-            if apart:
-                d[a["apart"][rows, None] == b["apart"][None, c : c + COLUMNS]] = np.inf
-            if bound is None and len(p.y) > k and d.shape[1] > k:
-                bound = np.partition(d[:, : max(2 * k, COLUMNS // 2)], k - 1, axis=1)[:, k - 1] + np.float32(slack)
-            hit = np.flatnonzero(~(d > bound[:, None])) if bound is not None else np.arange(d.size)
-            i, j = np.divmod(hit, d.shape[1])
-            hits.append((i, j + c, d.ravel()[hit]))
-        i, j, d = (np.concatenate(h) for h in zip(*hits))
-        order = np.lexsort((d, i))
-        i, j, d = i[order], j[order], d[order]
-        first, kth = _first_per_row(i, k), np.full(rows.stop - rows.start, -np.inf)
-        np.maximum.at(kth, i[first], d[first])
-        kth[np.bincount(i, minlength=len(kth)) < k] = np.inf
-        keep = ~(d > kth[i] + slack)
-        i, j = i[keep], j[keep]
-        exact = np.round(_exact(a["v"], b["v"], i + at, j), digits)
-        mine = b["id"][j] == a["id"][i + at]
-        exact[mine | (b["apart"][j] == a["apart"][i + at]) if apart else mine] = np.inf
-        keep = np.isfinite(exact)
-        i, j, exact = i[keep], j[keep], exact[keep]
-        order = np.lexsort((b["id"][j], exact, i))
-        i, j, exact = i[order], j[order], exact[order]
-        first = _first_per_row(i, k)
-        i, j, exact = i[first], j[first], exact[first]
-        place = np.arange(len(i)) - np.searchsorted(i, i)
-        ids[i + at, place], far[i + at, place] = b["id"][j], exact
-    return ids, far
+    differ = (a["apart"], b["apart"]) if apart else None
+    done, width = 0, len(b["id"])
+    if bound is None:
+        width = min(max(2 * COLUMNS, 8 * k, width // 8), width)
+        if width > k and np.isfinite(p.slack):
+            # the k-th of the first columns, besides the row itself
+            for at in range(0, len(a["id"]), ROWS):
+                d = p.x[at : at + ROWS] @ p.y[:width].T
+                for c in ("id", "apart") if apart else ("id",) if (np.diff(b["id"]) == 0).any() else ():
+                    d[a[c][at : at + ROWS, None] == b[c][None, :width]] = np.inf
+                kth = np.maximum(np.partition(d, k, axis=1)[:, k].astype(float) + p.slack, 0)
+                best.bound[at : at + ROWS] = np.sqrt(kth) * p.scale * (1 + 1e-6) + 10.0**-digits
+        width *= 4
+    while done < len(b["id"]):
+        last = min(done + width, len(b["id"]))
+        most = best.most(p)
+        for i, j, d in p.near(most, None, differ, slice(done, last)):
+            keep = ~(d > most[i])
+            best.add(i[keep], j[keep])
+        best.settle()
+        done, width = last, len(b["id"])
+    return best
+
+
+def _nearest_both(a: dict[str, np.ndarray], b: dict[str, np.ndarray], k: int, digits: int, apart: bool, bounds: tuple[np.ndarray, np.ndarray]) -> tuple[_Best, _Best]:
+    """Lists of the rows of a among those of b and the other way round, by one product."""
+    best, back = _Best(a, b, k, digits, bounds[0]), _Best(b, a, k, digits, bounds[1])
+    if not len(a["id"]) or not len(b["id"]):
+        return best, back
+    p = _Products(a["v"], b["v"])
+    x_most, y_most = best.most(p), back.most(p)
+    for i, j, d in p.near(x_most, y_most, (a["apart"], b["apart"]) if apart else None):
+        one, two = ~(d > x_most[i]), ~(d > y_most[j])
+        best.add(i[one], j[one])
+        back.add(j[two], i[two])
+    best.settle()
+    back.settle()
+    return best, back
+
+
+_LISTS = "__block long, tile int, id binary, at binary, j binary, d binary"
+
+
+def _as_lists(block: int, tile: int, best: _Best, others: np.ndarray, ids: np.ndarray | None = None) -> pd.DataFrame:
+    return pd.DataFrame({"__block": [block], "tile": [tile], "id": [None if ids is None else ids.tobytes()], "at": [best.i.astype(np.int32).tobytes()], "j": [others[best.j].tobytes()], "d": [best.d.tobytes()]})
+
+
+def _merge_lists(k: int) -> Callable:
+    """Lists of a tile's rows -> i, j, d, rank; beside the k best of each row a task holds one batch of lists."""
+
+    def best(at: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = _ordered(at, d, j)
+        order = order[_first_per_row(at[order], k)]
+        return at[order], j[order], d[order]
+
+    def out(held: tuple[np.ndarray, ...], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j, d = ids[held[0]], held[1], held[2]
+        if (np.diff(ids) == 0).any():  # repeated ids share a list
+            i, j, d = best(i, j, d)
+        rank = np.arange(len(i)) - np.searchsorted(i, i) + 1 if len(i) else i
+        for s in range(0, len(i), PACK_ROWS):
+            cut = slice(s, s + PACK_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(i[cut]), pa.array(j[cut]), pa.array(d[cut]), pa.array(rank[cut].astype(np.int32))], names=["i", "j", "d", "rank"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, held, new, n, kth = None, None, None, [], 0, None
+
+        def settle() -> None:
+            nonlocal held, new, n, kth
+            held, new, n = best(*(np.concatenate(x) for x in zip(held, *new))), [], 0
+            size = int(held[0].max(initial=-1)) + 1
+            full = np.flatnonzero(np.bincount(held[0], minlength=size) == k)
+            kth = np.full(size, np.inf)
+            kth[full] = held[2][np.searchsorted(held[0], full, "right") - 1]
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block, tile, own, at, j, d = (batch.column(c)[r].as_py() for c in range(6))
+                if key != (block, tile):
+                    if key is not None:
+                        settle()
+                        yield from out(held, ids)
+                    key, ids, held, new, n, kth = (block, tile), None, (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0)), [], 0, None
+                ids = np.frombuffer(own, np.int64) if own is not None else ids
+                x = np.frombuffer(at, np.int32), np.frombuffer(j, np.int64), np.frombuffer(d)
+                if kth is not None:
+                    known = x[0] < len(kth)
+                    use = ~known
+                    use[known] = x[2][known] <= kth[x[0][known]]
+                    x = tuple(c[use] for c in x)
+                new.append(x)
+                n += len(x[0])
+                if n > 2 * len(held[0]):
+                    settle()
+        if key is not None:
+            settle()
+            yield from out(held, ids)
+
+    return run
 
 
 def knn(df: DataFrame, k: int = 12, tile: int = TILE, digits: int = 9, block: str | None = None, of: str | None = None, apart: str | None = None) -> DataFrame:
     """df: id, v. i, j, d, rank: each row's k nearest others by (distance rounded to `digits`, id). of: a boolean column that the others must have set; apart: an integer column in which they must differ."""
     rows = df.select("id", doubles("v").alias("v"), *([F.col(of).alias("of")] if of else []), *([F.col(apart).cast("long").alias("apart")] if apart else []), *([block] if block else []))
-
-    def compare(b: int, ti: int, tj: int, x: dict, y: dict) -> Iterator[pd.DataFrame]:
-        for mine, left, right in [(ti, x, y), (tj, y, x)][: 1 if ti == tj else 2]:
-            ids, far = _nearest(left, right, k, digits, apart is not None)
-            yield pd.DataFrame({"__block": [b], "tile": [mine], "i": [left["id"].tobytes()], "j": [ids.tobytes()], "d": [far.tobytes()]})
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        i = np.frombuffer(pdf.i.iloc[0], np.int64)
-        j, d = (np.hstack([np.frombuffer(x, kind).reshape(len(i), k) for x in column]) for column, kind in ((pdf.j, np.int64), (pdf.d, np.float64)))
-        order = np.lexsort((j, d), axis=1)[:, :k]
-        j, d = np.take_along_axis(j, order, 1), np.take_along_axis(d, order, 1)
-        ok = np.isfinite(d)
-        return pd.DataFrame({"i": np.repeat(i, ok.sum(1)), "j": j[ok], "d": d[ok]})
-
-    lists = _on_pairs(rows, tile, block, compare, "__block long, tile int, i binary, j binary, d binary")
-    found = lists.groupBy("__block", "tile").applyInPandas(merge, "i long, j long, d double")
-    found = found.distinct() if block else found
+    packed, held = _packed(rows, tile, block)
+    differ = apart is not None
+    take = lambda x, places: {c: v[places] for c, v in x.items()}
+
+    def alone(key: tuple, chunks: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        x = _rows_of(chunks)
+        others = _others(x, k)
+        best = _nearest(x, take(x, others), k, digits, differ)
+        lists = _as_lists(*key, best, x["id"][others], x["id"])
+        # bounds of rows with full lists only
+        bound = np.where(np.bincount(best.i, minlength=len(x["id"])) == k, best.bound, np.inf)
+        packs = {c: [_bytes(x[c], kind)] for c, kind in _KINDS.items()}
+        yield lists.assign(tiles=int(chunks.tiles.iloc[0]), n=len(x["id"]), own=lists.id, **packs, can=others.astype(np.int32).tobytes(), bound=bound.tobytes())
+
+    def together(key: tuple, chunks: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        b, ti, tj = key
+        if ti == tj:
+            yield chunks[["__block", "tile", "own", "at", "j", "d"]].rename(columns={"own": "id"})
+            return
+        (x, cx, bx), (y, cy, by) = ((_rows_of(c), np.frombuffer(c.can.iloc[0], np.int32), np.frombuffer(c.bound.iloc[0])) for c in (chunks[chunks.tile == t] for t in (ti, tj)))
+        if len(cx) == len(x["id"]) and len(cy) == len(y["id"]):
+            best, back = _nearest_both(x, y, k, digits, differ, (bx, by))
+        else:
+            best, back = _nearest(x, take(y, cy), k, digits, differ, bx), _nearest(y, take(x, cx), k, digits, differ, by)
+        yield _as_lists(b, ti, best, y["id"][cy])
+        yield _as_lists(b, tj, back, x["id"][cx])
+
+    first = _dealt(packed, held, "tile").mapInPandas(_by_key(["__block", "tile"], alone), f"{_PACKED}, own binary, at binary, j binary, d binary, can binary, bound binary")
+    met = _with_others(first)
+    met = met.select("__block", "tile", "ti", "tj", "n", *_KINDS, "can", "bound", *[F.when(F.col("ti") == F.col("tj"), F.col(c)).alias(c) for c in ("own", "at", "j", "d")])
+    lists = _dealt(met, held, "ti", "tj").mapInPandas(_by_key(["__block", "ti", "tj"], together), _LISTS)
+    found = _dealt(lists, held, "tile").mapInArrow(_merge_lists(k), "i long, j long, d double, rank int")
+    if block is None:
+        return found
     rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.select("i", "j", "d").distinct().withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def near_links(df: DataFrame, most: float, blocks: str | None = None, tile: int = TILE, scale: float = 1.0, weights: tuple[float, float] = (1.0, 0.0), params: str | None = None, param_scale: float = 1.0, ranges: list[float] | None = None) -> DataFrame:
@@ -460,26 +647,40 @@ def purity(graph: DataFrame, labels: DataFrame) -> DataFrame:
     return graph.join(own, "i").join(other, "j").agg((F.count_if(F.col("li") == F.col("lj")) / F.count(F.lit(1))).alias("purity"))
 
 
+def _weights(d: np.ndarray) -> np.ndarray:
+    """Memberships of lists of one length, a row each: 1 up to the least positive distance rho, then exp(-(d - rho) / sigma), with the sigma that makes their sum log2 of the length."""
+    n, k = d.shape
+    if not k:
+        return d
+    rho = np.where((d > 0) & np.isfinite(d), d, np.inf).min(1)
+    off = d - np.where(np.isfinite(rho), rho, 0.0)[:, None]
+    lo, hi, sigma, w = np.zeros(n), np.full(n, np.inf), np.ones(n), np.ones((n, k))
+    left = np.arange(n)
+    for _ in range(64):
+        x = off[left]
+        w[left] = np.where(x <= 0, 1.0, np.exp(-np.maximum(x, 0) / sigma[left, None]))
+        gap = w[left].sum(1) - np.log2(max(k, 1))
+        go = np.abs(gap) >= 1e-5
+        left, over = left[go], gap[go] > 0
+        if not len(left):
+            break
+        lo[left], hi[left] = np.where(over, lo[left], sigma[left]), np.where(over, sigma[left], hi[left])
+        sigma[left] = np.where(np.isfinite(hi[left]), (lo[left] + np.where(np.isfinite(hi[left]), hi[left], 0)) / 2, sigma[left] * 2)
+    return w
+
+
 def memberships(graph: DataFrame) -> DataFrame:
     """i, j, w: fuzzy memberships of neighbour lists, whose sum per row is log2 of their length (by bisection)."""
     lists = graph.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("d", "j"))).alias("near"))  # k entries each
 
     @F.pandas_udf("array<double>")
     def weigh(near: pd.Series) -> pd.Series:
-        out = []
-        for d in near:
-            d = np.asarray(d, float)
-            positive = d[(d > 0) & np.isfinite(d)]
-            rho, want = (positive.min() if len(positive) else 0.0), np.log2(max(len(d), 1))
-            lo, hi, sigma = 0.0, np.inf, 1.0
-            for _ in range(64):
-                w = np.where(d <= rho, 1.0, np.exp(-(d - rho) / sigma))
-                gap = w.sum() - want
-                if abs(gap) < 1e-5:
-                    break
-                lo, hi = (lo, sigma) if gap > 0 else (sigma, hi)
-                sigma = (lo + hi) / 2 if np.isfinite(hi) else sigma * 2
-            out.append(w)
+        out = np.empty(len(near), object)
+        sizes = near.map(len).to_numpy()
+        for n in np.unique(sizes):  # lists of a length together
+            of = np.flatnonzero(sizes == n)
+            d = np.array([*near.iloc[of]], float).reshape(len(of), n)
+            out[of] = [*_weights(d)]
         return pd.Series(out)
 
     weighed = lists.select("i", "near", weigh(F.transform("near", lambda e: e["d"])).alias("w"))
