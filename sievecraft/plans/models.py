@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs, expr
@@ -260,36 +260,38 @@ def layout_sgd(spark: SparkSession, sf: str) -> DataFrame:
 _NEAR = f"{_KNN}, n AS (SELECT i AS target, j AS id, d, rank, label, v, 1.0 / (d * d + 1e-6) AS w FROM k JOIN e ON j = e.id WHERE rank <= 24)"
 
 
-def _near(spark: SparkSession, sf: str) -> DataFrame:
+def _near(spark: SparkSession, sf: str, k: int, *columns: Column | str) -> DataFrame:
+    """Each row's k nearest with columns of theirs; no others travel."""
     rows = _rows(spark, sf)
-    near = neighbours.knn(rows, 24).join(rows.select(F.col("id").alias("j"), "label", "v"), "j")
-    return near.select(F.col("i").alias("target"), F.col("j").alias("id"), "d", "rank", "label", "v", blend.inverse_square(F.col("d")).alias("w"))
+    held = rows.select(F.col("id").alias("j"), *columns)
+    near = neighbours.knn(rows, k).join(held, "j")
+    return near.select(F.col("i").alias("target"), F.col("j").alias("id"), "d", "rank", *held.columns[1:], blend.inverse_square(F.col("d")).alias("w"))
 
 
 @query(f"""{_NEAR}, t AS (SELECT target, label, round(sum(w), 9) AS total FROM n GROUP BY 1, 2)
     SELECT target, label, round(total, 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY total DESC, label) AS rn FROM t) WHERE rn = 1""")
 def weighted_vote(spark: SparkSession, sf: str) -> DataFrame:
-    return blend.weighted_vote(_near(spark, sf), "target", "label").select("target", "label", F.round("total", 6).alias("total"))
+    return blend.weighted_vote(_near(spark, sf, 24, "label"), "target", "label").select("target", "label", F.round("total", 6).alias("total"))
 
 
 @query(f"""{_NEAR}, u AS (SELECT target, w, unnest(range(0, 64)) AS pos, unnest(v) AS x FROM n WHERE rank <= 8)
     SELECT target, CAST(pos AS INTEGER) AS pos, round(sum(x * w) / sum(w), 6) + 0.0 AS value FROM u GROUP BY 1, 2""")
 def weighted_mean_params(spark: SparkSession, sf: str) -> DataFrame:
-    return blend.weighted_means(_near(spark, sf).where("rank <= 8"), "target", digits=6).withColumn("value", F.col("value") + 0.0)
+    return blend.weighted_means(_near(spark, sf, 8, "v"), "target", digits=6).withColumn("value", F.col("value") + 0.0)
 
 
 @query(f"""{_NEAR}, q AS (SELECT target, CAST(floor(v[1] * 10) AS INTEGER) AS a, CAST(floor(v[2] * 10) AS INTEGER) AS b, w FROM n WHERE rank <= 8),
     t AS (SELECT target, a, b, round(sum(w), 9) AS total FROM q GROUP BY 1, 2, 3)
     SELECT target, a, b, round(total, 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY total DESC, a, b) AS rn FROM t) WHERE rn = 1""")
 def donor_vote(spark: SparkSession, sf: str) -> DataFrame:
-    q = _near(spark, sf).where("rank <= 8").select("target", F.floor(F.col("v")[0] * 10).cast("int").alias("a"), F.floor(F.col("v")[1] * 10).cast("int").alias("b"), "w")
+    q = _near(spark, sf, 8, *[F.floor(F.col("v")[k] * 10).cast("int").alias(c) for k, c in enumerate("ab")])
     return blend.donors(q, "target", ["a", "b"]).select("target", "a", "b", F.round("total", 6).alias("total"))
 
 
 @query()
 def interpolate_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    near = _near(spark, sf).withColumn("v", F.transform("v", lambda x: F.floor((x + 1) * 50).cast("double")))
-    return blend.interpolate(near, "label")
+    params = _rows(spark, sf).select("id", F.transform("v", lambda x: F.floor((x + 1) * 50).cast("double")).alias("v"))
+    return blend.interpolate(_near(spark, sf, 24, "label"), "label", vectors=params)
 
 
 _TIME = "yyyy-MM-dd HH:mm:ss"
