@@ -24,9 +24,10 @@ from ..functions.storage import discard, materialize
 
 TILE = 32768
 LEAST_TILE = 2048  # up to eight tiles are made of smaller ones, so that there are pairs for all cores
+LEAST_BLOCK_TILE = 8192  # the same within a block, as blocks are compared beside each other
 PACK_ROWS = 65536
 ROWS, COLUMNS = 512, 512  # of a product of matrices
-HELD = 1 << 22  # pairs whose distances are added up at once
+HELD = 1 << 21  # pairs whose distances are added up at once
 
 
 # --- tiles ------------------------------------------------------------------------------------
@@ -107,7 +108,7 @@ def _packed(rows: DataFrame, tile: int, block: str | None) -> tuple[DataFrame, i
         (F.coalesce("of", F.lit(False)) if "of" in have else F.lit(True)).alias("of"), (F.col("apart") if "apart" in have else F.lit(-1)).cast("long").alias("apart"),
     )
     n = F.count(F.lit(1))
-    tiles = F.greatest(F.ceil(n / tile), F.least(F.lit(8), F.ceil(n / min(tile, LEAST_TILE)))).cast("int")
+    tiles = F.greatest(F.ceil(n / tile), F.least(F.lit(8), F.ceil(n / min(tile, LEAST_BLOCK_TILE if block else LEAST_TILE)))).cast("int")
     held = None
     if block:
         placed = rows.join(rows.groupBy("__block").agg(tiles.alias("tiles")), "__block")
@@ -181,6 +182,37 @@ def _exact(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nda
     return out
 
 
+def _quick(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of x[i] and y[j], whose sums are added up in any order: off by no more than _slip() of theirs."""
+    out, n = np.empty(len(i)), min(1024, len(i))
+    p, q = np.empty((n, x.shape[1])), np.empty((n, x.shape[1]))
+    for k in range(0, len(i), 1024):
+        a, b = i[k : k + 1024], j[k : k + 1024]
+        diff, other = p[: len(a)], q[: len(a)]
+        np.take(x, a, axis=0, out=diff, mode="clip")
+        np.take(y, b, axis=0, out=other, mode="clip")
+        diff -= other
+        np.einsum("ij,ij->i", diff, diff, out=out[k : k + 1024])
+    return np.sqrt(out, out=out)
+
+
+def _slip(x: np.ndarray) -> float:
+    """Two orders of adding as many squares as x has columns differ by a smaller share."""
+    return (x.shape[1] + 8) * 2.0**-52
+
+
+def _rounded(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, digits: int) -> np.ndarray:
+    """_exact() rounded to digits; component by component only where another order could round to another value."""
+    d = _quick(x, y, i, j)
+    with np.errstate(over="ignore", invalid="ignore"):
+        at = d * 10.0**digits
+        unsure = np.flatnonzero(~(np.abs(at - np.floor(at) - 0.5) > at * (2 * _slip(x))))
+    d = np.round(d, digits)
+    if len(unsure):
+        d[unsure] = np.round(_exact(x, y, i[unsure], j[unsure]), digits)
+    return d
+
+
 class _Products:
     """Squared distances of x and y in single precision, divided by scale ** 2, and off by no more than slack."""
 
@@ -196,16 +228,16 @@ class _Products:
         # each of the d + 2 terms rounds once when it is made and once when it is added; infinite values leave all pairs in
         self.slack = float((x.shape[1] + 16) * 2.0**-24 * norms * norms) if np.isfinite(norms) else np.inf
 
-    def near(self, x_most: np.ndarray, y_most: np.ndarray | None = None, differ: tuple[np.ndarray, np.ndarray] | None = None, columns: slice = slice(None)) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """i, j, squared distance: all pairs not farther than i's entry in x_most or j's in y_most, and some more. differ: values that must not be equal; columns: those of y that are looked at."""
+    def near(self, x_most: np.ndarray, y_most: np.ndarray | None = None, differ: tuple[np.ndarray, np.ndarray] | None = None, half: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """i, j, squared distance: all pairs not farther than i's entry in x_most or j's in y_most, and some more. differ: values that must not be equal; half: x and y are the same rows with the same entries, and a pair is given one way only."""
         # rows of like bounds stand together, so a block needs one comparison with the greatest
-        xs = np.argsort(x_most, kind="stable")
-        ys = np.arange(len(self.y))[columns] if y_most is None else np.argsort(y_most, kind="stable")
+        xs = np.argsort(x_most, kind="stable").astype(np.int32)
+        ys = np.arange(len(self.y), dtype=np.int32) if y_most is None else np.argsort(y_most, kind="stable").astype(np.int32)
         x, y = self.x[xs], self.y[ys]
         # the same memory for all products; new arrays of this size would cost as much as the product
         held, hits = np.empty(ROWS * COLUMNS, np.float32), np.zeros(ROWS * COLUMNS, bool)
         for k in range(0, len(x), ROWS):
-            for c in range(0, len(y), COLUMNS):
+            for c in range(k if half else 0, len(y), COLUMNS):
                 rows, cols = xs[k : k + ROWS], ys[c : c + COLUMNS]
                 n = len(rows) * len(cols)
                 d, hit = held[:n].reshape(len(rows), -1), hits[:n].reshape(len(rows), -1)
@@ -216,19 +248,21 @@ class _Products:
                     hit.fill(True)
                 if differ is not None:
                     hit &= differ[0][rows, None] != differ[1][None, cols]
+                if half and c == k:
+                    hit &= np.arange(len(rows))[:, None] < np.arange(len(cols))
                 hits[n:] = False
-                at = np.flatnonzero(hits.view(np.uint64))  # eight at once, as few are set
+                at = np.flatnonzero(hits.view(np.uint64) != 0)  # eight at once, as few are set
                 at = (at[:, None] * 8 + np.arange(8))[hits.reshape(-1, 8)[at]] if len(at) * 16 < n else np.flatnonzero(hits)
                 if len(at):
                     i, j = np.divmod(at, len(cols))
                     yield rows[i], cols[j], held[at]
 
 
-def _close(x: np.ndarray, y: np.ndarray, most: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, float, float]]:
-    """i, j, squared distance, its slack and the scale: all pairs that may be nearer than most."""
+def _close(x: np.ndarray, y: np.ndarray, most: float, half: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, float, float]]:
+    """i, j, squared distance, its slack and the scale: all pairs that may be nearer than most. half: x and y are the same rows, and a pair is given one way only."""
     p = _Products(x, y)
     limit = (most / p.scale) ** 2 * (1 + 1e-6) + p.slack
-    for i, j, d in p.near(np.full(len(x), limit, np.float32)):
+    for i, j, d in p.near(np.full(len(x), limit, np.float32), half=half):
         yield i, j, d, p.slack, p.scale
 
 
@@ -240,7 +274,11 @@ def _first_per_row(row: np.ndarray, k: int) -> np.ndarray:
 
 def _ordered(row: np.ndarray, d: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The order by (row, d, id); ids are only sorted where distances tie."""
-    order = np.lexsort((d, row))
+    if len(row) and 0 <= row.min() and row.max() < 1 << 16:
+        order = np.argsort(d)
+        order = order[np.argsort(row[order].astype(np.uint16), kind="stable")]  # by counting
+    else:
+        order = np.lexsort((d, row))
     r, e = row[order], d[order]
     tie = (r[1:] == r[:-1]) & (e[1:] == e[:-1])
     if tie.any():
@@ -263,20 +301,35 @@ class _Best:
         with np.errstate(over="ignore"):
             return (((self.bound + 10.0**-self.digits) / p.scale) ** 2 * (1 + 1e-6) + p.slack).astype(np.float32)
 
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        self.new.append((i, j))
+    def add(self, i: np.ndarray, j: np.ndarray, d: np.ndarray, p: _Products) -> None:
+        """d: squared distances as p has them."""
+        self.new.append((i, j, d))
         self.n += len(i)
         if self.n > HELD:
-            self.settle()
-
-    def settle(self) -> None:
+            self.settle(p)
+
+    def _tighten(self, i: np.ndarray, d: np.ndarray, p: _Products) -> None:
+        """Bounds from each row's k-th of the squared distances d, as p has them."""
+        # distances are ordered as the integers that have their bits
+        key = np.sort((i.astype(np.uint64) << np.uint64(32)) | np.maximum(d, 0).astype(np.float32).view(np.uint32))
+        row = (key >> np.uint64(32)).astype(np.int64)
+        last = np.searchsorted(row, np.arange(len(self.bound)), "left") + self.k - 1
+        full = np.flatnonzero(last < np.searchsorted(row, np.arange(len(self.bound)), "right"))
+        kth = (key[last[full]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.float32).astype(float) + p.slack
+        self.bound[full] = np.minimum(self.bound[full], np.sqrt(kth) * p.scale * (1 + 1e-6) + 10.0**-self.digits)
+
+    def settle(self, p: _Products) -> None:
         if not self.n:
             return
-        i, j = (np.concatenate(x) for x in zip(*self.new))
+        i, j, d = (np.concatenate(x) for x in zip(*self.new))
         self.new, self.n = [], 0
-        other = self.a["id"][i] != self.b["id"][j]
-        i, j = i[other], j[other]
-        d = np.round(_exact(self.a["v"], self.b["v"], i, j), self.digits)
+        other = np.flatnonzero(self.a["id"][i] != self.b["id"][j])
+        i, j, d = i[other], j[other], d[other]
+        if np.isfinite(p.slack) and len(i) > 2 * self.k * len(self.bound):
+            self._tighten(i, d, p)
+            near = np.flatnonzero(d <= self.most(p)[i])
+            i, j = i[near], j[near]
+        d = _rounded(self.a["v"], self.b["v"], i, j, self.digits)
         near = np.isfinite(d) & (d <= self.bound[i])
         i, j, d = (np.concatenate(x) for x in ((self.i, i[near]), (self.j, j[near]), (self.d, d[near])))
         order = _ordered(i, d, self.b["id"][j])
@@ -298,15 +351,14 @@ def _others(x: dict[str, np.ndarray], k: int) -> np.ndarray:
 
 
 def _nearest(a: dict[str, np.ndarray], b: dict[str, np.ndarray], k: int, digits: int, apart: bool, bound: np.ndarray | None = None) -> _Best:
-    """Lists of the rows of a. Without bounds, the first columns give some, and four times as many better ones for the rest."""
+    """Lists of the rows of a. Without bounds, the first columns give some; where a and b are the same rows, one product serves both ends of a pair."""
     best = _Best(a, b, k, digits, bound)
     if not len(a["id"]) or not len(b["id"]):
         return best
     p = _Products(a["v"], b["v"])
     differ = (a["apart"], b["apart"]) if apart else None
-    done, width = 0, len(b["id"])
     if bound is None:
-        width = min(max(2 * COLUMNS, 8 * k, width // 8), width)
+        width = min(max(2 * COLUMNS, 8 * k, len(b["id"]) // 8), len(b["id"]))
         if width > k and np.isfinite(p.slack):
             # the k-th of the first columns, besides the row itself
             for at in range(0, len(a["id"]), ROWS):
@@ -315,15 +367,17 @@ def _nearest(a: dict[str, np.ndarray], b: dict[str, np.ndarray], k: int, digits:
                     d[a[c][at : at + ROWS, None] == b[c][None, :width]] = np.inf
                 kth = np.maximum(np.partition(d, k, axis=1)[:, k].astype(float) + p.slack, 0)
                 best.bound[at : at + ROWS] = np.sqrt(kth) * p.scale * (1 + 1e-6) + 10.0**-digits
-        width *= 4
-    while done < len(b["id"]):
-        last = min(done + width, len(b["id"]))
-        most = best.most(p)
-        for i, j, d in p.near(most, None, differ, slice(done, last)):
-            keep = ~(d > most[i])
-            best.add(i[keep], j[keep])
-        best.settle()
-        done, width = last, len(b["id"])
+    most = best.most(p)
+    if a is b:
+        for i, j, d in p.near(most, most, differ, half=True):
+            one, two = np.flatnonzero(~(d > most[i])), np.flatnonzero(~(d > most[j]))
+            best.add(i[one], j[one], d[one], p)
+            best.add(j[two], i[two], d[two], p)
+    else:
+        for i, j, d in p.near(most, None, differ):
+            keep = np.flatnonzero(~(d > most[i]))
+            best.add(i[keep], j[keep], d[keep], p)
+    best.settle(p)
     return best
 
 
@@ -335,11 +389,11 @@ def _nearest_both(a: dict[str, np.ndarray], b: dict[str, np.ndarray], k: int, di
     p = _Products(a["v"], b["v"])
     x_most, y_most = best.most(p), back.most(p)
     for i, j, d in p.near(x_most, y_most, (a["apart"], b["apart"]) if apart else None):
-        one, two = ~(d > x_most[i]), ~(d > y_most[j])
-        best.add(i[one], j[one])
-        back.add(j[two], i[two])
-    best.settle()
-    back.settle()
+        one, two = np.flatnonzero(~(d > x_most[i])), np.flatnonzero(~(d > y_most[j]))
+        best.add(i[one], j[one], d[one], p)
+        back.add(j[two], i[two], d[two], p)
+    best.settle(p)
+    back.settle(p)
     return best, back
 
 
@@ -350,8 +404,8 @@ def _as_lists(block: int, tile: int, best: _Best, others: np.ndarray, ids: np.nd
     return pd.DataFrame({"__block": [block], "tile": [tile], "id": [None if ids is None else ids.tobytes()], "at": [best.i.astype(np.int32).tobytes()], "j": [others[best.j].tobytes()], "d": [best.d.tobytes()]})
 
 
-def _merge_lists(k: int) -> Callable:
-    """Lists of a tile's rows -> i, j, d, rank; beside the k best of each row a task holds one batch of lists."""
+def _merge_lists(k: int, far: bool = False) -> Callable:
+    """Lists of a tile's rows -> i, j, d, rank, and far (the row's last distance) if asked for; beside the k best of each row a task holds one batch of lists."""
 
     def best(at: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
         order = _ordered(at, d, j)
@@ -365,7 +419,8 @@ def _merge_lists(k: int) -> Callable:
         rank = np.arange(len(i)) - np.searchsorted(i, i) + 1 if len(i) else i
         for s in range(0, len(i), PACK_ROWS):
             cut = slice(s, s + PACK_ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array(i[cut]), pa.array(j[cut]), pa.array(d[cut]), pa.array(rank[cut].astype(np.int32))], names=["i", "j", "d", "rank"])
+            last = [d[np.searchsorted(i, i[cut], "right") - 1]] if far else []
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (i[cut], j[cut], d[cut], rank[cut].astype(np.int32), *last)], names=["i", "j", "d", "rank", "far"][: 4 + far])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, held, new, n, kth = None, None, None, [], 0, None
@@ -404,8 +459,10 @@ def _merge_lists(k: int) -> Callable:
     return run
 
 
-def knn(df: DataFrame, k: int = 12, tile: int = TILE, digits: int = 9, block: str | None = None, of: str | None = None, apart: str | None = None) -> DataFrame:
-    """df: id, v. i, j, d, rank: each row's k nearest others by (distance rounded to `digits`, id). of: a boolean column that the others must have set; apart: an integer column in which they must differ."""
+def knn(df: DataFrame, k: int = 12, tile: int = TILE, digits: int = 9, block: str | None = None, of: str | None = None, apart: str | None = None, far: bool = False) -> DataFrame:
+    """df: id, v. i, j, d, rank: each row's k nearest others by (distance rounded to `digits`, id). of: a boolean column that the others must have set; apart: an integer column in which they must differ; far: adds the last distance of the row's list (without blocks)."""
+    if far and block:
+        raise ValueError("far is not known within blocks")
     rows = df.select("id", doubles("v").alias("v"), *([F.col(of).alias("of")] if of else []), *([F.col(apart).cast("long").alias("apart")] if apart else []), *([block] if block else []))
     packed, held = _packed(rows, tile, block)
     differ = apart is not None
@@ -414,7 +471,7 @@ def knn(df: DataFrame, k: int = 12, tile: int = TILE, digits: int = 9, block: st
     def alone(key: tuple, chunks: pd.DataFrame) -> Iterator[pd.DataFrame]:
         x = _rows_of(chunks)
         others = _others(x, k)
-        best = _nearest(x, take(x, others), k, digits, differ)
+        best = _nearest(x, x if len(others) == len(x["id"]) else take(x, others), k, digits, differ)
         lists = _as_lists(*key, best, x["id"][others], x["id"])
         # bounds of rows with full lists only
         bound = np.where(np.bincount(best.i, minlength=len(x["id"])) == k, best.bound, np.inf)
@@ -438,11 +495,43 @@ def knn(df: DataFrame, k: int = 12, tile: int = TILE, digits: int = 9, block: st
     met = _with_others(first)
     met = met.select("__block", "tile", "ti", "tj", "n", *_KINDS, "can", "bound", *[F.when(F.col("ti") == F.col("tj"), F.col(c)).alias(c) for c in ("own", "at", "j", "d")])
     lists = _dealt(met, held, "ti", "tj").mapInPandas(_by_key(["__block", "ti", "tj"], together), _LISTS)
-    found = _dealt(lists, held, "tile").mapInArrow(_merge_lists(k), "i long, j long, d double, rank int")
+    found = _dealt(lists, held, "tile").mapInArrow(_merge_lists(k, far), "i long, j long, d double, rank int" + ", far double" * far)
     if block is None:
         return found
-    rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
-    return found.select("i", "j", "d").distinct().withColumn("rank", rank).where(F.col("rank") <= k)
+
+    def best(x: list[np.ndarray]) -> list[np.ndarray]:
+        row = np.cumsum(np.r_[0, x[0][1:] != x[0][:-1]])
+        order = _ordered(row, x[2], x[1])
+        i, j, d, row = x[0][order], x[1][order], x[2][order], row[order]
+        once = np.r_[True, (row[1:] != row[:-1]) | (j[1:] != j[:-1])]  # not again what several blocks hold
+        i, j, d, row = i[once], j[once], d[once], row[once]
+        use = _first_per_row(row, k)
+        i, j, d, row = i[use], j[use], d[use], row[use]
+        return [i, j, d, (np.arange(len(row)) - np.searchsorted(row, row) + 1).astype(np.int32)]
+
+    return _per_row(found.select("i", "j", "d"), best, "i long, j long, d double, rank int")
+
+
+def _per_row(df: DataFrame, of: Callable[[list[np.ndarray]], list[np.ndarray]], schema: str) -> DataFrame:
+    """of: columns of df's rows -> columns of the schema; it gets all rows of an i, df's first column, at once, and those of many."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    whole = lambda x: pa.RecordBatch.from_arrays([pa.array(c) for c in of(x)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = x if held is None else [np.concatenate(c) for c in zip(held, x)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last one may go on in the next batch
+            if cut:
+                yield whole([c[:cut] for c in held])
+                held = [c[cut:] for c in held]
+        if held is not None:
+            yield whole(held)
+
+    return df.repartition("i").sortWithinPartitions("i").mapInArrow(run, schema)
 
 
 def near_links(df: DataFrame, most: float, blocks: str | None = None, tile: int = TILE, scale: float = 1.0, weights: tuple[float, float] = (1.0, 0.0), params: str | None = None, param_scale: float = 1.0, ranges: list[float] | None = None) -> DataFrame:
@@ -501,7 +590,7 @@ def chains(df: DataFrame, thresholds: list[float], tile: int = TILE) -> DataFram
         ids = np.unique(np.concatenate([x["id"], y["id"]]))
         mine, theirs = np.searchsorted(ids, x["id"]), np.searchsorted(ids, y["id"])
         roots = [np.arange(len(ids)) for _ in levels]
-        for i, j, d2, slack, scale in _close(x["v"], y["v"], levels[-1]):
+        for i, j, d2, slack, scale in _close(x["v"], y["v"], levels[-1], ti == tj):
             for root, t in zip(roots, levels):
                 limit = (t / scale) ** 2
                 new = np.flatnonzero((root[mine[i]] != root[theirs[j]]) & ~(d2 > limit * (1 + 1e-6) + slack))
@@ -637,8 +726,16 @@ def descent_knn(df: DataFrame, k: int = 12, passes: int = 12, start_block: int =
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """One row: the share of exact neighbours that were found."""
-    hits = exact.select("i", "j").join(found.select("i", "j").distinct().withColumn("hit", F.lit(1)), ["i", "j"], "left")
-    return hits.agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+    both = exact.select("i", "j", F.lit(1).alias("n"), F.lit(0).alias("hit")).unionByName(found.select("i", "j", F.lit(0).alias("n"), F.lit(1).alias("hit")))
+
+    def count(x: list[np.ndarray]) -> list[np.ndarray]:
+        i, j, n, hit = (c[np.lexsort((x[1], x[0]))] for c in x)
+        starts = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        n = np.add.reduceat(n.astype(np.int64), starts)
+        return [np.array([(n * np.maximum.reduceat(hit, starts)).sum()]), np.array([n.sum()])]
+
+    counts = _per_row(both, count, "hits long, n long")
+    return counts.agg((F.sum("hits") / F.nullif(F.sum("n"), F.lit(0))).alias("recall"))
 
 
 def purity(graph: DataFrame, labels: DataFrame) -> DataFrame:
