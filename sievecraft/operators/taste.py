@@ -44,11 +44,12 @@ def shrunken_offsets(df: DataFrame, group: str, residual: Column, shrink: float
 
 
 def kernel_estimate(near: DataFrame, k: int, value: str = "rating") -> DataFrame:
-    """near: i, d, rank, rating of rated neighbours -> i, estimate: their mean, weighted by exp(-(d / distance of the k-th)^2)."""
+    """near: i, d, rank, rating of rated neighbours, and far, the k-th's distance, where lists of k have it -> i, estimate: their mean, weighted by exp(-(d / far)^2)."""
     held = near.where(F.col("rank") <= k)
-    far = held.groupBy("i").agg(F.greatest(F.max("d"), F.lit(1e-6)).alias("s"))
-    w = F.exp(-(F.col("d") / F.col("s")) * (F.col("d") / F.col("s")))
-    return held.join(far, "i").withColumn("w", w).groupBy("i").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("estimate"))
+    if "far" not in near.columns:
+        held = held.join(held.groupBy("i").agg(F.max("d").alias("far")), "i")
+    share = F.col("d") / F.greatest(F.col("far"), F.lit(1e-6))
+    return held.withColumn("w", F.exp(-share * share)).groupBy("i").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("estimate"))
 
 
 def r_squared(df: DataFrame, y: str, estimate: str, *keys: str) -> DataFrame:

@@ -52,7 +52,7 @@ _KERNEL = f"""{_KNN}, near AS (SELECT i, d, CAST(1 + (label * 7 + j % 3) % 5 AS
 
 def _kernel(spark: SparkSession, sf: str) -> DataFrame:
     rows = _rated(spark, sf)
-    near = neighbours.knn(rows, 8).join(rows.select(F.col("id").alias("j"), "rating"), "j")
+    near = neighbours.knn(rows, 8, far=True).join(rows.select(F.col("id").alias("j"), "rating"), "j")
     return taste.kernel_estimate(near, 8)
 
 
