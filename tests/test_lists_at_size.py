@@ -49,3 +49,26 @@ def test_f11_f14_lists_know_their_last_distance(spark, size):
     want = {r.i: r.estimate for r in taste.kernel_estimate(near.drop("far"), 5).collect()}
     got = {r.i: r.estimate for r in estimate.collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+
+
+def test_f16_few_distances_are_added_up_and_all_lists_are_right(monkeypatch):
+    x, k, seen = np.random.default_rng(42).normal(size=(6000, 8)), 12, []
+    quick = neighbours._quick
+    monkeypatch.setattr(neighbours, "_quick", lambda x, y, i, j: seen.append(len(i)) or quick(x, y, i, j))
+    t = tile(x)
+    best = neighbours._nearest(t, t, k, 9, False)
+    assert k * 6000 <= sum(seen) < 1.2 * k * 6000
+    for i in range(0, 6000, 500):
+        d = np.round(neighbours._exact(x, x, np.full(6000, i), np.arange(6000)), 9)
+        d[i] = np.inf
+        assert best.j[best.i == i].tolist() == np.lexsort((np.arange(6000), d))[:k].tolist()
+
+
+def test_f16_rounding_does_not_hang_on_the_order_of_adding():
+    rng = np.random.default_rng(43)
+    x = np.round(rng.normal(size=(400, 64)), 3)
+    x[200:] = x[:200]
+    x[200:, 0] += (rng.integers(1, 2000, 200) * 2 + 1) / 2e9  # halves of the ninth digit
+    i, j = np.arange(200), np.arange(200, 400)
+    for digits in (3, 9):
+        assert (neighbours._rounded(x, x, i, j, digits) == np.round(neighbours._exact(x, x, i, j), digits)).all()
