@@ -12,6 +12,7 @@ or rows that share a block where a blocking is given.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,7 @@ LEAST_TILE = 2048  # up to eight tiles are made of smaller ones, so that there a
 LEAST_BLOCK_TILE = 8192  # the same within a block, as blocks are compared beside each other
 PACK_ROWS = 65536
 ROWS, COLUMNS = 512, 512  # of a product of matrices
+LINKS = 1 << 18  # rows of links that leave a task at once
 HELD = 1 << 21  # pairs whose distances are added up at once
 
 
@@ -534,12 +536,18 @@ def _per_row(df: DataFrame, of: Callable[[list[np.ndarray]], list[np.ndarray]],
     return df.repartition("i").sortWithinPartitions("i").mapInArrow(run, schema)
 
 
-def near_links(df: DataFrame, most: float, blocks: str | None = None, tile: int = TILE, scale: float = 1.0, weights: tuple[float, float] = (1.0, 0.0), params: str | None = None, param_scale: float = 1.0, ranges: list[float] | None = None) -> DataFrame:
+def _half_up(x: float, digits: int) -> float:
+    """x rounded as F.round() does: halves of its shortest decimal form go up."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) if np.isfinite(x) else x
+
+
+def near_links(df: DataFrame, most: float, blocks: str | None = None, tile: int = TILE, scale: float = 1.0, weights: tuple[float, float] = (1.0, 0.0), params: str | None = None, param_scale: float = 1.0, ranges: list[float] | None = None, digits: int | None = None) -> DataFrame:
     """df: id, v and optionally params (array) and blocks (array of the blocks a row belongs to).
 
     a < b, d: pairs that share a block and whose distance is under `most`, each once. d is
     w0 * |v - v'| / scale + w1 * P / param_scale, P the mean range-normalised difference of
-    the params; the second term is only computed where the first is under `most`.
+    the params; the second term is only computed where the first is under `most`. digits: d is
+    rounded to them, halves upwards as by F.round().
     """
     cols = ["id", doubles("v").alias("v"), *([doubles(params).alias("p")] if params else [])]
     rows = df.select(*cols, *([F.explode(blocks).alias("__b")] if blocks else []))
@@ -547,20 +555,65 @@ def near_links(df: DataFrame, most: float, blocks: str | None = None, tile: int
     span = None if ranges is None else np.array(ranges, float)
     reach = most * scale / w0 if w0 else np.inf
 
+    def extra(x: dict, y: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i))
+        for k in range(0, len(i), 4096):
+            out[k : k + 4096] = (np.abs(x["p"][i[k : k + 4096]] - y["p"][j[k : k + 4096]]) / span).mean(1)
+        return w1 * out / param_scale
+
+    def least(x: dict, y: dict) -> Callable[[np.ndarray, np.ndarray], np.ndarray] | None:
+        """No more than the second term, in single precision."""
+        if not params or w1 < 0 or not len(x["id"]) or not len(y["id"]):
+            return None
+        a, b = (w1 * t["p"] / span / t["p"].shape[1] / param_scale for t in (x, y))
+        size = float(np.abs(a).max(0).sum() + np.abs(b).max(0).sum())
+        if not size < 1e30:
+            return None
+        short = a.astype(np.float32), b.astype(np.float32)
+        slack = (a.shape[1] + 8) * 2.0**-23 * size
+
+        def low(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            diff = short[0][i]
+            diff -= short[1][j]
+            return np.abs(diff, out=diff).sum(1) - slack
+
+        return low
+
     def compare(_, ti: int, tj: int, x: dict, y: dict) -> Iterator[pd.DataFrame]:
-        for i, j, *_ in _close(x["v"], y["v"], reach):
-            once = (x["id"][i] < y["id"][j]) if ti == tj else x["id"][i] != y["id"][j]
-            i, j = i[once], j[once]
-            d = w0 * _exact(x["v"], y["v"], i, j) / scale
-            keep = d < most
-            d, i, j = d[keep], i[keep], j[keep]
-            if params and len(i):
-                extra = np.concatenate([(np.abs(x["p"][i[k : k + 4096]] - y["p"][j[k : k + 4096]]) / span).mean(1) for k in range(0, len(i), 4096)])
-                d = d + w1 * extra / param_scale
-                keep = d < most
-                d, i, j = d[keep], i[keep], j[keep]
-            a, b = x["id"][i], y["id"][j]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "d": d})
+        low, slip, held, n = least(x, y), 8 * _slip(x["v"]), [], 0
+
+        def out() -> pd.DataFrame:
+            a, b, d = (np.concatenate(c) for c in zip(*held))
+            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "d": d})
+
+        for i, j, d2, slack, scale_of in _close(x["v"], y["v"], reach, ti == tj):
+            use = x["id"][i] != y["id"][j]
+            if low is not None and np.isfinite(slack):
+                first = np.sqrt(np.maximum(d2 - slack, 0)) * (w0 * scale_of / scale)
+                use &= ~(first + low(i, j) > most * (1 + 1e-5))
+            i, j = i[use], j[use]
+            d0 = w0 * (_exact if digits is None else _quick)(x["v"], y["v"], i, j) / scale
+            second = extra(x, y, i, j) if params else 0.0
+            d = d0 + second
+            if digits is not None:
+                with np.errstate(over="ignore", invalid="ignore"):
+                    at = d * 10.0**digits
+                    sure = (np.abs(d0 - most) > most * slip) & (np.abs(d - most) > most * slip) & (np.abs(at - np.floor(at) - 0.5) > at * slip)
+                unsure = np.flatnonzero(~sure)
+                exact = w0 * _exact(x["v"], y["v"], i[unsure], j[unsure]) / scale
+                d0[unsure], d[unsure] = exact, exact + (second[unsure] if params else 0.0)
+                whole, d = d, np.round(d, digits)
+                d[unsure] = [_half_up(e, digits) for e in whole[unsure].tolist()]
+                keep = (d0 < most) & (whole < most)
+            else:
+                keep = (d0 < most) & (d < most)
+            held.append((x["id"][i[keep]], y["id"][j[keep]], d[keep]))
+            n += len(held[-1][0])
+            if n >= LINKS:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
 
     links = _on_pairs(rows, tile, "__b" if blocks else None, compare, "a long, b long, d double")
     return links.dropDuplicates(["a", "b"]) if blocks else links

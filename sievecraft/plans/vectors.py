@@ -187,7 +187,7 @@ def _chains(spark: SparkSession, sf: str, *thresholds: float) -> DataFrame:
 
 @query(f"{_LINKS} SELECT a, b, round(d, 6) AS d FROM l WHERE d < {FAMILY}")
 def neardup_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return neighbours.near_links(_rows(spark, sf), FAMILY).select("a", "b", F.round("d", 6).alias("d"))
+    return neighbours.near_links(_rows(spark, sf), FAMILY, digits=6).select("a", "b", "d")
 
 
 @query(f"{_LINKS}{_walk('c', str(MERGE))} SELECT id, cluster FROM c")
