@@ -115,8 +115,8 @@ def blocked_pairs_dedup(spark: SparkSession, sf: str) -> DataFrame:
     SELECT a, b, round(d0 + d1, 6) AS d FROM p WHERE d0 < 0.72 AND d0 + d1 < 0.72""")
 def neardup_two_terms(spark: SparkSession, sf: str) -> DataFrame:
     rows = _rows(spark, sf).withColumn("p", F.slice("v", 1, 16))
-    links = neighbours.near_links(rows, 0.72, weights=(0.6, 0.4), params="p", ranges=[0.5 + k / 16.0 for k in range(1, 17)])
-    return links.select("a", "b", F.round("d", 6).alias("d"))
+    links = neighbours.near_links(rows, 0.72, weights=(0.6, 0.4), params="p", ranges=[0.5 + k / 16.0 for k in range(1, 17)], digits=6)
+    return links.select("a", "b", "d")
 
 
 @query(f"WITH {_E} SELECT a.id AS a, b.id AS b, round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: abs(p[1] - p[2]) / 2.0)) / 64.0, 6) AS p, round(len(list_filter(list_zip(a.v, b.v), lambda p: p[1] <> p[2])) / 64.0, 6) AS f FROM e a JOIN e b ON b.id = a.id + 1")

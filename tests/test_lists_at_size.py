@@ -133,3 +133,19 @@ def test_f25_links_leave_a_task_in_large_pieces(spark, monkeypatch):
     pieces = list(got[0](0, 0, 0, t, t))
     d = np.sqrt(((t["v"][:, None] - t["v"][None]) ** 2).sum(2))
     assert sum(map(len, pieces)) == (np.triu(d < 1.0, 1)).sum() and len(pieces) <= sum(map(len, pieces)) // neighbours.LINKS + 1
+
+
+def test_f28_whole_distances_only_where_the_second_term_leaves_room(spark, monkeypatch):
+    got, seen = [], []
+    monkeypatch.setattr(neighbours, "_on_pairs", lambda rows, tile, block, compare, schema: got.append(compare) or rows)
+    neighbours.near_links(frame(spark, np.zeros((1, 2))).withColumn("p", F.slice("v", 1, 2)), 0.72, weights=(0.6, 0.4), params="p", ranges=[0.5, 0.7], digits=6)
+    x = np.random.default_rng(47).uniform(size=(900, 4))
+    t = tile(x) | {"p": x[:, :2]}
+    quick = neighbours._quick
+    monkeypatch.setattr(neighbours, "_quick", lambda x, y, i, j: seen.append(len(i)) or quick(x, y, i, j))
+    links = {(r.a, r.b): r.d for f in got[0](0, 0, 0, t, t) for r in f.itertuples()}
+    d0 = 0.6 * np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    d = d0 + 0.4 * (np.abs(x[:, None, :2] - x[None, :, :2]) / np.array([0.5, 0.7])).mean(2)
+    want = {(i, j): round(d[i, j], 6) for i in range(900) for j in range(i + 1, 900) if d[i, j] < 0.72}
+    assert links.keys() == want.keys() and all(abs(links[p] - want[p]) < 1e-9 for p in want)
+    assert len(want) <= sum(seen) < 1.01 * len(want) + 100 < (np.triu(d0 < 0.72, 1)).sum()
