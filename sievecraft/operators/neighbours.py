@@ -11,6 +11,7 @@ or rows that share a block where a blocking is given.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -30,6 +31,7 @@ PACK_ROWS = 65536
 ROWS, COLUMNS = 512, 512  # of a product of matrices
 LINKS = 1 << 18  # rows of links that leave a task at once
 HELD = 1 << 21  # pairs whose distances are added up at once
+COPIES = 1 << 16  # rows from which on it is worth looking for copies
 
 
 # --- tiles ------------------------------------------------------------------------------------
@@ -461,11 +463,57 @@ def _merge_lists(k: int, far: bool = False) -> Callable:
     return run
 
 
-def knn(df: DataFrame, k: int = 12, tile: int = TILE, digits: int = 9, block: str | None = None, of: str | None = None, apart: str | None = None, far: bool = False) -> DataFrame:
-    """df: id, v. i, j, d, rank: each row's k nearest others by (distance rounded to `digits`, id). of: a boolean column that the others must have set; apart: an integer column in which they must differ; far: adds the last distance of the row's list (without blocks)."""
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows: id, v -> id, key (a digest of the vector), finite."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = np.ascontiguousarray(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+            keys = [hashlib.sha256(x).digest() for x in v]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(np.isfinite(v).all(1))], names=["id", "key", "finite"])
+
+    return rows.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(run, "id long, key binary, finite boolean")
+
+
+def _copied(keyed: DataFrame) -> bool:
+    """Whether a quarter or more of the rows are copies. Rows with repeated ids are left as they are."""
+    n = keyed.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"), F.count_distinct("key").alias("kinds")).first()
+    return n.rows == n.ids and 4 * n.kinds <= 3 * n.rows
+
+
+def _knn_of_kinds(rows: DataFrame, keyed: DataFrame, k: int, tile: int, digits: int, far: bool) -> DataFrame:
+    """knn() by the vectors that differ: only the first row of each kind is compared with others.
+
+    A kind's k nearest kinds, by (distance, least id), and its own copies hold its rows' k
+    nearest: each of those kinds has a row that comes before all of any later kind. No list
+    holds more than the first k of a kind, besides the row itself.
+    """
+    kinds = keyed.groupBy("key").agg(F.min("id").alias("kind"))
+    member = keyed.join(kinds, "key").select("id", "kind", "finite")
+    near = knn(rows.join(kinds.select(F.col("kind").alias("id")), "id", "left_semi"), k, tile, digits, copies=None)
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("id"))
+    heads = member.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("kind").agg(F.collect_list("id").alias("ids"), F.first("finite").alias("finite"))
+    own = heads.where("finite").select(F.col("kind").alias("i"), F.lit(0.0).alias("d"), "ids")
+    met = near.select("i", "d", F.col("j").alias("kind")).join(heads.select("kind", "ids"), "kind").select("i", "d", "ids").unionByName(own)
+    entries = met.select("i", F.transform("ids", lambda x: F.struct(F.col("d").alias("d"), x.alias("j"))).alias("of"))
+    best = entries.groupBy("i").agg(F.slice(F.sort_array(F.flatten(F.collect_list("of"))), 1, k + 1).alias("best"))
+    lists = member.join(best, F.col("kind") == F.col("i")).select("id", F.slice(F.filter("best", lambda x: x["j"] != F.col("id")), 1, k).alias("best"))
+    last = [F.element_at("best", -1)["d"].alias("far")] if far else []
+    found = lists.where(F.size("best") > 0).select(F.col("id").alias("i"), F.posexplode("best").alias("at", "e"), *last)
+    return found.select("i", F.col("e.j").alias("j"), F.col("e.d").alias("d"), (F.col("at") + 1).alias("rank"), *(["far"] if far else []))
+
+
+def knn(df: DataFrame, k: int = 12, tile: int = TILE, digits: int = 9, block: str | None = None, of: str | None = None, apart: str | None = None, far: bool = False, copies: int | None = COPIES) -> DataFrame:
+    """df: id, v. i, j, d, rank: each row's k nearest others by (distance rounded to `digits`, id). of: a boolean column that the others must have set; apart: an integer column in which they must differ; far: adds the last distance of the row's list (without blocks). copies: of so many rows or more, equal vectors are compared once, if many are equal; None: never."""
     if far and block:
         raise ValueError("far is not known within blocks")
     rows = df.select("id", doubles("v").alias("v"), *([F.col(of).alias("of")] if of else []), *([F.col(apart).cast("long").alias("apart")] if apart else []), *([block] if block else []))
+    if copies is not None and not (block or of or apart) and rows.count() >= copies:
+        keyed = _keyed(rows)
+        if _copied(keyed):
+            return _knn_of_kinds(rows, keyed, k, tile, digits, far)
     packed, held = _packed(rows, tile, block)
     differ = apart is not None
     take = lambda x, places: {c: v[places] for c, v in x.items()}
