@@ -546,8 +546,11 @@ def knn(df: DataFrame, k: int = 12, tile: int = TILE, digits: int = 9, block: st
     met = met.select("__block", "tile", "ti", "tj", "n", *_KINDS, "can", "bound", *[F.when(F.col("ti") == F.col("tj"), F.col(c)).alias(c) for c in ("own", "at", "j", "d")])
     lists = _dealt(met, held, "ti", "tj").mapInPandas(_by_key(["__block", "ti", "tj"], together), _LISTS)
     found = _dealt(lists, held, "tile").mapInArrow(_merge_lists(k, far), "i long, j long, d double, rank int" + ", far double" * far)
-    if block is None:
-        return found
+    return found if block is None else _best_per_row(found.select("i", "j", "d"), k)
+
+
+def _best_per_row(found: DataFrame, k: int) -> DataFrame:
+    """i, j, d of several lists of a row -> i, j, d, rank: its k best."""
 
     def best(x: list[np.ndarray]) -> list[np.ndarray]:
         row = np.cumsum(np.r_[0, x[0][1:] != x[0][:-1]])
@@ -559,7 +562,20 @@ def knn(df: DataFrame, k: int = 12, tile: int = TILE, digits: int = 9, block: st
         i, j, d, row = i[use], j[use], d[use], row[use]
         return [i, j, d, (np.arange(len(row)) - np.searchsorted(row, row) + 1).astype(np.int32)]
 
-    return _per_row(found.select("i", "j", "d"), best, "i long, j long, d double, rank int")
+    return _per_row(found, best, "i long, j long, d double, rank int")
+
+
+def knn_of_block(asked: DataFrame, rows: DataFrame, k: int, block: str, tile: int = TILE, digits: int = 9) -> DataFrame:
+    """asked: id, v, block; rows: id, v, block (a whole number): i, j, d, rank, each asked row's k nearest other rows of the block it names, however far, as knn() orders them. An id is asked for one block."""
+
+    def compare(_, ti: int, tj: int, x: dict, y: dict) -> Iterator[pd.DataFrame]:
+        for a, b in ((x, y), (y, x))[: 1 + (ti != tj)]:
+            ask, others = ~a["of"], _others(b, k)
+            best = _nearest({c: v[ask] for c, v in a.items()}, {c: v[others] for c, v in b.items()}, k, digits, False)
+            yield pd.DataFrame({"i": a["id"][ask][best.i], "j": b["id"][others][best.j], "d": best.d})
+
+    met = [df.where(F.col(block).isNotNull()).select("id", doubles("v").alias("v"), block, F.lit(of).alias("of")) for df, of in ((asked, False), (rows, True))]
+    return _best_per_row(_on_pairs(met[0].unionByName(met[1]), tile, block, compare, "i long, j long, d double"), k)
 
 
 def _per_row(df: DataFrame, of: Callable[[list[np.ndarray]], list[np.ndarray]], schema: str) -> DataFrame:

@@ -291,7 +291,7 @@ def donor_vote(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def interpolate_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     params = _rows(spark, sf).select("id", F.transform("v", lambda x: F.floor((x + 1) * 50).cast("double")).alias("v"))
-    return blend.interpolate(_near(spark, sf, 24, "label"), "label", vectors=params)
+    return blend.interpolate(_near(spark, sf, 24, "label"), "label", vectors=params, rows=_rows(spark, sf))
 
 
 _TIME = "yyyy-MM-dd HH:mm:ss"
